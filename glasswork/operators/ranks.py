@@ -10,7 +10,7 @@ the row, so a recomputed partition always lands in the same bucket.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from glasswork.functions.hashing import HEX_DIGITS, hash_int, row_hash
 
@@ -27,36 +27,64 @@ def range_bucket(df: DataFrame, order: str, tie: Column | None = None, buckets:
     it gets a bucket of its own, which ``tie`` (a hex hash) splits further.
     """
     probs = [i / buckets for i in range(1, buckets)]
-    borders = df.agg(
-        F.coalesce(
-            F.array_distinct(F.percentile_approx(order, probs, buckets * 8)),
-            F.array(F.lit(None).cast(df.schema[order].dataType)),
-        ).alias("b")
+    found = [F.array_distinct(F.percentile_approx(order, probs, buckets * 8)).alias("b")]
+    if tie is None:
+        # Reading every column keeps this branch from being pruned differently,
+        # so it reuses the shuffle below and the source is scanned once.
+        found.append(F.bit_xor(F.xxhash64(*[F.col(c) for c in df.columns])).alias("_all"))
+    borders = df.agg(*found).select(
+        F.coalesce("b", F.array().cast(T.ArrayType(df.schema[order].dataType))).alias("b")
+        if tie is not None else
+        F.when(F.col("_all").isNotNull(), F.col("b")).otherwise(
+            F.array().cast(T.ArrayType(df.schema[order].dataType))).alias("b")
     ).select("b", F.filter("b", lambda v, i: i % _STEP == _STEP - 1).alias("coarse"))
     value = F.col(order)
     df = df.withColumn("_borders", borders.select(F.struct("b", "coarse")).scalar())
-    skip = F.size(F.filter("_borders.coarse", lambda v: v < value)) * _STEP
-    df = df.withColumn("_skip", skip)
-    below = F.col("_skip") + F.size(
-        F.filter(F.slice("_borders.b", F.col("_skip") + 1, _STEP), lambda v: v < value)
-    )
-    df = df.withColumn("_below", below)
-    on_border = F.coalesce(F.get(F.col("_borders.b"), F.col("_below")) == value, F.lit(False))
-    sub = F.lit(0) if tie is None else F.when(on_border | value.isNull(), hash_int(tie, 3)).otherwise(0)
-    position = F.when(value.isNull(), F.lit(-1)).otherwise(F.col("_below") * 2 + on_border.cast("int"))
-    bucket = position.cast("bigint") * _SUB + sub
-    return df.withColumn("_bucket", bucket).drop("_borders", "_skip", "_below")
+    place = F.when(value.isNotNull(), _place(F.col("_borders"), value)).otherwise(-1)
+    # Declared non-null, or the join below would push a null test into the scan.
+    place = F.coalesce(place, F.lit(-1))
+    df = df.withColumn("_place", place).drop("_borders")
+    if tie is None:
+        return df.withColumnRenamed("_place", "_bucket")
+    hot = (F.col("_place") % 2 == 1) | value.isNull()
+    sub = F.coalesce(F.when(hot, hash_int(tie, HEX_DIGITS)), F.lit(0))
+    return df.withColumn("_bucket", F.col("_place").cast("bigint") * _SUB + sub).drop("_place")
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated, and printed in the plan, once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _place(borders: Column, value: Column) -> Column:
+    """Twice the number of borders below, plus one on a border; two-level search."""
 
+    def count_below(array):
+        return F.size(F.filter(array, lambda v: v < value))
 
-def _join_offsets(df: DataFrame, sums, by) -> DataFrame:
-    """Attach, per bucket, the sums of all earlier buckets and of the group."""
-    totals = df.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(s) for s in sums])
+    def on_border(b, below):
+        return F.coalesce(F.get(b, below) == value, F.lit(False)).cast("int")
+
+    return _let(borders, lambda s: _let(
+        count_below(s["coarse"]) * _STEP,
+        lambda skip: _let(skip + count_below(F.slice(s["b"], skip + 1, _STEP)),
+                          lambda below: below * 2 + on_border(s["b"], below))))
+
+
+def _join_offsets(df: DataFrame, sums, by, carry=(), ordering=()) -> DataFrame:
+    """Attach, per bucket, the sums of all earlier buckets and of the group.
+
+    ``carry`` columns also bring the last row of the previous bucket (``_edge``).
+    """
+    last = [F.max_by(F.struct(*carry), F.struct(*ordering)).alias("_last")] if carry else []
+    totals = df.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(s) for s in sums], *last)
     earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     group = W.partitionBy(*by)
     offsets = totals.select(
         *[F.col(c).alias(f"_o_{c}") for c in (*by, "_bucket")],
         *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_o_{s}") for s in sums],
         *[F.sum(s).over(group).alias(f"{s}_total") for s in sums],
+        *[F.lag(F.col("_last")).over(W.partitionBy(*by).orderBy("_bucket")).alias("_edge") for _ in last],
     )
     on = F.col("_bucket") == F.col("_o__bucket")
     for c in by:
@@ -64,29 +92,35 @@ def _join_offsets(df: DataFrame, sums, by) -> DataFrame:
     return df.join(offsets, on).drop(*[f"_o_{c}" for c in (*by, "_bucket")])
 
 
-def _local_sums(df: DataFrame, sums, by, ordering) -> DataFrame:
+def _local_sums(df: DataFrame, sums, by, ordering, carry=()) -> DataFrame:
     before = W.partitionBy(*by, "_bucket").orderBy(*ordering).rowsBetween(W.unboundedPreceding, -1)
     cols = [
         (F.coalesce(F.sum(s).over(before), F.lit(0)) + F.col(f"_o_{s}")).alias(f"{s}_before")
         for s in sums
     ]
-    return df.select("*", *cols).drop(*[f"_o_{s}" for s in sums])
+    if carry:
+        local = F.lag(F.struct(*carry)).over(W.partitionBy(*by, "_bucket").orderBy(*ordering))
+        cols.append(F.coalesce(local, F.col("_edge")).alias("previous"))
+    return df.select("*", *cols).drop("_edge", *[f"_o_{s}" for s in sums])
 
 
-def prefix_sums(df: DataFrame, order: str, sums, by=(), tie: Column | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, order: str, sums, by=(), tie: Column | None = None, carry=()) -> DataFrame:
     """Exclusive running sums ``{s}_before`` and group sums ``{s}_total``.
 
     Rows run by ``order`` ascending (nulls first), ties by ``tie``. Without
     ``tie`` the values of ``order`` must be distinct inside a ``by`` group.
+    ``carry`` names columns whose values in the previous row come back as the
+    struct ``previous`` (null on the first row of a group).
     """
     sums, by = list(sums), list(by)
-    ordering = [F.col(order).asc_nulls_first()]
+    names = [order]
     if tie is not None:
         df = df.withColumn("_tie", tie)
-        ordering.append(F.col("_tie"))
+        names.append("_tie")
+    ordering = [F.col(c).asc_nulls_first() for c in names]
     bucketed = range_bucket(df, order, None if tie is None else F.col("_tie"))
-    out = _local_sums(_join_offsets(bucketed, sums, by), sums, by, ordering)
-    return out.drop("_bucket", "_tie")
+    joined = _join_offsets(bucketed, sums, by, carry, names)
+    return _local_sums(joined, sums, by, ordering, carry).drop("_bucket", "_tie")
 
 
 def row_positions(df: DataFrame, order: str, keys, by=(), seed: int = 42) -> DataFrame:
@@ -105,7 +139,7 @@ def hash_rank(df: DataFrame, keys, by=(), seed: int = 42, at_most: Column | int
     """
     by = list(by)
     df = df.withColumn("_hash", row_hash(keys, seed)).withColumn("_one", F.lit(1).cast("bigint"))
-    df = _join_offsets(df.withColumn("_bucket", hash_int(F.col("_hash"), digits)), ["_one"], by)
+    df = _join_offsets(df.withColumn("_bucket", F.coalesce(hash_int(F.col("_hash"), digits), F.lit(0))), ["_one"], by)
     if at_most is not None:
         limit = F.lit(at_most) if isinstance(at_most, int) else at_most
         df = df.filter(F.col("_o__one") < limit)
