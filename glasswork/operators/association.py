@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations, permutations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from glasswork.functions.hashing import row_hash
 from glasswork.operators.profile import is_floating, is_integral
-from glasswork.operators.ranks import prefix_sums
+from glasswork.operators.ranks import prefix_sums, range_bucket
 
 PAIRS_PER_PASS = 300
 
@@ -121,44 +121,57 @@ def cramers_v_matrix(df: DataFrame, columns=None) -> DataFrame | None:
     return _matrix(both, columns, 0.0)
 
 
-def value_ranks(df: DataFrame, column: str) -> DataFrame:
-    """Distinct values with r = rows at or below and l = rows at or above."""
-    counts = df.groupBy(column).agg(F.count("*").alias("_c"))
-    cum = prefix_sums(counts, column, ["_c"])
+def value_ranks(df: DataFrame, column: str, by=()) -> DataFrame:
+    """Distinct values with r = rows at or below and l = rows at or above, per ``by`` group."""
+    counts = df.groupBy(*by, column).agg(F.count("*").alias("_c"))
+    cum = prefix_sums(counts, column, ["_c"], by)
     return cum.select(
-        F.col(column), (F.col("_c_before") + F.col("_c")).alias("r"),
+        *by, F.col(column), (F.col("_c_before") + F.col("_c")).alias("r"),
         (F.col("_c_total") - F.col("_c_before")).alias("l"))
 
 
-def xi(df: DataFrame, x: str, y: str, keys=None, ties: bool = True) -> DataFrame:
-    """Chatterjee's xi of y on x as one row (a, b, value).
+def xi_pairs(df: DataFrame, pairs, keys=None, ties: bool = True) -> DataFrame:
+    """Chatterjee's xi of b on a as rows (a, b, value), all ordered pairs in one job.
 
-    Rows run in x order, ties in x by key hash; |r[i+1] - r[i]| comes from a
-    lag that also crosses bucket edges. With ``ties`` the denominator is
+    Rows run in order of a, ties in a by key hash, cut into buckets; jumps of r
+    inside buckets and between neighbouring buckets add up. With ``ties`` the denominator is
     2*sum(l*(n-l)), without it (n^2-1)/3.
     """
-    keys = list(keys or dict.fromkeys([x, y]))
-    rows = df.select(F.col(x).alias("_x"), F.col(y).alias("_y"), row_hash(keys).alias("_h")).filter(
-        "_x IS NOT NULL AND _y IS NOT NULL")
-    ranks = value_ranks(rows, "_y")
-    ranked = rows.join(ranks, "_y")
-    seq = prefix_sums(ranked, "_x", [], tie=F.col("_h"), carry=["r"])
-    n = F.count(F.lit(1)).cast("double")
-    jumps = F.sum(F.abs(F.col("r") - F.col("previous.r"))).cast("double")
-    l = F.col("l").cast("double")
-    spread = n * F.sum(l) - F.sum(l * l)
-    one = F.lit(1.0)
-    value = (one - F.try_divide(n * jumps, F.lit(2.0) * spread) if ties
-             else one - F.try_divide(F.lit(3.0) * jumps, n * n - one))
-    return seq.agg(value.alias("value")).select(F.lit(x).alias("a"), F.lit(y).alias("b"), "value")
+    columns = list(dict.fromkeys(c for p in pairs for c in p))
+    hashed = df.select(*[F.col(c).cast("double").alias(c) for c in columns],
+                       row_hash(list(keys or columns)).alias("_h"))
+    cells = F.array(*[
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs
+    ])
+    rows = hashed.select("_h", F.explode(cells).alias("s")).select("_h", "s.*").filter(
+        "x IS NOT NULL AND y IS NOT NULL")
+    # Bucket the plain rows first: only the last step then reads the joined ranks.
+    placed = range_bucket(rows, "x", F.col("_h"))
+    ranked = placed.join(value_ranks(rows, "y", ["a", "b"]), ["a", "b", "y"])
+    inside = W.partitionBy("a", "b", "_bucket").orderBy("x", "_h")
+    place, l = F.struct("x", "_h"), F.col("l").cast("double")
+    parts = ranked.withColumn("jump", F.abs(F.col("r") - F.lag("r").over(inside))).groupBy("a", "b", "_bucket").agg(
+        F.count("*").alias("n"), F.sum("jump").alias("jumps"), F.sum(l).alias("l1"), F.sum(l * l).alias("l2"),
+        F.min_by("r", place).alias("first"), F.max_by("r", place).alias("last"))
+    edge = F.abs(F.col("first") - F.lag("last").over(W.partitionBy("a", "b").orderBy("_bucket")))
+    sums = parts.withColumn("edge", edge).groupBy("a", "b").agg(
+        F.sum("n").cast("double").alias("n"), F.sum("l1").alias("l1"), F.sum("l2").alias("l2"),
+        (F.coalesce(F.sum("jumps"), F.lit(0)) + F.coalesce(F.sum("edge"), F.lit(0))).cast("double").alias("jumps"))
+    n, one = F.col("n"), F.lit(1.0)
+    value = (one - F.try_divide(n * F.col("jumps"), F.lit(2.0) * (n * F.col("l1") - F.col("l2"))) if ties
+             else one - F.try_divide(F.lit(3.0) * F.col("jumps"), n * n - one))
+    return sums.select("a", "b", value.alias("value"))
+
+
+def xi(df: DataFrame, x: str, y: str, keys=None, ties: bool = True) -> DataFrame:
+    return xi_pairs(df, [(x, y)], keys, ties)
 
 
 def xi_matrix(df: DataFrame, columns=None, keys=None) -> DataFrame | None:
     columns = list(columns or numeric_columns(df))
     if len(columns) < 2:
         return None
-    cells = _union([xi(df, a, b, keys) for a, b in permutations(columns, 2)])
-    return _matrix(cells, columns, 0.0)
+    return _matrix(xi_pairs(df, list(permutations(columns, 2)), keys), columns, 0.0)
 
 
 KINDS = {"pearson": pearson_matrix, "cramerv": cramers_v_matrix, "xi": xi_matrix}
