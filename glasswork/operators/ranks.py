@@ -129,24 +129,33 @@ def row_positions(df: DataFrame, order: str, keys, by=(), seed: int = 42) -> Dat
     return out.withColumnsRenamed({"_one_before": "position", "_one_total": "group_rows"}).drop("_one")
 
 
-def hash_rank(df: DataFrame, keys, by=(), seed: int = 42, at_most: Column | int | None = None,
+def hash_prefix(df: DataFrame, keys, sums, by=(), seed: int = 42, digits: int = HEX_DIGITS) -> DataFrame:
+    """Running sums in key hash order inside ``by``; the leading hash digits cut every group into slices."""
+    sums, by = list(sums), list(by)
+    df = df.withColumn("_hash", row_hash(keys, seed))
+    df = df.withColumn("_bucket", F.coalesce(hash_int(F.col("_hash"), digits), F.lit(0)))
+    ordering = [F.col("_hash"), *[F.col(k) for k in keys]]
+    return _local_sums(_join_offsets(df, sums, by), sums, by, ordering).drop("_hash", "_bucket")
+
+
+def hash_rank(df: DataFrame, keys, by=(), seed: int = 42, at_most: int | None = None,
               digits: int = HEX_DIGITS) -> DataFrame:
     """Add ``position`` (0-based) by key hash inside ``by``, and ``group_rows``.
 
-    The leading hash digits cut every group into equal slices, so even a class
-    holding most rows is ranked by thousands of tasks. With ``at_most`` only
-    the first rows are kept, and slices past the cut are dropped before sorting.
+    Even a class holding most rows is ranked by thousands of tasks. With
+    ``at_most`` only the first rows are kept, and slices that start past the
+    cut are dropped before sorting.
     """
     by = list(by)
     df = df.withColumn("_hash", row_hash(keys, seed)).withColumn("_one", F.lit(1).cast("bigint"))
-    df = _join_offsets(df.withColumn("_bucket", F.coalesce(hash_int(F.col("_hash"), digits), F.lit(0))), ["_one"], by)
+    df = df.withColumn("_bucket", F.coalesce(hash_int(F.col("_hash"), digits), F.lit(0)))
+    df = _join_offsets(df, ["_one"], by)
     if at_most is not None:
-        limit = F.lit(at_most) if isinstance(at_most, int) else at_most
-        df = df.filter(F.col("_o__one") < limit)
+        df = df.filter(F.col("_o__one") < at_most)
     df = _local_sums(df, ["_one"], by, [F.col("_hash"), *[F.col(k) for k in keys]])
     df = df.withColumnsRenamed({"_one_before": "position", "_one_total": "group_rows"})
     if at_most is not None:
-        df = df.filter(F.col("position") < limit)
+        df = df.filter(F.col("position") < at_most)
     return df.drop("_hash", "_one", "_bucket")
 
 
