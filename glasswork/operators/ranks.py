@@ -198,3 +198,38 @@ def quantile_edges(df: DataFrame, value: str, probs, by=(), weight: str | None =
     rows = quantiles(df, value, probs, by, weight)
     pairs = F.sort_array(F.collect_list(F.struct("prob", "quantile")))
     return rows.groupBy(*by).agg(F.transform(pairs, lambda s: s["quantile"]).alias("edges"))
+
+
+def island_ids(df: DataFrame, order: str, value: Column, by=(), tie: Column | None = None, name: str = "island") -> DataFrame:
+    """Number the runs of equal ``value`` along ``order`` inside each ``by`` group, from 0.
+
+    Runs are numbered inside buckets; a bucket's offset counts the changes in
+    earlier buckets and at their edges.
+    """
+    by = list(by)
+    names = [order]
+    df = df.withColumn("_value", value)
+    if tie is not None:
+        df = df.withColumn("_tie", tie)
+        names.append("_tie")
+    placed = range_bucket(df, order, None if tie is None else F.col("_tie"))
+    ordering = [F.col(c).asc_nulls_first() for c in names]
+    here = W.partitionBy(*by, "_bucket").orderBy(*ordering)
+    change = (F.row_number().over(here) > 1) & ~F.col("_value").eqNullSafe(F.lag("_value").over(here))
+    flagged = placed.withColumn("_change", change.cast("bigint"))
+    local = flagged.withColumn("_local", F.sum("_change").over(here.rowsBetween(W.unboundedPreceding, 0)))
+    spot = F.struct(*names)
+    parts = local.groupBy(*by, "_bucket").agg(
+        F.sum("_change").alias("n"), F.min_by(F.struct("_value"), spot).alias("first"),
+        F.max_by(F.struct("_value"), spot).alias("last"))
+    along = W.partitionBy(*by).orderBy("_bucket")
+    before = F.lag("last").over(along)
+    parts = parts.withColumn("edge", (before.isNotNull() & ~F.col("first").eqNullSafe(before)).cast("bigint"))
+    start = F.sum("edge").over(along.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce(
+        F.sum("n").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select(*[F.col(c).alias(f"_o_{c}") for c in (*by, "_bucket")], start.alias("_start"))
+    on = F.col("_bucket") == F.col("_o__bucket")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    out = local.join(offsets, on).withColumn(name, F.col("_start") + F.col("_local"))
+    return out.drop("_value", "_tie", "_bucket", "_change", "_local", "_start", *[f"_o_{c}" for c in (*by, "_bucket")])
