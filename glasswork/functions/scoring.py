@@ -36,6 +36,27 @@ def term_text(term, output: int = 0, dialect: str = "spark", render=None) -> str
     return case_axis(names[0], term.axes[0], inner, zero)
 
 
+def index_text(feature: str, axis, dialect: str = "spark") -> str:
+    """CASE that gives the bin position; nothing fitting gives the position after the last bin."""
+    return case_axis(ident(feature, dialect), axis, [str(i) for i in range(len(axis))], str(len(axis)))
+
+
+def lookup_text(term, output: int = 0) -> str:
+    """Spark form of a term: a pair reads one array at its two bin positions.
+
+    A nested CASE of a fine grid would outgrow one generated method.
+    """
+    if len(term.features) == 1:
+        return term_text(term, output)
+    rows, cols = (len(a) for a in term.axes)
+    grid = [
+        number(term.scores[(i, j)][output]) if i < rows and j < cols else ZERO
+        for i in range(rows + 1) for j in range(cols + 1)
+    ]
+    first, second = (index_text(f, a) for f, a in zip(term.features, term.axes))
+    return f"array({', '.join(grid)})[({first}) * {cols + 1} + ({second})]"
+
+
 def _width(term) -> int:
     return len(next(iter(term.scores.values())))
 
@@ -45,12 +66,13 @@ def vector_text(term, dialect: str = "spark") -> str:
     return term_text(term, dialect=dialect, render=lambda s: f"array({', '.join(map(number, s))})")
 
 
-def contributions(model, dialect: str = "spark") -> list[tuple[str, str]]:
-    """(alias, text) of every term contribution, classes in order."""
+def contributions(model, dialect: str = "spark", portable: bool = False) -> list[tuple[str, str]]:
+    """(alias, text) of every term contribution, classes in order; ``portable`` text runs in any warehouse."""
     out = []
     for k, cls in enumerate(outputs(model)):
         if isinstance(model, AdditiveModel):
-            out += [(alias(f"{t.name}_score{suffix(cls)}"), term_text(t, k, dialect)) for t in model.terms]
+            out += [(alias(f"{t.name}_score{suffix(cls)}"),
+                     term_text(t, k, dialect) if portable else lookup_text(t, k)) for t in model.terms]
         else:
             out += [
                 (alias(f"{f}_score{suffix(cls)}"), f"{number(c)} * {ident(f, dialect)}")
@@ -138,7 +160,7 @@ def model_sql(model, split: bool = False, dialect: str = "ansi", source: str = S
     """The model as one SELECT (lateral aliases) or, with ``split``, as CTE layers."""
     if isinstance(model, TreeModel):
         return f"SELECT\n{tree_text(model, dialect=dialect)}\nAS prediction\nFROM {source}"
-    first = [("model_name", string(model.name)), *intercepts(model), *contributions(model, dialect)]
+    first = [("model_name", string(model.name)), *intercepts(model), *contributions(model, dialect, portable=True)]
     layers = [sums(model), *link(model)]
     if calibrator is not None and model.task == "binary":
         layers.append([("calibrated_probability", calibrator.sql("probability"))])

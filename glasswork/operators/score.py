@@ -42,7 +42,7 @@ def score_tree(df: DataFrame, model: TreeModel) -> DataFrame:
 
 def score_term(df: DataFrame, term, output: int = 0) -> DataFrame:
     """Add one term's contribution as ``{term}_score``."""
-    return _layer(df, [(alias(f"{term.name}_score"), sc.term_text(term, output))])
+    return _layer(df, [(alias(f"{term.name}_score"), sc.lookup_text(term, output))])
 
 
 def class_vectors(df: DataFrame, model: AdditiveModel, name: str = "class_scores") -> DataFrame:
