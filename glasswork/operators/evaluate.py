@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from glasswork.operators.ranks import prefix_sums, quantile_edges, quantiles
+from glasswork.operators.ranks import count_below, prefix_sums, quantile_edges, quantiles
 
 THRESHOLDS = 21
 
@@ -168,7 +168,7 @@ def calibration_curve(df: DataFrame, y: str = "y", p: str = "p", bins: int = 10,
     inner = [i / bins for i in range(1, bins)]
     edges = quantile_edges(counts, "p", inner, by, weight="n")
     joined = counts.join(edges, by) if by else counts.withColumn("edges", edges.scalar())
-    bin_no = F.size(F.filter("edges", lambda e: e < F.col("p")))
+    bin_no = count_below("edges", "p", bins - 1)
     return joined.groupBy(*by, bin_no.alias("bin")).agg(
         F.sum("n").alias("n"), (F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("mean_predicted"),
         (F.sum("pos") / F.sum("n")).alias("fraction_positive"))
@@ -257,9 +257,9 @@ def quantile_error(df: DataFrame, y: str = "y", yhat: str = "prediction", bins:
     rows = df.select(_dbl(y).alias("y"), (_dbl(yhat) - _dbl(y)).alias("diff")).dropna()
     edges = quantile_edges(rows, "y", [i / bins for i in range(bins + 1)]).select(F.array_distinct("edges"))
     rows = rows.withColumn("_edges", edges.scalar())
-    bin_no = F.greatest(F.size(F.filter("_edges", lambda e: e < F.col("y"))), F.lit(1))
-    rows = rows.select("diff", bin_no.alias("bin"), F.get("_edges", bin_no - 1).alias("lo"),
-                       F.coalesce(F.get("_edges", bin_no), F.get("_edges", bin_no - 1)).alias("hi"))
+    rows = rows.withColumn("bin", F.greatest(count_below("_edges", "y", bins + 1), F.lit(1)))
+    rows = rows.select("diff", "bin", F.get("_edges", F.col("bin") - 1).alias("lo"),
+                       F.coalesce(F.get("_edges", F.col("bin")), F.get("_edges", F.col("bin") - 1)).alias("hi"))
     box = quantiles(rows, "diff", [0.25, 0.5, 0.75], ["bin", "lo", "hi"]).groupBy("bin", "lo", "hi").agg(*[
         F.max(F.when(F.col("prob") == q, F.col("quantile"))).alias(name)
         for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from glasswork.functions.hashing import HEX_DIGITS, hash_int, row_hash
+from glasswork.functions.sqltext import ident
 
 BUCKETS = 256
 _STEP = 16
@@ -40,10 +41,13 @@ def range_bucket(df: DataFrame, order: str, tie: Column | None = None, buckets:
     ).select("b", F.filter("b", lambda v, i: i % _STEP == _STEP - 1).alias("coarse"))
     value = F.col(order)
     df = df.withColumn("_borders", borders.select(F.struct("b", "coarse")).scalar())
-    place = F.when(value.isNotNull(), _place(F.col("_borders"), value)).otherwise(-1)
+    v = ident(order)
+    df = df.withColumn("_skip", count_below("_borders.coarse", v, buckets // _STEP) * _STEP)
+    df = df.withColumn("_below", F.col("_skip") + count_below("_borders.b", v, _STEP, "_skip"))
+    hot = F.coalesce(F.get(F.col("_borders.b"), F.col("_below")) == value, F.lit(False))
+    place = F.when(value.isNotNull(), F.col("_below") * 2 + hot.cast("int")).otherwise(-1)
     # Declared non-null, or the join below would push a null test into the scan.
-    place = F.coalesce(place, F.lit(-1))
-    df = df.withColumn("_place", place).drop("_borders")
+    df = df.withColumn("_place", F.coalesce(place, F.lit(-1))).drop("_borders", "_skip", "_below")
     if tie is None:
         return df.withColumnRenamed("_place", "_bucket")
     hot = (F.col("_place") % 2 == 1) | value.isNull()
@@ -51,24 +55,13 @@ def range_bucket(df: DataFrame, order: str, tie: Column | None = None, buckets:
     return df.withColumn("_bucket", F.col("_place").cast("bigint") * _SUB + sub).drop("_place")
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value evaluated, and printed in the plan, once."""
-    return F.transform(F.array(value), body)[0]
+def count_below(array: str, value: str, size: int, start: str = "0") -> Column:
+    """How many of ``size`` sorted entries from ``start`` on lie strictly below a value; SQL text in.
 
-
-def _place(borders: Column, value: Column) -> Column:
-    """Twice the number of borders below, plus one on a border; two-level search."""
-
-    def count_below(array):
-        return F.size(F.filter(array, lambda v: v < value))
-
-    def on_border(b, below):
-        return F.coalesce(F.get(b, below) == value, F.lit(False)).cast("int")
-
-    return _let(borders, lambda s: _let(
-        count_below(s["coarse"]) * _STEP,
-        lambda skip: _let(skip + count_below(F.slice(s["b"], skip + 1, _STEP)),
-                          lambda below: below * 2 + on_border(s["b"], below))))
+    Written out entry by entry: unlike a lambda this stays inside generated code.
+    """
+    return F.expr(" + ".join(
+        f"coalesce(cast(get({array}, {start} + {i}) < {value} as int), 0)" for i in range(size)))
 
 
 def _join_offsets(df: DataFrame, sums, by, carry=(), ordering=()) -> DataFrame:
@@ -162,29 +155,43 @@ def hash_rank(df: DataFrame, keys, by=(), seed: int = 42, at_most: int | None =
 def quantiles(df: DataFrame, value: str, probs, by=(), weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, as rows (``by``..., prob, quantile).
 
-    Rows collapse to counts of distinct values, whose prefix sums tell which
-    value holds each wanted rank; no task ever sees a whole group. ``weight``
+    Rows collapse to counts of distinct values; bucket totals tell which few
+    buckets hold the wanted ranks, and only those are sorted. ``weight``
     names a column of row counts when ``df`` is already collapsed.
     """
     by = list(by)
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("_n"))
-    cum = prefix_sums(counts, value, ["_n"], by)
+    placed = range_bucket(counts, value)
+    along = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    parts = placed.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_rows")).select(
+        *by, "_bucket", "_rows", F.coalesce(F.sum("_rows").over(along), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(W.partitionBy(*by)).alias("_total"))
 
-    def rank(p):
-        return (F.col("_n_total") - 1).cast("double") * F.lit(float(p))
+    def inside(start, size):
+        """Whether a run of ranks holds either neighbour of a wanted rank."""
+        return lambda s: ((F.floor(s["rank"]) >= start) & (F.floor(s["rank"]) < start + size)) | (
+            (F.ceil(s["rank"]) >= start) & (F.ceil(s["rank"]) < start + size))
 
     wanted = F.array(*[
-        F.struct(F.lit(float(p)).alias("prob"), rank(p).alias("rank")) for p in probs
-    ])
-    start, end = F.col("_n_before"), F.col("_n_before") + F.col("_n")
+        F.struct(F.lit(float(p)).alias("prob"),
+                 ((F.col("_total") - 1).cast("double") * F.lit(float(p))).alias("rank")) for p in probs])
+    parts = parts.withColumn("_wanted", F.filter(wanted, inside(F.col("_before"), F.col("_rows")))).filter(
+        F.size("_wanted") > 0)
+    # Only buckets that hold a wanted rank are sorted; all others end at this join.
+    side = parts.select(*[F.col(c).alias(f"_o_{c}") for c in (*by, "_bucket")], "_before", "_wanted")
+    on = F.col("_bucket") == F.col("_o__bucket")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    near = placed.join(side, on)
+    local = W.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    near = near.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(local), F.lit(0)))
+    start, size = F.col("_start"), F.col("_n")
+    hits = near.withColumn("_hit", F.explode(F.filter("_wanted", inside(start, size))))
 
     def holds(r):
-        return (r >= start) & (r < end)
+        return (r >= start) & (r < start + size)
 
-    hits = cum.withColumn(
-        "_hit", F.explode(F.filter(wanted, lambda s: holds(F.floor(s["rank"])) | holds(F.ceil(s["rank"]))))
-    )
     low = F.max(F.when(holds(F.floor("_hit.rank")), F.col(value)))
     high = F.max(F.when(holds(F.ceil("_hit.rank")), F.col(value)))
     share = F.max(F.col("_hit.rank") - F.floor("_hit.rank"))

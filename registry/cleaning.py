@@ -17,13 +17,13 @@ MESSY = {
     "money": "case when c_custkey % 6 <> 0 then concat('$ ', cast(c_custkey % 99 + 1 as varchar(9)), ',250.75USD') end",
 }
 MESSY_SQL = "(SELECT c_custkey, " + ", ".join(f"{e} AS {n}" for n, e in MESSY.items()) + """,
-  ((DATE '2020-01-01' + (c_custkey % 700)::INTEGER)::DATE)::VARCHAR AS day FROM customer) AS m"""
+  ((DATE '2020-01-01' + (c_custkey * 11 % 700)::INTEGER)::DATE)::VARCHAR AS day FROM customer) AS m"""
 
 
 def messy(spark, sf):
     return table(spark, sf, "customer").select(
         "c_custkey", *[F.expr(e).cast("string").alias(n) for n, e in MESSY.items()],
-        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("c_custkey") % 700).cast("int")).cast("string").alias("day"))
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("c_custkey") * 11 % 700).cast("int")).cast("string").alias("day"))
 
 
 @query("parse_spaced_numbers", f"SELECT c_custkey, REPLACE(grouped, ' ', '')::DOUBLE AS grouped_numeric FROM {MESSY_SQL}")
