@@ -52,7 +52,9 @@ def pearson_matrix(df: DataFrame, columns=None) -> DataFrame | None:
 
 
 def _corr(a: str, b: str) -> Column:
-    return F.corr(F.col(a), F.col(b))
+    """Correlation over complete pairs, null for a constant side (where ``corr`` would divide by zero)."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.try_divide(F.covar_pop(F.col(a), F.col(b)), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -91,10 +91,12 @@ def distinct_counts(df: DataFrame, columns) -> DataFrame:
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns
     ])).alias("s")).select("s.*")
-    values = pairs.groupBy("column", "v").agg(F.count("*").alias("n"))
+    # Long texts travel as digests of the whole text.
+    short = F.when(F.length("v") > 64, F.sha2("v", 256)).otherwise(F.col("v"))
+    values = pairs.groupBy("column", F.length("v").alias("size"), short.alias("v")).agg(F.count("*").alias("n"))
     return values.groupBy("column").agg(
         F.sum("n").alias("n_rows"), F.count("v").alias("n_distinct"),
-        F.size(F.collect_set(F.length("v"))).alias("n_lengths"), F.bool_or(F.col("v").isNull()).alias("has_null"))
+        F.size(F.collect_set("size")).alias("n_lengths"), F.bool_or(F.col("v").isNull()).alias("has_null"))
 
 
 def approx_distinct_counts(df: DataFrame, columns, rsd: float = 0.01) -> DataFrame:
@@ -120,12 +122,12 @@ def infer_types(df: DataFrame, columns=None, dates: bool = True) -> dict[str, st
     flags = []
     for c in columns:
         v = F.col(c)
+        date = F.when(v.isNotNull(), as_timestamp(v).isNotNull()) if dates else F.lit(False)
         flags += [
             F.bool_and(v.isin(*BOOLEANS)).alias(f"{c}|boolean"),
             F.bool_and(v.rlike(r"^\s*[+-]?[0-9]{1,18}\s*$")).alias(f"{c}|bigint"),
-            F.bool_and(as_number(v).isNotNull()).alias(f"{c}|double"),
-            F.bool_and(as_timestamp(v).isNotNull()).alias(f"{c}|timestamp") if dates
-            else F.lit(False).alias(f"{c}|timestamp"),
+            F.bool_and(v.rlike(NUMBER)).alias(f"{c}|double"),
+            F.bool_and(date).alias(f"{c}|timestamp"),
         ]
     row = df.agg(*flags).first()
     order = ("boolean", "bigint", "double", "timestamp")
