@@ -4,7 +4,7 @@ Rows are binned once. A pass over them sums gradients per bin and curvature
 per pair of bins; these sums fix the second-order model of the loss exactly, so
 all boosting rounds of that pass run on the driver over a matrix of bins, not
 of rows. Squared loss is quadratic and needs one pass; log losses are refitted
-around the current scores a few times. Each pass is a map-side combined
+around the current scores a few times, under a guard that the loss must not rise. Each pass is a map-side combined
 aggregate whose result depends on bins only.
 """
 
@@ -26,6 +26,9 @@ MAX_PAIR_BINS = 4_000
 # Below this many bin combinations rows collapse to one weighted row per combination.
 MAX_CELLS = 10_000_000
 RIDGE = 1e-6
+# Log losses: largest change of a bin's score per pass, and the gain per row that ends the passes.
+REACH = 2.0
+TOLERANCE = 1e-9
 
 
 def target_classes(df: DataFrame, target: str, limit: int = 1_000) -> tuple:
@@ -154,7 +157,7 @@ def _statistics(rows: DataFrame, state: _State, pairwise: bool):
             at = state.starts[f] + i
             for k in range(state.outputs):
                 grad[k, at], diag[k, at] = r[f"g{k}"], r[f"h{k}"]
-        return grad, [np.diag(d) if size <= MAX_PAIR_BINS else d for d in diag]
+        return grad, list(diag)
     pairs = [(f, f) for f in range(count)] + list(combinations(range(count), 2))
     curve = np.zeros((state.outputs, size, size))
     for f, i, o, j, r in _pair_sums(rows, state, pairs):
@@ -215,17 +218,21 @@ def _step(g: np.ndarray, h: np.ndarray, kind: str, max_leaves: int) -> np.ndarra
     return out
 
 
-def _boost(state: _State, k: int, grad: np.ndarray, curve: np.ndarray, rounds: int, rate: float, max_leaves: int) -> None:
-    """Round-robin boosting of the quadratic model of output ``k``."""
+def _boost(state: _State, k: int, grad: np.ndarray, curve: np.ndarray, rounds: int, rate: float, max_leaves: int,
+           reach: float) -> None:
+    """Round-robin boosting of the quadratic model of output ``k``; no bin moves by more than ``reach``."""
     left = grad.copy()
     size = np.diag(curve)
     start = float(np.sum(grad**2 / (size + RIDGE)))
+    origin = state.scores[k].copy()
     for _ in range(rounds):
         before = left.copy()
         for f, kind in enumerate(state.kinds):
             at = state.slice(f)
             delta = rate * _step(left[at], size[at], kind, max_leaves)
-            state.scores[k, at] += delta
+            goal = np.clip(state.scores[k, at] + delta, origin[at] - reach, origin[at] + reach)
+            delta = goal - state.scores[k, at]
+            state.scores[k, at] = goal
             left -= curve[:, at] @ delta
         if np.sum((left - before) ** 2 / (size + RIDGE)) <= 1e-12 * (start + RIDGE):
             break
@@ -260,8 +267,9 @@ def fit_additive(df: DataFrame, target: str, features, task: str, name: str = "e
                  interactions: int = 0, bags: int = 8, classes: tuple = (), history: list | None = None) -> AdditiveModel:
     """Fit shape functions (and ``interactions`` pair terms) for regression, binary or multiclass targets.
 
-    ``history`` collects the summed loss before each pass. Standard errors come
-    from a jackknife over ``bags`` hash groups of rows.
+    ``history`` collects the summed loss of the accepted passes; a pass that
+    raises it is halved. Standard errors come from a jackknife over ``bags``
+    hash groups of rows.
     """
     features = list(features)
     classes = classes or (() if task == "regression" else target_classes(df, target))
@@ -278,28 +286,41 @@ def fit_additive(df: DataFrame, target: str, features, task: str, name: str = "e
         state.intercept = np.log(p / (1 - p)) if task == "binary" else np.log(p)
     pairwise = state.total <= MAX_PAIR_BINS
     if passes is None:
-        passes = 1 if task == "regression" else 5
-        if not pairwise:
-            passes = max(20, 2 * len(features))
+        passes = (1 if task == "regression" else 8) if pairwise else max(20, 2 * len(features))
+    # The quadratic model of a log loss holds near the current scores only.
+    reach = np.inf if task == "regression" else REACH
+    # Shared curvature of the softmax outputs: their diagonal alone overstates a joint step.
+    share = (outputs - 1) / outputs if task == "multiclass" else 1.0
+    accepted, best = state.scores.copy(), np.inf
     for _ in range(passes):
         scored = _derivatives(rows, state, task)
+        loss = scored.agg(_loss(scored, state, task)).first()[0]
+        if loss is None or loss > best:
+            # Overshot: go back half of the way and look again.
+            state.scores = (accepted + state.scores) / 2
+            continue
+        gained, best, accepted = best - loss, loss, state.scores.copy()
         if history is not None:
-            history.append(scored.agg(_loss(scored, state, task)).first()[0])
+            history.append(loss)
+        if gained <= TOLERANCE * total:
+            break
         grad, curve = _statistics(scored, state, pairwise)
         for k in range(outputs):
             if pairwise:
-                # Shared curvature of the softmax outputs: their diagonal alone overstates a joint step.
-                share = 1.0 if task != "multiclass" else (outputs - 1) / outputs
-                _boost(state, k, grad[k] * share, curve[k], rounds, learning_rate, max_leaves)
-            else:
-                # Too many bins for the pair matrix: average of single-feature steps, which never raises the loss.
-                size = np.diag(curve[k]) if curve[k].ndim == 2 else curve[k]
-                for f, kind in enumerate(state.kinds):
-                    at = state.slice(f)
-                    state.scores[k, at] += _step(grad[k][at], size[at], kind, max_leaves) / len(features)
+                _boost(state, k, grad[k] * share, curve[k], rounds, learning_rate, max_leaves, reach)
+                continue
+            # Too many bins for the pair matrix: the average of single-feature steps.
+            for f, kind in enumerate(state.kinds):
+                at = state.slice(f)
+                step = np.clip(_step(grad[k][at], curve[k][at], kind, max_leaves), -reach, reach)
+                state.scores[k, at] += step / len(features)
     scored = _derivatives(rows, state, task)
-    if history is not None:
-        history.append(scored.agg(_loss(scored, state, task)).first()[0])
+    loss = scored.agg(_loss(scored, state, task)).first()[0]
+    if loss is None or loss > best:
+        state.scores = accepted
+        scored = _derivatives(rows, state, task)
+    elif history is not None:
+        history.append(loss)
     stderr, weights = _jackknife(scored, state, bags)
     _center(state, weights)
     terms = [_term(f, a, state, i, stderr) for i, (f, a) in enumerate(axes.items())]

@@ -14,6 +14,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="glasswork-"))
     return df.checkpoint(eager=True)

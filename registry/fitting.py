@@ -80,7 +80,7 @@ SELECT {SHIP} AS ship, ROUND(AVG(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)
 def _(spark, sf):
     """One categorical feature: the fitted probability is the share of positives per category."""
     rows = step_rows(spark, sf)
-    model = fit_additive(rows, "y", ["ship"], "binary", rounds=1000, passes=6, bags=1)
+    model = fit_additive(rows, "y", ["ship"], "binary", rounds=1000, bags=1)
     return rounded(predict(rows, model).select("ship", "probability").distinct(), "probability", digits=4)
 
 
@@ -90,7 +90,7 @@ SELECT {SHIP} AS ship, ROUND(AVG((l_returnflag = 'A')::INTEGER), 3)::DOUBLE AS "
   ROUND(AVG((l_returnflag = 'R')::INTEGER), 3)::DOUBLE AS "probability_R" FROM lineitem GROUP BY 1""")
 def _(spark, sf):
     rows = step_rows(spark, sf)
-    model = fit_additive(rows, "l_returnflag", ["ship"], "multiclass", rounds=1000, passes=12, bags=1)
+    model = fit_additive(rows, "l_returnflag", ["ship"], "multiclass", rounds=1000, passes=20, bags=1)
     probs = probability_columns(model)
     return rounded(predict(rows, model).select("ship", *probs).distinct(), *probs, digits=3)
 

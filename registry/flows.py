@@ -37,7 +37,7 @@ def _summary(result, names):
     return out
 
 
-@query("run_binary")
+@query("run_documents")
 def _(spark, sf):
     """Document quality from length, language and source, by an additive model."""
     rows = table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source").join(
@@ -47,12 +47,34 @@ def _(spark, sf):
     return _summary(flows.run(rows, config, "ebm", ["doc_id"]), ["roc_auc", "pr_auc", "brier"])
 
 
-@query("run_regression")
+@query("run_binary", f"""
+WITH o AS (SELECT o_orderkey, o_orderpriority AS c, (o_orderstatus = 'F')::INTEGER AS y FROM orders),
+f AS (SELECT *, (ROW_NUMBER() OVER (PARTITION BY y ORDER BY {ORDER_HASH}) - 1) % 5 AS fold FROM o),
+t AS (SELECT c, AVG(y) AS p FROM o GROUP BY c),
+v AS (SELECT k, c, AVG(y) AS p FROM f, range(5) AS r(k) WHERE fold <> k GROUP BY k, c)
+SELECT 'train' AS data_type, ROUND(AVG(POW(y - p, 2)), 5)::DOUBLE AS brier FROM o JOIN t USING (c)
+UNION ALL SELECT 'test', ROUND(AVG(POW(y - p, 2)), 5)::DOUBLE FROM f JOIN v ON v.c = f.c AND k = fold""")
 def _(spark, sf):
-    """Part price by least squares on its size and key."""
-    rows = table(spark, sf, "part").withColumn("p_number", F.col("p_partkey") * 1.0)
-    config = {"target": "p_retailprice", "features": ["p_size", "p_number"], "model_params": {"alpha": 0.0}}
-    return _summary(flows.run(rows, config, "l_regression", ["p_partkey"]), ["regression_metrics"])
+    """The whole flow on one categorical feature, whose fitted probabilities are the shares in the training folds."""
+    rows = table(spark, sf, "orders").withColumn("y", (F.col("o_orderstatus") == "F").cast("int"))
+    config = {"target": "y", "features": ["o_orderpriority"], "model_params": {"rounds": 500, "bags": 1}}
+    result = flows.run(rows, config, "ebm", ["o_orderkey"])
+    return rounded(result.tables["brier"], "brier", digits=5)
+
+
+@query("run_regression", f"""
+WITH f AS (SELECT o_custkey AS x, o_totalprice AS y, ('0x' || SUBSTR({ORDER_HASH}, 1, 8))::BIGINT % 5 AS fold FROM orders),
+b AS (SELECT k, REGR_SLOPE(y, x) AS s, REGR_INTERCEPT(y, x) AS i FROM f, range(-1, 5) AS r(k) WHERE fold <> k GROUP BY k),
+e AS (SELECT CASE WHEN k < 0 THEN 'train' ELSE 'test' END AS data_type, i + s * x - y AS e FROM f JOIN b ON k = fold OR k < 0)
+SELECT data_type, 'mae' AS metric, ROUND(AVG(ABS(e)), 2) AS value FROM e GROUP BY 1
+UNION ALL SELECT data_type, 'max_error', ROUND(MAX(ABS(e)), 2) FROM e GROUP BY 1
+UNION ALL SELECT data_type, 'median_ae', ROUND(quantile_cont(ABS(e), 0.5), 2) FROM e GROUP BY 1""")
+def _(spark, sf):
+    """The whole flow with least squares on one feature."""
+    config = {"target": "o_totalprice", "features": ["o_custkey"], "model_params": {"alpha": 0.0}}
+    result = flows.run(table(spark, sf, "orders"), config, "l_regression", ["o_orderkey"])
+    out = result.tables["regression_metrics"].filter(F.col("metric").isin("mae", "max_error", "median_ae"))
+    return rounded(out, "value", digits=2)
 
 
 @query("run_multiclass_tree")

@@ -42,6 +42,18 @@ def test_binary_recovers_probability(rows):
     assert gap < 0.06 and len(model.terms) == 4
 
 
+def test_rare_positives_do_not_overshoot(spark):
+    """A bin of half positives in a table of 0.5 % positives: plain Newton steps would diverge."""
+    df = spark.range(40000).select(
+        F.when(F.col("id") < 200, "hot").otherwise("cold").alias("c"), (F.col("id") % 7).cast("double").alias("x"),
+        F.when(F.col("id") < 200, F.col("id") % 2).otherwise((F.col("id") % 400 == 0).cast("int")).alias("y"))
+    history = []
+    model = fit_additive(df, "y", ["c", "x"], "binary", history=history)
+    got = {r["c"]: r["p"] for r in predict(df, model).groupBy("c").agg(F.avg("probability").alias("p")).collect()}
+    assert got["hot"] == pytest.approx(0.5, abs=0.02) and got["cold"] == pytest.approx(0.0025, abs=0.0005)
+    assert history == sorted(history, reverse=True)
+
+
 def test_too_many_bins_for_pairs(rows, monkeypatch):
     """The fallback without the pair matrix still lowers the loss in every pass."""
     from glasswork.operators import additive
