@@ -20,6 +20,7 @@ from glasswork.functions.sqltext import number
 from glasswork.models import AdditiveModel, Term
 from glasswork.operators.binning import MAX_BINS, bin_features, bin_index, kind_of
 from glasswork.sources.checkpoint import cut_lineage
+from glasswork.sources.session import with_small_methods
 
 # Largest number of bins over all features whose pair matrix the driver holds (8 bytes each, squared).
 MAX_PAIR_BINS = 4_000
@@ -47,7 +48,7 @@ def binned_rows(df: DataFrame, target: str, axes: dict, task: str, classes=(), b
     """
     names = [f"b{i}" for i in range(len(axes))]
     bag = (hash_int(row_hash(df.columns, "bag")) % bags).cast("int") if bags > 1 else F.lit(0)
-    rows = df.filter(F.col(target).isNotNull())
+    rows = with_small_methods(df).filter(F.col(target).isNotNull())
     if task == "regression":
         ys = [F.col(target).cast("double").alias("y0")]
     elif task == "binary":

@@ -8,6 +8,7 @@ from glasswork.functions import scoring as sc
 from glasswork.models import AdditiveModel, LinearModel, TreeModel
 from glasswork.operators.binning import bin_index
 from glasswork.operators.ranks import hash_rank
+from glasswork.sources.session import with_small_methods
 from glasswork.sources.store import extract_lookup
 
 
@@ -19,7 +20,7 @@ def term_importance(df: DataFrame, model) -> DataFrame:
     """Rows (term, importance): mean absolute contribution over the rows, averaged over classes. One pass."""
     pairs = sc.contributions(model)
     names, outputs = term_names(model), len(sc.outputs(model))
-    scored = df.select(*[F.expr(text).alias(f"c{i}") for i, (_, text) in enumerate(pairs)])
+    scored = with_small_methods(df).select(*[F.expr(text).alias(f"c{i}") for i, (_, text) in enumerate(pairs)])
     means = scored.agg(*[F.avg(F.abs(f"c{i}")).alias(f"c{i}") for i in range(len(pairs))])
     rows = []
     for i, n in enumerate(names):
@@ -66,7 +67,7 @@ def explain_rows(df: DataFrame, model, keys, n: int | None = 10, seed: int = 42)
         parts = [F.expr(text).alias(f"c{i}") for i, (_, text) in enumerate(pairs)]
     outputs = [str(c) for c in sc.outputs(model)] if not isinstance(model, TreeModel) else ["None"]
     features = [t.features for t in model.terms] if isinstance(model, AdditiveModel) else [(f,) for f in names]
-    scored = rows.select("*", *parts)
+    scored = with_small_methods(rows).select("*", *parts)
     cells = []
     for k, cls in enumerate(outputs):
         for i, name in enumerate(names):

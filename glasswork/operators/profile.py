@@ -34,6 +34,10 @@ def is_floating(kind: str) -> bool:
     return kind in _FLOATING or kind.startswith("decimal")
 
 
+def is_feature_type(kind: str) -> bool:
+    return is_integral(kind) or is_floating(kind) or kind in ("string", "boolean")
+
+
 def check_target(df: DataFrame, target: str) -> DataFrame:
     """One row: distinct non-null values, extremes and a verdict.
 

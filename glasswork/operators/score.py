@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 from glasswork.functions import scoring as sc
 from glasswork.functions.sqltext import alias, label, number
 from glasswork.models import AdditiveModel, TreeModel
+from glasswork.sources.session import with_small_methods
 
 
 def _layer(df: DataFrame, pairs) -> DataFrame:
-    return df.select("*", *[F.expr(text).alias(name) for name, text in pairs])
+    return with_small_methods(df).select("*", *[F.expr(text).alias(name) for name, text in pairs])
 
 
 def score(df: DataFrame, model, calibrator=None) -> DataFrame:
@@ -105,7 +106,7 @@ def leaf_stats(df: DataFrame, model: TreeModel) -> DataFrame:
 
 def run_sql_model(sql: str, df: DataFrame, view: str = "_scored_source") -> DataFrame:
     """Run exported SQL text over a DataFrame."""
-    df.createOrReplaceTempView(view)
+    with_small_methods(df).createOrReplaceTempView(view)
     return df.sparkSession.sql(sql.replace(sc.SOURCE, view))
 
 

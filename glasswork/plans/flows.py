@@ -17,7 +17,7 @@ from glasswork.operators.score import export_sql, predict, probability_columns
 from glasswork.operators.tree import fit_tree
 from glasswork.plans.options import Options
 from glasswork.sources.checkpoint import cut_lineage
-from glasswork.sources.tables import DEFAULT_NULLS, read_table, write_clean
+from glasswork.sources.tables import DEFAULT_NULLS, nullify, read_table, write_clean
 
 MODELS = ("ebm", "l_regression", "decision_tree")
 
@@ -135,8 +135,13 @@ def run(df: DataFrame, config: dict, kind: str, keys) -> Run:
     profile.require_target(df, options.target)
     df = clean.drop_null_target(df, options.target)
     task = profile.infer_task(df, options.target)
+    kinds = dict(df.dtypes)
+    # Dates, intervals and nested values are no features; a boolean target counts as 0 and 1.
+    features = [f for f in features if profile.is_feature_type(kinds[f])]
     extra = [c for c in [*keys, options.time_column] if c]
-    df = df.select(*dict.fromkeys([*extra, *features, options.target]))
+    df = nullify(df.select(*dict.fromkeys([*extra, *features, options.target])), ())
+    if kinds[options.target] == "boolean":
+        df = df.withColumn(options.target, F.col(options.target).cast("int"))
     cleaned, features = clean.clean_pipeline(df, options.target, features, kind, task)
     if options.max_rows:
         cleaned = splits.limit_rows(cleaned, keys, options.max_rows, options.seed)
@@ -173,6 +178,7 @@ def tables(predictions: DataFrame, model) -> dict[str, DataFrame]:
 
 def check_model(model, df: DataFrame, keys, calibrator=None, rows: int | None = 10) -> tuple[dict, DataFrame]:
     """Evaluation tables of a saved model on a new table, and explanations of some rows."""
+    df = nullify(df, ())
     scored = apply_model(df, model, calibrator).withColumn("data_type", F.lit("test"))
     return tables(scored, model), explain.explain_rows(df, model, keys, rows)
 

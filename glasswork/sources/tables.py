@@ -20,7 +20,7 @@ def nullify(df: DataFrame, tokens=TRAIN_NULLS) -> DataFrame:
     cols = []
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
-        if kind == "string":
+        if kind == "string" and tokens:
             c = F.when(~c.isin(*tokens), c).alias(name)
         elif kind in ("double", "float"):
             c = F.when(~F.isnan(c), c).alias(name)

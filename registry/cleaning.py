@@ -151,7 +151,7 @@ def _(spark, sf):
     return limit_rows(table(spark, sf, "orders"), ["o_orderkey"], 700).select("o_orderkey", "o_totalprice")
 
 
-@query("clean_pipeline", f"""
+@query("clean_table", f"""
 SELECT p_partkey, kind, brand, CASE flag WHEN 'True' THEN 1 WHEN 'False' THEN 0 END AS flag,
   CASE WHEN big THEN 1 ELSE 0 END AS big, p_retailprice FROM {HOLES} WHERE brand IS NOT NULL AND brand <> 'single'""")
 def _(spark, sf):

@@ -17,7 +17,7 @@ def rows(spark):
     """A known additive log-odds, with missing values and a category."""
     u = [F.conv(F.substring(F.md5(F.concat(F.lit(f"{i}|"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
          for i in range(4)]
-    df = spark.range(8000).select(
+    df = spark.range(4000).select(
         "id", F.when(F.col("id") % 11 != 0, u[0] * 10).alias("x"), u[1].alias("z"),
         F.when(u[2] < 0.3, "a").when(u[2] < 0.7, "b").otherwise("it's").alias("c"), u[3].alias("draw"))
     logit = F.coalesce(F.when(F.col("x") > 6, 1.5).otherwise(-1.0), F.lit(0.5)) + F.when(F.col("c") == "a", 1.0).otherwise(0.0)
@@ -144,6 +144,17 @@ def test_time_series_run(rows):
     assert result.predictions.filter("data_type = 'test'").count() == n // 6 * 5
 
 
+def test_run_on_unusual_columns(rows):
+    """A boolean target, NaN in a feature and a date column that is no feature."""
+    data = rows.limit(600).select("id", F.when(F.col("id") % 5 == 0, float("nan")).otherwise(F.col("x")).alias("x"), "c",
+                                  F.expr("date'2024-01-01' + cast(id as int)").alias("day"), (F.col("y") == 1).alias("flag"))
+    config = {"target": "flag", "model_params": {"rounds": 20, "passes": 2, "bags": 1, "max_bins": 8}}
+    result = flows.run(data, config, "ebm", ["id"])
+    assert result.features == ("x", "c") and result.model.classes == (0, 1)
+    assert result.predictions.filter("probability IS NULL OR isnan(probability)").count() == 0
+    assert {r["predicted"] for r in result.tables["confusion_matrix"].collect()} <= {0, 1}
+
+
 def test_clean_data_flow(spark, tmp_path):
     path = tmp_path / "raw.csv"
     path.write_text("a,d,m\n1,2020-01-01,5USD\nx,2020-01-02,6USD\n3,2020-01-03,7.5EUR\n")

@@ -157,3 +157,8 @@ def test_export_on_pandas_frame():
     con.register("t", pd.DataFrame({"l_quantity": [1.0, 30.0], "l_discount": [0.0, 0.06]}))
     out = con.execute(model_sql(TREE, source="t")).fetchall()
     assert out == [("A",), ("N",)]
+
+
+def test_generated_methods_stay_small(spark, rows):
+    score(rows, BINARY)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
