@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,11 +10,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from glasswork.sources.checkpoint import shared_dir
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did, whatever folder they start in."""
+    import glasswork
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(glasswork.__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (``_id`` long, ``_text`` string): every row stays, a null text reads as ''.
 
     Only the two named columns are taken, so extra columns cannot clash.
     """
+    importable(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from glasswork.llm.inputs import written
+from glasswork.llm.inputs import importable, written
 from glasswork.llm.tokenizing import encoder
 from glasswork.sources.checkpoint import cut_lineage
 
@@ -41,6 +41,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col="
               source_col="source") -> DataFrame:
     """Rows (id, source, part, before, n, ids) in a written table; ``before`` counts the source's
     earlier tokens in the same part. A null text is empty, a null source a source of its own."""
+    importable(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 TOKENIZER_BYTES, TOKENIZER_WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
+# The one installed vocabulary of pieces with scores; op2 reads it as a unigram vocabulary.
+TOKENIZER_UNIGRAM = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -18,6 +20,19 @@ def _table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_counts(spark, sf_dir: str) -> DataFrame:
+    from glasswork.llm.token_counts import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER_UNIGRAM))
+
+
+def op3_importance_resampling(spark, sf_dir: str) -> DataFrame:
+    from glasswork.llm.importance import fit, resample
+
+    docs = _table(spark, sf_dir, "documents")
+    return resample(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_token_files(spark, sf_dir: str) -> DataFrame:
     from glasswork.llm.token_files import read_token_files, write_token_files
 
@@ -32,8 +47,20 @@ def op8_packing(spark, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op10_toxicity(spark, sf_dir: str) -> DataFrame:
+    from glasswork.llm.toxicity import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("_id").cast("string")) % 3 == 1
+    model = fit(docs, _table(spark, sf_dir, "labels"), where=~held_out)
+    scored = score(docs, model)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_sentences", "worst")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_token_files, op8_packing)}
+    return {f.__name__: f for f in (
+        op2_token_counts, op3_importance_resampling, op5_token_files, op8_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
