@@ -46,7 +46,8 @@ class PieceCache(dict):
 
 def words_of(text: str) -> list[str]:
     """Lower-case runs of letters and digits."""
-    return _WORD.findall(text.lower())
+    low = text.lower()
+    return [low] if low.isalnum() else _WORD.findall(low)
 
 
 def word_hash(word: str) -> int:
@@ -61,7 +62,7 @@ class WordHasher:
 
     @staticmethod
     def _make(piece: str) -> bytes:
-        return np.array([word_hash(w) for w in words_of(piece)], "<u8").tobytes()
+        return b"".join([word_hash(w).to_bytes(8, "little") for w in words_of(piece)])
 
     def __call__(self, text: str) -> np.ndarray:
         return np.frombuffer(self.cache.join(text.split(" ")), "<u8")

@@ -20,6 +20,12 @@ def _table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark, sf_dir: str) -> DataFrame:
+    from glasswork.llm.decontamination import find_items
+
+    return find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:
     from glasswork.llm.token_counts import count_tokens
 
@@ -40,6 +46,12 @@ def op5_token_files(spark, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
+def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:
+    from glasswork.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark, sf_dir: str) -> DataFrame:
     from glasswork.llm.packing import pack
 
@@ -60,7 +72,8 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op2_token_counts, op3_importance_resampling, op5_token_files, op8_packing, op10_toxicity)}
+        op1_decontamination, op2_token_counts, op3_importance_resampling, op5_token_files, op7_near_duplicates, op8_packing,
+        op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
