@@ -46,6 +46,12 @@ def op5_token_files(spark, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
+def op6_secrets(spark, sf_dir: str) -> DataFrame:
+    from glasswork.llm.secrets import digest, find_secrets
+
+    return digest(find_secrets(_table(spark, sf_dir, "documents")))
+
+
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:
     from glasswork.llm.near_duplicates import near_duplicates
 
@@ -72,7 +78,7 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_decontamination, op2_token_counts, op3_importance_resampling, op5_token_files, op7_near_duplicates, op8_packing,
+        op1_decontamination, op2_token_counts, op3_importance_resampling, op5_token_files, op6_secrets, op7_near_duplicates, op8_packing,
         op10_toxicity)}
 
 
