@@ -65,6 +65,16 @@ def op8_packing(spark, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op9_language_model(spark, sf_dir: str) -> DataFrame:
+    from glasswork.llm.language_model import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("_id").cast("string")) % 7 == 2, F.lit(False))
+    scored = score(docs, fit(docs, ~held_out))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     from glasswork.llm.toxicity import fit, score
 
@@ -78,7 +88,7 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_decontamination, op2_token_counts, op3_importance_resampling, op5_token_files, op6_secrets, op7_near_duplicates, op8_packing,
+        op1_decontamination, op2_token_counts, op3_importance_resampling, op5_token_files, op6_secrets, op7_near_duplicates, op8_packing, op9_language_model,
         op10_toxicity)}
 
 
