@@ -39,6 +39,12 @@ def op3_importance_resampling(spark, sf_dir: str) -> DataFrame:
     return resample(docs, fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
+    from glasswork.llm.neighbour_graph import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op5_token_files(spark, sf_dir: str) -> DataFrame:
     from glasswork.llm.token_files import read_token_files, write_token_files
 
@@ -88,7 +94,7 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_decontamination, op2_token_counts, op3_importance_resampling, op5_token_files, op6_secrets, op7_near_duplicates, op8_packing, op9_language_model,
+        op1_decontamination, op2_token_counts, op3_importance_resampling, op4_nearest_neighbours, op5_token_files, op6_secrets, op7_near_duplicates, op8_packing, op9_language_model,
         op10_toxicity)}
 
 
