@@ -230,3 +230,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
         named = labelled.join(least, "label")
     return banded.select("_id", "md5").join(named.select("md5", "class_id", "copies"), "md5").select(
         F.col("_id").alias("doc_id"), "class_id", "copies")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, text_col: str = "text") -> DataFrame:
+    """The documents, all columns, with one row per class: its first row in a numbering that is written with the rows.
+
+    Numbers make rows distinct where ids repeat or are null. The numbers to drop
+    are broadcast where a count proves them few, and joined otherwise.
+    """
+    names = docs.columns
+    kept = F.struct(*[F.col(c) for c in names]).alias("doc")
+    numbered = written(docs.select(kept).withColumn("number", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select("number", F.col("doc").getField(text_col).alias("text")), similarity, "number")
+    extra = _bounded(found.filter("doc_id != class_id").select(F.col("doc_id").alias("number")))
+    return numbered.join(extra, "number", "left_anti").select(*[F.col("doc").getField(c).alias(c) for c in names])
