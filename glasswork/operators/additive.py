@@ -40,14 +40,18 @@ def target_classes(df: DataFrame, target: str, limit: int = 1_000) -> tuple:
     return tuple(sorted(r[0] for r in rows))
 
 
-def binned_rows(df: DataFrame, target: str, axes: dict, task: str, classes=(), bags: int = 1) -> DataFrame:
+def binned_rows(df: DataFrame, target: str, axes: dict, task: str, classes=(), bags: int = 1, keys=()) -> DataFrame:
     """Rows (b0, b1, .., n, y.., bag): bin positions, weight and target sums.
 
+    A row's bag follows from its ``keys``, so equal rows fall into different
+    bags; without keys, from its place in the table.
+
     With few possible combinations all equal rows collapse into one; the table
     is written once and read by every pass.
     """
     names = [f"b{i}" for i in range(len(axes))]
-    bag = (hash_int(row_hash(df.columns, "bag")) % bags).cast("int") if bags > 1 else F.lit(0)
+    place = hash_int(row_hash(keys, "bag")) if keys else F.xxhash64(F.monotonically_increasing_id())
+    bag = F.pmod(place, F.lit(bags)).cast("int") if bags > 1 else F.lit(0)
     rows = with_small_methods(df).filter(F.col(target).isNotNull())
     if task == "regression":
         ys = [F.col(target).cast("double").alias("y0")]
@@ -265,18 +269,21 @@ def _loss(rows: DataFrame, state: _State, task: str) -> Column:
 
 def fit_additive(df: DataFrame, target: str, features, task: str, name: str = "ebm", max_bins: int = MAX_BINS,
                  rounds: int = 200, learning_rate: float = 0.1, max_leaves: int = 3, passes: int | None = None,
-                 interactions: int = 0, bags: int = 8, classes: tuple = (), history: list | None = None) -> AdditiveModel:
+                 interactions: int = 0, bags: int = 8, classes: tuple = (), history: list | None = None, keys=()) -> AdditiveModel:
     """Fit shape functions (and ``interactions`` pair terms) for regression, binary or multiclass targets.
 
     ``history`` collects the summed loss of the accepted passes; a pass that
     raises it is halved. Standard errors come from a jackknife over ``bags``
-    hash groups of rows.
+    groups of rows, dealt out by ``keys``, the columns that identify a row.
+    ``interactions`` are for regression and binary targets.
     """
     features = list(features)
+    if interactions and task == "multiclass":
+        raise ValueError("interactions are fitted for regression and binary targets only")
     classes = classes or (() if task == "regression" else target_classes(df, target))
     axes = bin_features(df.select(*features), features, max_bins)
     outputs = len(classes) if task == "multiclass" else 1
-    rows = binned_rows(df.select(*dict.fromkeys([*features, target])), target, axes, task, classes, bags)
+    rows = binned_rows(df.select(*dict.fromkeys([*features, target, *keys])), target, axes, task, classes, bags, keys)
     state = _State(axes, outputs)
     first = rows.agg(F.sum("n"), *[F.sum(f"y{k}") for k in range(outputs)]).first()
     total, means = first[0] or 1.0, np.array([first[1 + k] or 0.0 for k in range(outputs)]) / (first[0] or 1.0)
@@ -325,7 +332,7 @@ def fit_additive(df: DataFrame, target: str, features, task: str, name: str = "e
     stderr, weights = _jackknife(scored, state, bags)
     _center(state, weights)
     terms = [_term(f, a, state, i, stderr) for i, (f, a) in enumerate(axes.items())]
-    if interactions and len(features) > 1 and task != "multiclass":
+    if interactions and len(features) > 1:
         scored = _derivatives(rows, state, task)
         found, shift = _pair_terms(scored, state, axes, interactions, rounds, learning_rate)
         terms += found

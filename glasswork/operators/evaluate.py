@@ -229,46 +229,73 @@ def group_distribution(df: DataFrame, feature: str, group: str) -> DataFrame:
     return stats.join(spread, group)
 
 
-def prediction_pairs(df: DataFrame, y: str = "y", yhat: str = "prediction", bins: int | None = None) -> DataFrame:
-    """Actual against predicted: the points, or counts on a ``bins`` x ``bins`` grid."""
-    pairs = df.select(F.col(y).alias("actual"), F.col(yhat).alias("predicted"))
+def _per_group(df: DataFrame, groups: DataFrame, by, columns) -> DataFrame:
+    """Attach ``columns`` of the row of ``groups`` with the same ``by`` values.
+
+    Evaluation groups are few (data types, folds), so they come as one array
+    value instead of a join on a key that most rows share.
+    """
+    if not by:
+        return df.withColumn("_group", groups.select(F.struct(*columns)).scalar()).select(
+            "*", *[F.col(f"_group.{c}").alias(c) for c in columns]).drop("_group")
+    listed = groups.agg(F.collect_list(F.struct(*by, *columns)))
+
+    def same(row):
+        out = F.lit(True)
+        for c in by:
+            out = out & row[c].eqNullSafe(F.col(c))
+        return out
+
+    found = df.withColumn("_groups", listed.scalar()).withColumn("_group", F.get(F.filter("_groups", same), F.lit(0)))
+    return found.select(*df.columns, *[F.col(f"_group.{c}").alias(c) for c in columns])
+
+
+def prediction_pairs(df: DataFrame, y: str = "y", yhat: str = "prediction", bins: int | None = None, by=()) -> DataFrame:
+    """Actual against predicted per group: the points, or counts on a ``bins`` x ``bins`` grid."""
+    by = list(by)
+    pairs = df.select(*by, F.col(y).alias("actual"), F.col(yhat).alias("predicted"))
     if bins is None:
         return pairs
-    span = pairs.agg(F.struct(*[f(_dbl(c)).alias(f"{k}_{c}") for c in ("actual", "predicted")
-                                for k, f in (("lo", F.min), ("hi", F.max))]).alias("s"))
-    rows = pairs.withColumn("_s", span.scalar())
+    span = pairs.groupBy(*by).agg(*[f(_dbl(c)).alias(f"_{k}_{c}") for c in ("actual", "predicted")
+                                    for k, f in (("lo", F.min), ("hi", F.max))])
+    rows = _per_group(pairs, span, by, [f"_{k}_{c}" for c in ("actual", "predicted") for k in ("lo", "hi")])
 
     def cell(c):
-        width = (F.col(f"_s.hi_{c}") - F.col(f"_s.lo_{c}")) / F.lit(float(bins))
-        place = F.coalesce(F.try_divide(_dbl(c) - F.col(f"_s.lo_{c}"), width), F.lit(0.0))
+        width = (F.col(f"_hi_{c}") - F.col(f"_lo_{c}")) / F.lit(float(bins))
+        place = F.coalesce(F.try_divide(_dbl(c) - F.col(f"_lo_{c}"), width), F.lit(0.0))
         return F.least(F.floor(place), F.lit(bins - 1)).alias(f"{c}_bin")
 
-    return rows.groupBy(cell("actual"), cell("predicted")).agg(F.count("*").alias("n"))
+    return rows.groupBy(*by, cell("actual"), cell("predicted")).agg(F.count("*").alias("n"))
 
 
 # --- regression ----------------------------------------------------------------
 
-def quantile_error(df: DataFrame, y: str = "y", yhat: str = "prediction", bins: int = 20) -> DataFrame:
-    """Box summary of predicted minus actual in quantile bins of the actual value.
+def quantile_error(df: DataFrame, y: str = "y", yhat: str = "prediction", bins: int = 20, by=()) -> DataFrame:
+    """Box summary of predicted minus actual in quantile bins of the actual value, per group.
 
     Bins are right-closed, duplicate edges are dropped and the first bin
-    includes the minimum. Whiskers reach the last value within 1.5 IQR.
+    includes the minimum. Whiskers reach the last value within 1.5 IQR. Rows
+    collapse to counts per bin and difference; quartiles and whiskers read those.
     """
-    rows = df.select(_dbl(y).alias("y"), (_dbl(yhat) - _dbl(y)).alias("diff")).dropna()
-    edges = quantile_edges(rows, "y", [i / bins for i in range(bins + 1)]).select(F.array_distinct("edges"))
-    rows = rows.withColumn("_edges", edges.scalar())
+    by = list(by)
+    rows = df.select(*by, _dbl(y).alias("y"), (_dbl(yhat) - _dbl(y)).alias("diff")).dropna(subset=["y", "diff"])
+    edges = quantile_edges(rows, "y", [i / bins for i in range(bins + 1)], by)
+    rows = _per_group(rows, edges.select(*by, F.array_distinct("edges").alias("_edges")), by, ["_edges"])
     rows = rows.withColumn("bin", F.greatest(count_below("_edges", "y", bins + 1), F.lit(1)))
-    rows = rows.select("diff", "bin", F.get("_edges", F.col("bin") - 1).alias("lo"),
+    rows = rows.select(*by, "diff", "bin", F.get("_edges", F.col("bin") - 1).alias("lo"),
                        F.coalesce(F.get("_edges", F.col("bin")), F.get("_edges", F.col("bin") - 1)).alias("hi"))
-    box = quantiles(rows, "diff", [0.25, 0.5, 0.75], ["bin", "lo", "hi"]).groupBy("bin", "lo", "hi").agg(*[
+    counts = rows.groupBy(*by, "bin", "lo", "hi", "diff").agg(F.count("*").alias("n"))
+    box = quantiles(counts, "diff", [0.25, 0.5, 0.75], [*by, "bin", "lo", "hi"], weight="n").groupBy(*by, "bin", "lo", "hi").agg(*[
         F.max(F.when(F.col("prob") == q, F.col("quantile"))).alias(name)
         for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))
     ])
     reach = (F.col("q3") - F.col("q1")) * F.lit(1.5)
     inside = F.col("diff").between(F.col("q1") - reach, F.col("q3") + reach)
-    return rows.select("bin", "diff").join(box, "bin").groupBy("bin", "lo", "hi", "q1", "median", "q3").agg(
-        F.count("*").alias("n"), F.min(F.when(inside, F.col("diff"))).alias("lower_whisker"),
-        F.max(F.when(inside, F.col("diff"))).alias("upper_whisker"), F.count_if(~inside).alias("outliers"))
+    boxed = _per_group(counts, box, [*by, "bin"], ["q1", "median", "q3"])
+    return boxed.groupBy(*by, "bin", "lo", "hi", "q1", "median", "q3").agg(
+        F.sum("n").alias("n"), F.min(F.when(inside, F.col("diff"))).alias("lower_whisker"),
+        F.max(F.when(inside, F.col("diff"))).alias("upper_whisker"),
+        F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("outliers"))
 
 
 METRICS = ("mae", "mse", "rmse", "r2", "adj_r2", "mape", "explained_variance", "max_error", "median_ae", "msle", "rmsle")
@@ -326,8 +353,8 @@ def evaluate(df: DataFrame, task: str, target: str, probabilities: dict | None =
     by = list(by)
     if task == "regression":
         return {
-            "prediction_pairs": prediction_pairs(df, target, bins=100),
-            "quantile_error": quantile_error(df, target),
+            "prediction_pairs": prediction_pairs(df, target, bins=100, by=by),
+            "quantile_error": quantile_error(df, target, by=by),
             "regression_metrics": regression_metrics(df, target, n_features=n_features, by=by),
         }
     out = {"confusion_matrix": confusion_matrix(df, target, by=by)}

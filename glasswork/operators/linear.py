@@ -11,23 +11,42 @@ from glasswork.models import LinearModel
 from glasswork.operators.additive import target_classes
 
 
-def _assembled(df: DataFrame, features, label) -> DataFrame:
-    """Vector and label columns; rows with a null feature or label are left out."""
-    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], label.alias("_label")).dropna()
+def assembled(df: DataFrame, features, label, nulls: str = "error") -> DataFrame:
+    """Vector and label columns of the rows with a label.
+
+    A linear score of a row with a null feature is null, so such a row cannot be
+    fitted: ``nulls`` says whether that is an error that tells their number, or
+    they are dropped.
+    """
+    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], label.alias("_label")).dropna(subset=["_label"])
+    if nulls not in ("error", "drop"):
+        raise ValueError("nulls is 'error' or 'drop'")
+    if nulls == "error":
+        holes = null_feature_rows(rows, features)
+        if holes:
+            raise ValueError(f"{holes} rows have a null feature; fill them, or pass nulls='drop'")
+    rows = rows.dropna()
     return VectorAssembler(inputCols=list(features), outputCol="_features").transform(rows).select("_features", "_label")
 
 
+def null_feature_rows(df: DataFrame, features) -> int:
+    """How many rows have a null in any of the features."""
+    if not features:
+        return 0
+    return df.agg(F.count_if(F.greatest(*[F.col(f).isNull().cast("int") for f in features], F.lit(0)) == 1)).first()[0]
+
+
 def fit_linear(df: DataFrame, target: str, features, name: str = "l_regression", alpha: float = 1.0,
-               l1_ratio: float = 1.0) -> LinearModel:
+               l1_ratio: float = 1.0, solver: str = "normal", nulls: str = "error") -> LinearModel:
     """Least squares with an L1 penalty by default; ``alpha=0`` is plain least squares.
 
-    The normal-equation solver reads the rows once, whatever the penalty.
+    The normal-equation solver reads the rows once, whatever the penalty; it
+    takes up to 4,096 features, ``solver="l-bfgs"`` any number.
     """
     features = tuple(features)
-    solver = "normal" if len(features) <= 4096 else "l-bfgs"
     learner = LinearRegression(featuresCol="_features", labelCol="_label", regParam=alpha, elasticNetParam=l1_ratio,
                                standardization=False, solver=solver)
-    fit = learner.fit(_assembled(df, features, F.col(target).cast("double")))
+    fit = learner.fit(assembled(df, features, F.col(target).cast("double"), nulls))
     return LinearModel(name, "regression", target, features, (float(fit.intercept),),
                        (tuple(float(c) for c in fit.coefficients),))
 
@@ -40,11 +59,11 @@ def class_index(target: str, classes):
 
 
 def fit_logistic(df: DataFrame, target: str, features, name: str = "l_regression", C: float = 1.0,
-                 max_iter: int = 100, classes: tuple = ()) -> LinearModel:
+                 max_iter: int = 100, classes: tuple = (), nulls: str = "error") -> LinearModel:
     """Binary or multinomial logistic regression with an L2 penalty of strength 1 / (C * rows)."""
     features = tuple(features)
     classes = classes or target_classes(df, target)
-    rows = _assembled(df, features, class_index(target, classes))
+    rows = assembled(df, features, class_index(target, classes), nulls)
     penalty = 1.0 / (C * max(rows.count(), 1))
     binary = len(classes) == 2
     fit = LogisticRegression(

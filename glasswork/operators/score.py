@@ -72,7 +72,8 @@ def score_categories(df: DataFrame, feature: str, lookup: DataFrame, output: str
 def predict(df: DataFrame, model, threshold: float = 0.5) -> DataFrame:
     """Source columns plus ``prediction`` and, for classes, the probabilities."""
     out = score(df, model)
-    if model.task == "binary" and not isinstance(model, TreeModel):
+    # A tree's label is its leaf's majority, which is the label at one half; another threshold reads the share.
+    if model.task == "binary" and (not isinstance(model, TreeModel) or threshold != 0.5):
         zero, one = model.classes or (0, 1)
         out = out.withColumn(
             "prediction",
@@ -104,10 +105,9 @@ def leaf_stats(df: DataFrame, model: TreeModel) -> DataFrame:
     )
 
 
-def run_sql_model(sql: str, df: DataFrame, view: str = "_scored_source") -> DataFrame:
-    """Run exported SQL text over a DataFrame."""
-    with_small_methods(df).createOrReplaceTempView(view)
-    return df.sparkSession.sql(sql.replace(sc.SOURCE, view))
+def run_sql_model(sql: str, df: DataFrame) -> DataFrame:
+    """Run exported SQL text over a DataFrame, which goes in as an argument: no view is left behind."""
+    return df.sparkSession.sql(sql.replace(sc.SOURCE, "{scored_source}"), scored_source=with_small_methods(df))
 
 
 def score_parity(a: DataFrame, b: DataFrame, key, left: str, right: str, tol: float = 1e-5) -> DataFrame:

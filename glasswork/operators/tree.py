@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from glasswork.functions import scoring as sc
 from glasswork.models import Node, TreeModel
 from glasswork.operators.additive import target_classes
-from glasswork.operators.linear import _assembled, class_index
+from glasswork.operators.linear import assembled, class_index
 from glasswork.operators.score import leaf_ids
 
 
@@ -37,11 +37,29 @@ def _nodes(fitted, features) -> tuple[Node, ...]:
     return tuple(out)
 
 
+def _nulls_right(df: DataFrame, features) -> DataFrame:
+    """Doubles with nulls moved past the column's maximum, by its range or one."""
+    if not features:
+        return df
+    values = df.withColumns({f: F.col(f).cast("double") for f in features})
+    row = values.agg(*[F.max(f) for f in features], *[F.min(f) for f in features]).first()
+    above = {}
+    for i, f in enumerate(features):
+        high, low = row[i], row[len(features) + i]
+        above[f] = 0.0 if high is None else high + max(high - low, 1.0, abs(high) * 1e-6)
+    return values.fillna(above)
+
+
 def fit_tree(df: DataFrame, target: str, features, task: str, name: str = "decision_tree", max_depth: int = 8,
              max_bins: int = 256, min_rows: int = 1, min_gain: float = 0.0, seed: int = 42,
              classes: tuple = ()) -> TreeModel:
-    """CART on numeric features; one pass over the rows per level."""
+    """CART on numeric features; one pass over the rows per level.
+
+    A null goes right at every split, in the fit as in scoring: it is fitted as
+    a value above all others of its column.
+    """
     features = tuple(features)
+    df = _nulls_right(df.select(*dict.fromkeys([*features, target])), [f for f in features if f != target])
     options = dict(featuresCol="_features", labelCol="_label", maxDepth=max_depth, maxBins=max_bins,
                    minInstancesPerNode=min_rows, minInfoGain=min_gain, seed=seed)
     if task == "regression":
@@ -49,7 +67,7 @@ def fit_tree(df: DataFrame, target: str, features, task: str, name: str = "decis
     else:
         classes = classes or target_classes(df, target)
         learner, label = DecisionTreeClassifier(impurity="gini", **options), class_index(target, classes)
-    fitted = learner.fit(_assembled(df, features, label))
+    fitted = learner.fit(assembled(df, features, label))
     fitted.hasClasses = task != "regression"
     return TreeModel(name, task, target, features, _nodes(fitted, features), tuple(classes))
 

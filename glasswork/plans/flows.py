@@ -12,7 +12,7 @@ from glasswork.operators import clean, evaluate as ev, explain, profile, resampl
 from glasswork.operators.additive import fit_additive, target_classes
 from glasswork.operators.association import association
 from glasswork.operators.calibrate import calibrate
-from glasswork.operators.linear import fit_linear, fit_logistic
+from glasswork.operators.linear import fit_linear, fit_logistic, null_feature_rows
 from glasswork.operators.score import export_sql, predict, probability_columns
 from glasswork.operators.tree import fit_tree
 from glasswork.plans.options import Options
@@ -22,8 +22,9 @@ from glasswork.sources.tables import DEFAULT_NULLS, nullify, read_table, write_c
 MODELS = ("ebm", "l_regression", "decision_tree")
 
 
-def fit(df: DataFrame, kind: str, target: str, features, task: str, classes: tuple = (), params: dict | None = None):
-    """Fit one of the three model kinds; ``task`` is regression or classification."""
+def fit(df: DataFrame, kind: str, target: str, features, task: str, classes: tuple = (), params: dict | None = None,
+        keys=()):
+    """Fit one of the three model kinds; ``task`` is regression or classification, ``keys`` identify a row."""
     params = dict(params or {})
     if kind not in MODELS:
         raise ValueError(f"unknown model {kind}; choose from {MODELS}")
@@ -32,9 +33,11 @@ def fit(df: DataFrame, kind: str, target: str, features, task: str, classes: tup
         params["classes"] = classes
     exact = task if task == "regression" else ("binary" if len(classes) == 2 else "multiclass")
     if kind == "ebm":
-        return fit_additive(df, target, features, exact, **params)
+        return fit_additive(df, target, features, exact, **{"keys": tuple(keys)} | params)
     if kind == "decision_tree":
         return fit_tree(df, target, features, exact, **params)
+    # Rows with a null feature have no linear score; ``Run.null_rows`` tells how many were left out.
+    params.setdefault("nulls", "drop")
     return (fit_linear if task == "regression" else fit_logistic)(df, target, features, **params)
 
 
@@ -62,24 +65,26 @@ def build_folds(df: DataFrame, options: Options, keys, task: str) -> DataFrame:
     return folded.unionByName(outside.withColumn("fold", F.lit(None).cast("int")))
 
 
-def _train_rows(df: DataFrame, options: Options, features, keys, task: str, trim: bool) -> DataFrame:
-    """Training rows, balanced when asked for; folds are trimmed first, the final table is not."""
+def _train_rows(df: DataFrame, options: Options, features, keys, task: str) -> DataFrame:
+    """Training rows, balanced when asked for; with ``max_cells`` folds and the final table are trimmed alike first."""
     if not options.upsampling or task != "classification":
         return df
-    if trim:
-        df = resample.trim_classes(df, options.target, keys, len(features), seed=options.seed)
+    if options.max_cells:
+        df = resample.trim_classes(df, options.target, keys, len(features), options.max_cells, seed=options.seed)
     return resample.upsample(df, options.target, features, keys, task, seed=options.seed)
 
 
-def _fit_calibrated(df: DataFrame, kind: str, options: Options, features, keys, task: str, classes, trim: bool):
+def _fit_calibrated(df: DataFrame, kind: str, options: Options, features, keys, task: str, classes):
     """Model and, for binary targets with calibration on, a calibrator fitted on held-out rows."""
     wanted = options.calibration if task == "classification" and len(classes) == 2 else None
     held = None
     if wanted:
         marked = splits.calibration_split(df, keys)
         df, held = marked.filter(~F.col("is_calibration")), marked.filter("is_calibration")
-    rows = _train_rows(df, options, features, keys, task, trim)
-    model = fit(rows, kind, options.target, features, task, classes, options.model_params)
+    rows = _train_rows(df, options, features, keys, task)
+    # Upsampled rows are copies or blends without keys of their own.
+    own = () if options.upsampling and task == "classification" else keys
+    model = fit(rows, kind, options.target, features, task, classes, options.model_params, own)
     if held is None:
         return model, None
     scored = predict(held, model).select(
@@ -122,6 +127,7 @@ class Run:
     tables: dict = field(default_factory=dict)
     associations: DataFrame | None = None
     sql: str = ""
+    null_rows: int = 0
 
 
 def run(df: DataFrame, config: dict, kind: str, keys) -> Run:
@@ -151,10 +157,10 @@ def run(df: DataFrame, config: dict, kind: str, keys) -> Run:
     classes = target_classes(train, options.target) if task == "classification" else ()
 
     def fit_fold(rows):
-        return _fit_calibrated(rows, kind, options, features, keys, task, classes, trim=True)
+        return _fit_calibrated(rows, kind, options, features, keys, task, classes)
 
     tested = cross_fit(train, fit_fold, options.time_series)
-    model, calibrator = _fit_calibrated(train, kind, options, features, keys, task, classes, trim=False)
+    model, calibrator = _fit_calibrated(train, kind, options, features, keys, task, classes)
     parts = [
         apply_model(train, model, calibrator).withColumn("data_type", F.lit("train")),
         tested.withColumn("data_type", F.lit("test")),
@@ -165,7 +171,8 @@ def run(df: DataFrame, config: dict, kind: str, keys) -> Run:
     predictions = reduce(DataFrame.unionByName, parts)
     text = export_sql(model, split=options.sql_split, decimals=options.sql_decimals, calibrator=calibrator)
     return Run(model, calibrator, task, tuple(features), predictions, tables(predictions, model),
-               association(train, features, keys), text)
+               association(train, features, keys), text,
+               null_feature_rows(train, features) if kind == "l_regression" else 0)
 
 
 def tables(predictions: DataFrame, model) -> dict[str, DataFrame]:

@@ -21,6 +21,8 @@ class Options:
     time_column: str | None = None
     oot_rows: int = 0
     upsampling: bool = False
+    # Largest number of feature cells per class before upsampling; None keeps all rows.
+    max_cells: int | None = None
     calibration: str | None = None
     sql_split: bool = False
     sql_decimals: int = 15
@@ -51,6 +53,7 @@ class Options:
             max_rows=int(pre["max_rows"]) if pre.get("max_rows") else None,
             cv_type=pre.get("cv_type", "kfold_cv"), time_column=pre.get("time_sensitive_column"),
             oot_rows=int(pre["oot_rows"]) if oot else 0, upsampling=upsampling,
+            max_cells=int(pre["max_cells"]) if pre.get("max_cells") else None,
             calibration=calibration if calibration in CALIBRATIONS else None,
             sql_split=_on(post.get("sql_split")), sql_decimals=int(post.get("sql_decimals", 15)))
         if (options.time_series or options.oot_rows) and not options.time_column:

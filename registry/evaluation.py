@@ -246,21 +246,58 @@ def _(spark, sf):
     return ops.prediction_pairs(rows, bins=100)
 
 
-@query("quantile_error", f"""
-WITH s AS (SELECT y, e AS diff FROM {PRED_SQL}),
-q AS (SELECT LIST_SORT(LIST_DISTINCT(quantile_cont(y, [i / 20 FOR i IN range(21)]))) AS edges FROM s),
-b AS (SELECT diff, GREATEST(LEN(LIST_FILTER(edges, lambda x: x < y)), 1)::INTEGER AS bin, edges FROM s, q),
-x AS (SELECT bin, edges[bin] AS lo, edges[bin + 1] AS hi, quantile_cont(diff, 0.25) AS q1,
-  quantile_cont(diff, 0.5) AS median, quantile_cont(diff, 0.75) AS q3 FROM b GROUP BY bin, edges)
-SELECT bin, ROUND(lo, 6) AS lo, ROUND(hi, 6) AS hi, ROUND(q1, 6) AS q1, ROUND(median, 6) AS median, ROUND(q3, 6) AS q3,
+def _box_sql(source: str, group: str = "") -> str:
+    """Box table of rows (y, diff), in all or per value of ``group``."""
+    first = f"{group}, " if group else ""
+    using = f"{group}, bin" if group else "bin"
+    by = f"GROUP BY {group}" if group else ""
+    match = f"JOIN q USING ({group})" if group else ", q"
+    return f"""
+WITH s AS (SELECT * FROM {source}),
+q AS (SELECT {first}LIST_SORT(LIST_DISTINCT(quantile_cont(y, [i / 20 FOR i IN range(21)]))) AS edges FROM s {by}),
+b AS (SELECT {first}diff, GREATEST(LEN(LIST_FILTER(edges, lambda x: x < y)), 1)::INTEGER AS bin, edges FROM s {match}),
+x AS (SELECT {first}bin, edges[bin] AS lo, edges[bin + 1] AS hi, quantile_cont(diff, 0.25) AS q1,
+  quantile_cont(diff, 0.5) AS median, quantile_cont(diff, 0.75) AS q3 FROM b GROUP BY {first}bin, edges)
+SELECT {first}bin, ROUND(lo, 6) AS lo, ROUND(hi, 6) AS hi, ROUND(q1, 6) AS q1, ROUND(median, 6) AS median, ROUND(q3, 6) AS q3,
   COUNT(*) AS n,
   ROUND(MIN(diff) FILTER (diff BETWEEN q1 - 1.5E0 * (q3 - q1) AND q3 + 1.5E0 * (q3 - q1)), 6) AS lower_whisker,
   ROUND(MAX(diff) FILTER (diff BETWEEN q1 - 1.5E0 * (q3 - q1) AND q3 + 1.5E0 * (q3 - q1)), 6) AS upper_whisker,
   COUNT(*) FILTER (NOT diff BETWEEN q1 - 1.5E0 * (q3 - q1) AND q3 + 1.5E0 * (q3 - q1)) AS outliers
-FROM b JOIN x USING (bin) GROUP BY bin, lo, hi, q1, median, q3""")
+FROM b JOIN x USING ({using}) GROUP BY {first}bin, lo, hi, q1, median, q3"""
+
+
+BOX_COLUMNS = ("lo", "hi", "q1", "median", "q3", "lower_whisker", "upper_whisker")
+
+
+@query("quantile_error", _box_sql(f"(SELECT y, e AS diff FROM {PRED_SQL})"))
+def _(spark, sf):
+    return rounded(ops.quantile_error(predicted(spark, sf)), *BOX_COLUMNS)
+
+
+TYPED_SQL = """(SELECT CASE o_orderstatus WHEN 'O' THEN 'test' ELSE 'train' END AS data_type,
+  o_totalprice AS y, o_totalprice * 0.5E0 + o_custkey AS h, o_totalprice * 0.5E0 + o_custkey - o_totalprice AS diff FROM orders)"""
+
+
+def typed(spark, sf):
+    """Orders as rows of an evaluation: in-sample and held-out ones by their status."""
+    return table(spark, sf, "orders").select(
+        F.when(F.col("o_orderstatus") == "O", "test").otherwise("train").alias("data_type"),
+        F.col("o_totalprice").alias("y"), (F.col("o_totalprice") * 0.5 + F.col("o_custkey")).alias("prediction"))
+
+
+@query("evaluate_regression", _box_sql(TYPED_SQL, "data_type"))
+def _(spark, sf):
+    out = ops.evaluate(typed(spark, sf), "regression", "y")["quantile_error"]
+    return rounded(out, *BOX_COLUMNS)
+
+
+@query("evaluate_regression_pairs", f"""
+WITH q AS (SELECT * FROM {TYPED_SQL}),
+m AS (SELECT data_type, MIN(y) AS ly, (MAX(y) - MIN(y)) / 100E0 AS wy, MIN(h) AS lh, (MAX(h) - MIN(h)) / 100E0 AS wh FROM q GROUP BY 1)
+SELECT data_type, LEAST(FLOOR((y - ly) / wy), 99)::BIGINT AS actual_bin, LEAST(FLOOR((h - lh) / wh), 99)::BIGINT AS predicted_bin,
+  COUNT(*) AS n FROM q JOIN m USING (data_type) GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    out = ops.quantile_error(predicted(spark, sf))
-    return rounded(out, "lo", "hi", "q1", "median", "q3", "lower_whisker", "upper_whisker")
+    return ops.evaluate(typed(spark, sf), "regression", "y")["prediction_pairs"]
 
 
 METRIC_SQL = {

@@ -199,20 +199,25 @@ def _(spark, sf):
     return rows.select("l_linestatus", F.round(fit.column("p"), 4).alias("calibrated")).distinct()
 
 
-@query("isotonic_calibrate", f"""
+# The max-min formula of monotone regression.
+ISOTONIC_SQL = f"""
 WITH d AS (SELECT p, COUNT(*) AS n, SUM(y) AS s FROM {SCORED_SQL} GROUP BY p),
 c AS (SELECT p, n, s, SUM(n) OVER (ORDER BY p) AS cn, SUM(s) OVER (ORDER BY p) AS cs FROM d),
 m AS (SELECT i.p, a.p AS ap, MIN((b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)) AS low
   FROM c AS i JOIN c AS a ON a.p <= i.p JOIN c AS b ON b.p >= i.p GROUP BY 1, 2)
-SELECT p, ROUND(MAX(low), 6)::DOUBLE AS calibrated FROM m GROUP BY p""")
+SELECT p, ROUND(MAX(low), 6)::DOUBLE AS calibrated FROM m GROUP BY p"""
+
+
+@query("isotonic_calibrate", ISOTONIC_SQL)
 def _(spark, sf):
-    """The oracle is the max-min formula of monotone regression."""
     rows = scored(spark, sf)
     fit = cal.isotonic_calibrate(rows)
     return rows.select("p").distinct().select("p", r6(fit.column("p")).alias("calibrated"))
 
 
-@query("calibrate_auto", f"""
-SELECT CASE WHEN COUNT(*) > 1000 THEN 'Isotonic' ELSE 'Platt' END AS method FROM {SCORED_SQL}""")
+@query("calibrate_auto", ISOTONIC_SQL)
 def _(spark, sf):
-    return spark.createDataFrame([(type(cal.calibrate(scored(spark, sf))).__name__,)], "method string")
+    """More than a thousand rows: the automatic choice is the isotonic one."""
+    rows = scored(spark, sf)
+    fit = cal.calibrate(rows)
+    return rows.select("p").distinct().select("p", r6(fit.column("p")).alias("calibrated"))

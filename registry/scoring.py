@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from glasswork.functions.scoring import model_sql
 from glasswork.operators import score as ops
 from glasswork.streaming.scoring import score_stream  # noqa: F401  (same operator, streaming input)
 from registry.common import (BINARY, FLAGS, LINEAR, LOGIT, MULTI, PAIR, PRICE, PRICE_TREE, SOFTMAX, TREE, Registry,
@@ -88,22 +87,34 @@ def _(spark, sf):
     return ops.score_term(holed(spark, sf), PAIR).select(*KEYS, name)
 
 
-@query("additive_probability", model_sql(BINARY, source="lineitem").replace(
-    "SELECT\n", f"SELECT {KEY_SQL}, ROUND(score, 6) AS score, ROUND(probability, 6) AS probability FROM (\nSELECT {KEY_SQL},\n", 1)
-    + ")")
+# Written out by hand, bin by bin, so the renderer under test has no part in its own oracle.
+BINARY_SUM_SQL = """(-0.6931E0
+  + CASE WHEN l_quantity <= 5.5 THEN -0.31E0 WHEN l_quantity <= 12 THEN -0.12E0 WHEN l_quantity <= 25 THEN 0E0
+         WHEN l_quantity <= 40 THEN 0.14E0 ELSE 0.27E0 END
+  + CASE WHEN l_discount <= 0.015E0 THEN 0.21E0 WHEN l_discount <= 0.045E0 THEN 0.08E0
+         WHEN l_discount <= 0.075E0 THEN -0.06E0 ELSE -0.24E0 END
+  + CASE l_linestatus WHEN 'F' THEN 0.33E0 WHEN 'O' THEN -0.29E0 ELSE 0E0 END)"""
+PRICE_SUM_SQL = """(52000E0 + (l_quantity - 25.5E0) * 2010.5E0
+  + CASE WHEN l_tax <= 0.025E0 THEN -35.5E0 WHEN l_tax <= 0.055E0 THEN 12.25E0 ELSE 20.75E0 END
+  + CASE WHEN l_discount <= 0.05E0 THEN CASE WHEN l_tax <= 0.04E0 THEN 3.5E0 ELSE -2.5E0 END
+         ELSE CASE WHEN l_tax <= 0.04E0 THEN -4.25E0 ELSE 1.75E0 END END)"""
+
+
+@query("additive_probability", f"""
+SELECT {KEY_SQL}, ROUND(s, 6) AS score, ROUND(1 / (1 + EXP(-s)), 6) AS probability
+FROM (SELECT {KEY_SQL}, {BINARY_SUM_SQL} AS s FROM lineitem)""")
 def additive_probability(spark, sf):
     out = ops.score(lineitem(spark, sf), BINARY).select(*KEYS, "score", "probability")
     return rounded(out, "score", "probability")
 
 
 @query("sigmoid_overflow_safe", """
-SELECT o_orderkey, CASE WHEN o_totalprice > 250000 THEN 1E0 ELSE 0E0 END AS probability FROM orders
-WHERE ABS(o_totalprice - 250000) > 1000""")
+SELECT o_orderkey, ROUND(CASE WHEN o_totalprice > 250700 THEN 1E0 WHEN o_totalprice < 249300 THEN 0E0
+  ELSE 1 / (1 + EXP(250000E0 - o_totalprice)) END, 6) AS probability FROM orders""")
 def _(spark, sf):
     from glasswork.functions.scoring import sigmoid_text
 
-    orders = table(spark, sf, "orders").filter(F.abs(F.col("o_totalprice") - 250000) > 1000)
-    return orders.select("o_orderkey", r6(F.expr(sigmoid_text("o_totalprice - 250000"))).alias("probability"))
+    return table(spark, sf, "orders").select("o_orderkey", r6(F.expr(sigmoid_text("o_totalprice - 250000"))).alias("probability"))
 
 
 @query("regression_output", f"""
@@ -195,28 +206,22 @@ def _(spark, sf):
     return rounded(ops.leaf_stats(lineitem(spark, sf), TREE), "share")
 
 
-def _regression_text(split):
-    text = model_sql(PRICE, split=split, source="lineitem")
-    return f"SELECT ROUND(prediction, 6) AS prediction, COUNT(*) AS n FROM ({text}) GROUP BY 1"
-
-
-@query("score_split_sql", _regression_text(False))
+@query("score_split_sql", f"SELECT ROUND({PRICE_SUM_SQL}, 6) AS prediction, COUNT(*) AS n FROM lineitem GROUP BY 1")
 def _(spark, sf):
     out = ops.run_sql_model(ops.export_sql(PRICE, split=True), lineitem(spark, sf))
     return rounded(out, "prediction").groupBy("prediction").agg(F.count("*").alias("n"))
 
 
-@query("run_sql_model", f"""
-SELECT ROUND(p, 6) AS probability, COUNT(*) AS n FROM (SELECT probability AS p
-FROM ({model_sql(BINARY, split=True, source="lineitem")})) GROUP BY 1""")
+@query("run_sql_model", f"SELECT ROUND(1 / (1 + EXP(-{BINARY_SUM_SQL})), 6) AS probability, COUNT(*) AS n FROM lineitem GROUP BY 1")
 def _(spark, sf):
     out = ops.run_sql_model(ops.export_sql(BINARY), lineitem(spark, sf))
     return rounded(out, "probability").groupBy("probability").agg(F.count("*").alias("n"))
 
 
-@query("export_multiclass_sql", f"""
-SELECT prediction, ROUND("probability_N", 6) AS probability_n, COUNT(*) AS n
-FROM ({model_sql(MULTI, source="lineitem")}) GROUP BY 1, 2""")
+@query("export_multiclass_sql", MULTI_SQL.replace(HOLED_SQL, "lineitem") + """, e AS (
+  SELECT *, EXP(a::DOUBLE) AS ea, EXP(n::DOUBLE) AS en, EXP(r::DOUBLE) AS er FROM s)
+SELECT CASE WHEN a >= n AND a >= r THEN 'A' WHEN n >= r THEN 'N' ELSE 'R' END AS prediction,
+  ROUND(en / (ea + en + er), 6) AS probability_n, COUNT(*) AS n FROM e GROUP BY 1, 2""")
 def _(spark, sf):
     out = ops.run_sql_model(ops.export_sql(MULTI, split=True), lineitem(spark, sf))
     return out.groupBy("prediction", r6("probability_N").alias("probability_n")).agg(F.count("*").alias("n"))

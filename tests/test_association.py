@@ -6,23 +6,30 @@ from pyspark.sql import functions as F
 from glasswork.operators import association as a
 
 
-def test_corrected_v_on_counts(spark):
-    counts = [[10, 5, 5], [2, 10, 10]]
-    cells = spark.createDataFrame([(f"r{i}", f"c{j}", n) for i, row in enumerate(counts) for j, n in enumerate(row)],
-                                  "va string, vb string, n long")
-    v = a.corrected_v(a.chi2(cells), ()).first()["value"]
-    assert abs(v - 0.4) <= 0.1
+def test_corrected_v_of_a_known_table(spark):
+    """Three by three, worked out by hand: phi squared less its bias, over the smaller corrected side."""
+    table = {("low", "x"): 30, ("low", "y"): 4, ("low", "z"): 6, ("mid", "x"): 3, ("mid", "y"): 25, ("mid", "z"): 7,
+             ("top", "x"): 2, ("top", "y"): 6, ("top", "z"): 40}
+    cells = spark.createDataFrame([(p, q, n) for (p, q), n in table.items()], "va string, vb string, n long")
+    total = sum(table.values())
+    rows = {p: sum(n for (x, _), n in table.items() if x == p) for p, _ in table}
+    cols = {q: sum(n for (_, y), n in table.items() if y == q) for _, q in table}
+    phi = sum((n - rows[p] * cols[q] / total) ** 2 / (rows[p] * cols[q] / total) for (p, q), n in table.items()) / total
+    side = 3 - 4 / (total - 1)
+    want = math.sqrt(max(0.0, phi - 4 / (total - 1)) / (side - 1))
+    assert a.corrected_v(a.chi2(cells), ()).first()["value"] == pytest.approx(want, abs=1e-12)
 
 
-def test_xi_on_curve(spark):
-    xs = list(range(3, 100, 2))
-    df = spark.createDataFrame([(x, x + 10 * math.sin(x)) for x in xs], "x long, y double")
-    assert abs(a.xi(df, "x", "y").first()["value"] - 0.7) <= 0.1
-    ys = [x + 10 * math.sin(x) for x in xs]
-    rank = [sorted(ys).index(y) + 1 for y in ys]
-    n = len(xs)
-    plain = 1 - 3 * sum(abs(p - q) for p, q in zip(rank, rank[1:])) / (n * n - 1)
-    assert a.xi(df, "x", "y", ties=False).first()["value"] == pytest.approx(plain)
+def test_xi_of_a_parabola(spark):
+    """y is a function of x but not monotone: xi is large, and equals its definition."""
+    points = [(k, (k - 20) * (k - 20) * 41 + k) for k in range(41)]
+    df = spark.createDataFrame(points, "x long, y long")
+    ys = [y for _, y in points]
+    rank = {y: i + 1 for i, y in enumerate(sorted(ys))}
+    n = len(ys)
+    want = 1 - 3 * sum(abs(rank[p] - rank[q]) for p, q in zip(ys, ys[1:])) / (n * n - 1)
+    assert a.xi(df, "x", "y", ties=False).first()["value"] == pytest.approx(want, abs=1e-12)
+    assert want > 0.8
 
 
 def test_xi_with_one_hot_value(spark):
@@ -39,15 +46,17 @@ def test_xi_with_one_hot_value(spark):
     assert a.xi(df, "x", "y", ["id"]).first()["value"] == pytest.approx(want, abs=1e-12)
 
 
-def test_matrices(spark):
-    nums = spark.createDataFrame([(1, 4), (2, 5), (3, 6)], "col1 long, col2 long")
-    m = {(r["a"], r["b"]): r["value"] for r in a.correlation_matrix(nums, "pearson").collect()}
-    assert len(m) == 4 and all(-1 <= v <= 1 for v in m.values()) and m["col1", "col2"] == pytest.approx(1.0)
-    cats = spark.createDataFrame([("A", "C"), ("A", "D"), ("B", "C"), ("B", "D")], "col1 string, col2 string")
-    v = {(r["a"], r["b"]): r["value"] for r in a.correlation_matrix(cats, "cramerv").collect()}
-    assert len(v) == 4 and v["col1", "col1"] == 1.0 and 0 <= v["col1", "col2"] <= 1
+def test_matrices_hold_every_pair(spark):
+    rows = [(k, -2.0 * k, k * k % 7, "even" if k % 2 == 0 else "odd", "abc"[k % 3]) for k in range(30)]
+    df = spark.createDataFrame(rows, "up long, down double, wave long, parity string, third string")
+    m = {(r["a"], r["b"]): r["value"] for r in a.correlation_matrix(df.select("up", "down", "wave"), "pearson").collect()}
+    assert len(m) == 9 and m["up", "down"] == pytest.approx(-1.0) and m["wave", "wave"] == pytest.approx(1.0)
+    assert m["up", "wave"] == pytest.approx(df.stat.corr("up", "wave"))
+    v = {(r["a"], r["b"]): r["value"] for r in a.correlation_matrix(df.select("parity", "third"), "cramerv").collect()}
+    # Thirty rows in a balanced two by three table: independent, so zero.
+    assert v == {("parity", "parity"): 1.0, ("third", "third"): 1.0, ("parity", "third"): 0.0, ("third", "parity"): 0.0}
     with pytest.raises(ValueError):
-        a.correlation_matrix(nums, "unknown")
+        a.correlation_matrix(df, "unknown")
 
 
 def test_undefined_cells_are_zero(spark):

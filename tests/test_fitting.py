@@ -178,3 +178,44 @@ def test_constant_target_metrics(spark):
     got = {r["metric"]: r["value"] for r in ev.regression_metrics(df).collect()}
     assert got["r2"] == 1.0 and got["mae"] == 0.0 and got["median_ae"] == 0.0
     assert ev.quantile_error(df).first()["n"] == 3
+
+
+def test_standard_errors_shrink_with_the_rows(spark):
+    """Four categories and a binary target: the error of a bin is about that of its log odds, and falls as one over root n."""
+    def errors(n):
+        df = spark.range(n).select("id", F.concat(F.lit("c"), F.col("id") % 4).alias("c"),
+                                   (F.pmod(F.xxhash64("id"), F.lit(10)) < F.col("id") % 4 + 2).cast("int").alias("y"))
+        model = fit_additive(df, "y", ["c"], "binary", keys=["id"], bags=32)
+        return [v[0] for k, v in model.terms[0].stderr.items() if v[0] > 0]
+
+    few, many = errors(2_000), errors(200_000)
+    assert len(few) == len(many) == 4
+    for k in range(4):
+        p = (k + 2) / 10
+        assert 0.4 < np.mean(few) / np.sqrt(1 / (500 * p * (1 - p))) < 2.5
+    assert 5 < np.mean(few) / np.mean(many) < 20
+
+
+def test_nulls_in_fits(spark):
+    from glasswork.operators.linear import fit_linear, fit_logistic
+
+    df = spark.range(200).select(F.when(F.col("id") % 4 != 0, F.col("id").cast("double")).alias("x"),
+                                 F.when(F.col("id") % 4 == 0, 500.0).otherwise(F.when(F.col("id") < 100, 1.0).otherwise(9.0)).alias("r"),
+                                 (F.col("id") % 4 == 0).cast("int").alias("y"))
+    with pytest.raises(ValueError, match="50 rows"):
+        fit_linear(df, "r", ["x"])
+    with pytest.raises(ValueError, match="50 rows"):
+        fit_logistic(df.withColumn("y", (F.col("r") > 5).cast("int")), "y", ["x"])
+    assert fit_linear(df, "r", ["x"], nulls="drop").features == ("x",)
+    tree = fit_tree(df, "r", ["x"], "regression", max_depth=3)
+    got = predict(df, tree).groupBy(F.col("x").isNull().alias("hole")).agg(F.avg(F.abs(F.col("prediction") - F.col("r"))).alias("e")).collect()
+    assert {r.hole: r.e for r in got} == {True: 0.0, False: 0.0}
+
+
+def test_evaluate_keeps_groups_apart(spark):
+    df = spark.range(400).select(F.when(F.col("id") % 2 == 0, "train").otherwise("test").alias("data_type"),
+                                 F.col("id").cast("double").alias("y"), (F.col("id") + F.col("id") % 2 * 5).cast("double").alias("prediction"))
+    out = ev.evaluate(df, "regression", "y")
+    assert {(r.data_type, r.n) for r in out["quantile_error"].groupBy("data_type").agg(F.sum("n").alias("n")).collect()} == {("train", 200), ("test", 200)}
+    assert {(r.data_type, r["median"]) for r in out["quantile_error"].collect()} == {("train", 0.0), ("test", 5.0)}
+    assert out["prediction_pairs"].groupBy("data_type").count().count() == 2
