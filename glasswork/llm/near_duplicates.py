@@ -7,10 +7,11 @@ time is past the latest register, so a text costs about one arrival per shingle
 plus ``m log m``, however many registers there are. Two texts agree on a
 register with the probability Jaccard of their weighted shingles.
 
-Registers in bands give candidates, and exact weighted similarity verifies
-them. A bucket never becomes a list of pairs: its smallest text is compared
-with the others, what that connects is settled, and only texts that are still
-in different classes meet again.
+Registers in bands give buckets. Inside a bucket texts whose registers agree too
+rarely for the wanted similarity part ways; the others form families. Inside a
+family the exact weighted similarity of all pairs verifies. Neither step lists
+pairs: a task compares a bounded block of texts with another one and returns
+links that connect the same texts, at most one per text and class.
 """
 
 from __future__ import annotations
@@ -20,18 +21,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from glasswork.llm.components import connected_components
 from glasswork.llm.inputs import texts, written
-from glasswork.llm.pieces import WordHasher, mix, shingles, weighted, weighted_jaccard
+from glasswork.llm.pieces import WordHasher, mix, shingles, weighted
 
 REGISTERS, BAND_ROWS = 96, 4  # a pair at 0.8 shares no band with probability (1 - 0.8**4) ** 24 = 3e-6
 SIMILARITY = 0.8
-# Members that one task compares with a bucket's smallest text.
-GROUP = 256
-# Texts of a bucket whose remaining pairs are listed one by one.
-SMALL_BUCKET = 8
+# Registers that two texts must share to be compared exactly, in standard deviations below the expected number.
+DEVIATIONS = 5.0
+# Texts of a bucket or family that one task takes; larger ones go block by block against block.
+BLOCK = 1024
+BATCH_ROWS = 2_000
 BROADCAST_KEYS = 200_000
 _BATCH_SHINGLES = 1 << 15
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
@@ -80,26 +82,26 @@ def profile(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _banded(docs: DataFrame) -> DataFrame:
-    """Rows (_id, md5, bands): the bands' keys as bytes, none for a text without words."""
+    """Rows (_id, md5, bands, sketch): the bands' keys and a byte per register, empty for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, waiting, held = [b""] * batch.num_rows, [], 0
+            keys, sketches, waiting, held = [b""] * batch.num_rows, [b""] * batch.num_rows, [], 0
             for k, text in enumerate(batch["_text"]):
                 p = profile(text.as_py())
                 if len(p[0]):
                     waiting.append((k, p))
                     held += len(p[0])
                 if waiting and (held >= _BATCH_SHINGLES or k == batch.num_rows - 1):
-                    for (row, _), keys in zip(waiting, bands(signatures([p for _, p in waiting]))):
-                        out[row] = keys.astype("<i8").tobytes()
+                    found = signatures([p for _, p in waiting])
+                    for (row, _), band, sketch in zip(waiting, bands(found), (mix(found) & np.uint64(255)).astype(np.uint8)):
+                        keys[row], sketches[row] = band.astype("<i8").tobytes(), sketch.tobytes()
                     waiting, held = [], 0
-            if waiting:
-                for (row, _), keys in zip(waiting, bands(signatures([p for _, p in waiting]))):
-                    out[row] = keys.astype("<i8").tobytes()
-            yield pa.RecordBatch.from_arrays([batch["_id"], batch["md5"], pa.array(out, pa.binary())], names=["_id", "md5", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [batch["_id"], batch["md5"], pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())],
+                names=["_id", "md5", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "_id long, md5 string, bands binary")
+    return docs.mapInArrow(run, "_id long, md5 string, bands binary, sketch binary")
 
 
 def _members(nodes: DataFrame) -> DataFrame:
@@ -124,77 +126,129 @@ def _bounded(keys: DataFrame) -> DataFrame:
 
 
 def _profiles(docs: DataFrame, nodes: DataFrame, involved: DataFrame) -> DataFrame:
-    """Rows (node, shingles, weights) of the texts that take part in a pair."""
+    """Rows (node, data): distinct shingles and weights of the texts that have a family."""
     wanted = _bounded(nodes.join(involved, "node").select("node", "md5", F.col("first_id").alias("_first")))
     rows = docs.join(wanted, "md5").filter(F.col("_id").eqNullSafe(F.col("_first"))).select("node", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [profile(t.as_py()) for t in batch["_text"]]
-            yield pa.RecordBatch.from_arrays(
-                [batch["node"], pa.array([p[0].astype("<u8").tobytes() for p in found], pa.binary()),
-                 pa.array([p[1].astype("<i4").tobytes() for p in found], pa.binary())], names=["node", "shingles", "weights"])
+            data = [p[0].astype("<u8").tobytes() + p[1].astype("<i4").tobytes() for p in found]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(data, pa.binary())], names=["node", "data"])
+
+    return rows.mapInArrow(run, "node long, data binary").dropDuplicates(["node"])
+
+
+def _read(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 12
+    return np.frombuffer(data, "<u8", n), np.frombuffer(data, "<i4", n, 8 * n)
+
+
+def _blocked(members: DataFrame, group: str, payload: DataFrame) -> DataFrame:
+    """Rows (batch, meeting, node, data): each pair of blocks of a group meets once, with the payload of its nodes.
 
-    return rows.mapInArrow(run, "node long, shingles binary, weights binary").dropDuplicates(["node"])
+    A group of up to ``BLOCK`` nodes is one block. Groups of one node are left
+    out. A batch holds whole meetings, some thousand rows in all.
+    """
+    sizes = members.groupBy(group).agg(F.count("node").alias("n")).filter("n > 1").select(
+        group, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    meeting = F.xxhash64(group, F.least("block", "other"), F.greatest("block", "other"))
+    placed = dealt.select(group, "node", "block", other.alias("other")).select(meeting.alias("meeting"), "node")
+    batches = max(1, members.count() // BATCH_ROWS)
+    return placed.withColumn("batch", F.pmod("meeting", F.lit(batches))).join(payload, "node")
+
+
+def _meetings(table: pa.Table) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Nodes and payloads of each meeting of a batch."""
+    meeting = table["meeting"].to_numpy()
+    order = np.argsort(meeting, kind="stable")
+    node, data = table["node"].to_numpy()[order], table["data"].to_pylist()
+    cuts = np.flatnonzero(np.diff(meeting[order])) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(order)]):
+        yield node[a:b], [data[i] for i in order[a:b]]
+
+
+def _spanning(node: np.ndarray, alike: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect the same nodes as a symmetric relation does: one per class that joins another."""
+    label, links = np.arange(len(node)), []
+    for i in np.flatnonzero(alike.any(1)):
+        near = np.flatnonzero(alike[i] & (label != label[i]))
+        while len(near):
+            other = label[near[0]]
+            links.append((int(node[i]), int(node[near[0]])))
+            label[label == other] = label[i]
+            near = near[label[near] != label[i]]
+    return links
+
+
+def _linked(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+
+def _families(members: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links between texts of a bucket whose registers agree often enough to be similar."""
+    least = REGISTERS * similarity - DEVIATIONS * (REGISTERS * similarity * (1 - similarity)) ** 0.5
+
+    def compare(table: pa.Table) -> pa.Table:
+        links = []
+        for node, data in _meetings(table):
+            sketch = np.frombuffer(b"".join(data), np.uint8).reshape(len(node), -1)
+            links += _spanning(node, np.stack([np.count_nonzero(sketch == s, axis=1) >= least for s in sketch]))
+        return _linked(links)
 
+    rows = _blocked(members, "bucket", nodes.select("node", F.col("sketch").alias("data")))
+    return rows.groupBy("batch").applyInArrow(compare, "a long, b long")
 
-def _read(shingle: bytes, weight: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(shingle, "<u8"), np.frombuffer(weight, "<i4")
 
+def intersections(profiles: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sum of the smaller weights for every pair of profiles.
 
-def verify(pairs: DataFrame, profiles: DataFrame, similarity: float) -> DataFrame:
-    """The (head, node) pairs that are similar enough. A head's members are dealt out in groups, each with a copy of the head."""
-    pairs = written(pairs, "pairs")
-    sizes = pairs.groupBy("head").agg(F.ceil(F.count("node") / GROUP).cast("int").alias("groups"))
-    dealt = pairs.join(sizes, "head").withColumn("part", F.pmod(F.xxhash64("node"), "groups").cast("int"))
-    members = dealt.join(profiles, "node").select("head", "part", "node", "shingles", "weights")
-    heads = sizes.join(profiles.withColumnRenamed("node", "head"), "head").select(
-        "head", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(None).cast("long").alias("node"),
-        "shingles", "weights")
+    A weight w counts as w features (shingle, 1) .. (shingle, w), so the sum is
+    a number of common features. Features of few profiles add to their pairs one
+    by one, the others by matrix products over slices of the features.
+    """
+    n = len(profiles)
+    sizes = [int(p[1].sum()) for p in profiles]
+    level = np.concatenate([np.arange(sum(p[1])) - np.repeat(np.cumsum(p[1]) - p[1], p[1]) for p in profiles]).astype(np.uint64)
+    feature = mix(np.concatenate([np.repeat(p[0], p[1]) for p in profiles]) + level * _C3)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(feature, kind="stable")
+    feature, owner = feature[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], feature[1:] != feature[:-1]]))
+    held = np.diff(np.append(first, len(feature)))
+    common = np.zeros((n, n), np.float32)
+    for size in range(2, 9):
+        group = owner[first[held == size][:, None] + np.arange(size)]
+        for i in range(size):
+            for j in range(i + 1, size):
+                common += np.bincount(group[:, i] * n + group[:, j], minlength=n * n).reshape(n, n)
+    common += common.T
+    wide = np.flatnonzero(held > 8)
+    for a in range(0, len(wide), 2048):
+        slice_ = wide[a: a + 2048]
+        spots = np.repeat(first[slice_] - np.cumsum(held[slice_]) + held[slice_], held[slice_]) + np.arange(held[slice_].sum())
+        table = np.zeros((n, len(slice_)), np.float32)
+        table[owner[spots], np.repeat(np.arange(len(slice_)), held[slice_])] = 1
+        common += table @ table.T
+    return common
+
+
+def _verified(families: DataFrame, profiles: DataFrame, similarity: float) -> DataFrame:
+    """Links between texts of a family whose exact weighted similarity is large enough."""
 
     def compare(table: pa.Table) -> pa.Table:
-        rows = list(zip(*[table[c].to_pylist() for c in ("head", "node", "shingles", "weights")]))
-        head = next((_read(s, w) for _, n, s, w in rows if n is None), None)
-        kept = [(h, n) for h, n, s, w in rows if n is not None and weighted_jaccard(head, _read(s, w)) >= similarity]
-        return pa.table({"head": pa.array([h for h, _ in kept], pa.int64()), "node": pa.array([n for _, n in kept], pa.int64())})
-
-    return members.unionAll(heads).groupBy("head", "part").applyInArrow(compare, "head long, node long")
-
-
-def _links(members: DataFrame, profile_source, similarity: float) -> DataFrame | None:
-    """Verified (head, node) links that connect all texts which some chain of similar bucket mates connects."""
-    links = labels = tested = None
-    while True:
-        tagged = members if labels is None else members.join(
-            labels.withColumnRenamed("label", "known"), "node", "left").withColumn("label", F.coalesce("known", "node"))
-        if labels is None:
-            tagged = tagged.withColumn("label", F.col("node"))
-        # Buckets whose texts are all in one class are done; the others need their smallest text compared.
-        open_ = tagged.groupBy("bucket").agg(
-            F.min("node").alias("head"), F.min_by("label", "node").alias("head_label"), F.min("label").alias("low"),
-            F.max("label").alias("high"), F.count("node").alias("n")).filter("low != high")
-        open_ = open_.select("bucket", "head", "head_label", "n")
-        rest = written(tagged.select("bucket", "node", "label").join(open_, "bucket"), "open")
-        small = rest.filter(F.col("n") <= SMALL_BUCKET)
-        other = small.select("bucket", F.col("node").alias("head"), F.col("label").alias("other"))
-        pairs = rest.filter((F.col("n") > SMALL_BUCKET) & (F.col("node") != F.col("head")) & (F.col("label") != F.col("head_label"))).select(
-            "head", "node").unionAll(small.select("bucket", "node", "label").join(other, "bucket").filter(
-                "head < node AND label != other").select("head", "node"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["head", "node"], "left_anti")
-        pairs = written(pairs, "pairs")
-        members = written(rest.filter((F.col("n") > SMALL_BUCKET) & (F.col("node") != F.col("head"))).select("bucket", "node"), "members")
-        if pairs.isEmpty():
-            if members.isEmpty():
-                return links
-            continue
-        found = written(verify(pairs, profile_source(), similarity), "links")
-        tested = pairs if tested is None else written(tested.unionAll(pairs), "tested")
-        links = found if links is None else written(links.unionAll(found), "links")
-        labels = connected_components(links, "head", "node")
-        if members.isEmpty():
-            return links
+        links = []
+        for node, data in _meetings(table):
+            found = [_read(d) for d in data]
+            common = intersections(found).astype(float)
+            total = np.array([p[1].sum() for p in found], float)
+            links += _spanning(node, common >= similarity * (total[:, None] + total[None] - common) - 1e-9)
+        return _linked(links)
+
+    rows = _blocked(families, "label", profiles)
+    return rows.groupBy("batch").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,25 +263,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     """
     rows = texts(docs, id_col, text_col).withColumn("md5", F.md5(F.col("_text")))
     banded = written(_banded(rows), "signatures")
-    nodes = banded.groupBy("md5").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    nodes = banded.groupBy("md5").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("copies"),
+                                      F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    members = written(_members(nodes), "members")
-    cache = []
-
-    def profiles() -> DataFrame:
-        if not cache:
-            cache.append(written(_profiles(rows, nodes, members.select("node").distinct()), "profiles"))
-        return cache[0]
-
-    links = _links(members, profiles, similarity)
+    families = connected_components(_families(_members(nodes), nodes, similarity))
+    profiles = _profiles(rows, nodes, families.select("node"))
+    links = _verified(families, profiles, similarity)
+    classes = connected_components(links).withColumnRenamed("node", "_node")
     named = nodes.select("node", "md5", "first_id", "copies")
-    if links is None:
-        named = named.withColumn("class_id", F.col("first_id"))
-    else:
-        labelled = named.join(connected_components(links, "head", "node"), "node", "left").withColumn(
-            "label", F.coalesce("label", "node"))
-        least = labelled.groupBy("label").agg(F.min("first_id").alias("class_id"))
-        named = labelled.join(least, "label")
+    labelled = named.join(classes, F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("label", "node"))
+    least = labelled.groupBy("label").agg(F.min("first_id").alias("class_id"))
+    named = labelled.join(least, "label")
     return banded.select("_id", "md5").join(named.select("md5", "class_id", "copies"), "md5").select(
         F.col("_id").alias("doc_id"), "class_id", "copies")
 

@@ -78,7 +78,7 @@ def odd(spark, rows):
 
 
 def test_near_duplicates_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(nd, "GROUP", 7)
+    monkeypatch.setattr(nd, "BLOCK", 7)
     docs = planted()
     got = sorted(((r.doc_id, r.class_id) for r in nd.near_duplicates(odd(spark, docs)).collect()), key=str)
     assert got == classes(docs)
@@ -110,6 +110,17 @@ def test_signatures_estimate_probability_jaccard():
     assert (sig[0] == sig[2]).all()
 
 
+def test_intersections_of_all_pairs():
+    rng = np.random.default_rng(4)
+    profiles = [nd.weighted(rng.integers(0, 40, rng.integers(1, 60)).astype(np.uint64)) for _ in range(25)]
+    got = nd.intersections(profiles)
+    for i, a in enumerate(profiles):
+        for j, b in enumerate(profiles):
+            if i != j:
+                x, y = dict(zip(*map(list, a))), dict(zip(*map(list, b)))
+                assert got[i, j] == sum(min(x[k], y[k]) for k in x.keys() & y.keys())
+
+
 def test_early_stop_equals_all_arrivals():
     """Registers equal those of a plain loop over one process after the other."""
     rng = np.random.default_rng(2)
