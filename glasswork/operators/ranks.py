@@ -15,18 +15,27 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from glasswork.functions.hashing import HEX_DIGITS, hash_int, row_hash
 from glasswork.functions.sqltext import ident
 
+# At least so many buckets; a cluster with more shuffle partitions gets as many, up to the largest.
 BUCKETS = 256
+MOST_BUCKETS = 4096
 _STEP = 16
 _SUB = 4096
 
 
-def range_bucket(df: DataFrame, order: str, tie: Column | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """Add ``_bucket``, monotone in (``order`` nulls first, ``tie``).
+def bucket_count(df: DataFrame) -> int:
+    """Buckets that keep every shuffle partition busy, a multiple of the search step."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return -(-min(max(BUCKETS, wanted), MOST_BUCKETS) // _STEP) * _STEP
+
+
+def range_bucket(df: DataFrame, order: str, tie: Column | None = None, buckets: int | None = None) -> DataFrame:
+    """Add ``_bucket``, monotone in (``order`` nulls first, ``tie``); results that build on it are the same for any count.
 
     Borders are approximate quantiles, so open ranges between borders stay
     small. A value that sits on a border may be hot (a third of all rows):
     it gets a bucket of its own, which ``tie`` (a hex hash) splits further.
     """
+    buckets = buckets or bucket_count(df)
     probs = [i / buckets for i in range(1, buckets)]
     found = [F.array_distinct(F.percentile_approx(order, probs, buckets * 8)).alias("b")]
     if tie is None:

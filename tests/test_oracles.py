@@ -4,13 +4,16 @@ import pytest
 from compare import difference
 
 import __spark_entry__ as entry
+import registry
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+# The optional subpackage's queries have tests of their own beside its other tests.
+QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 
 
 def test_registry_is_consistent():
     assert set(ORACLES) <= set(QUERIES)
     assert len(QUERIES) > 100
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
