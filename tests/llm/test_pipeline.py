@@ -76,14 +76,23 @@ def test_stages_against_brute_force(spark, sf):
                  plain("word_bpe_49k.json"), 2048)
 
 
-def test_run_equals_its_stages(spark, sf):
-    done = corpus_pipeline.run(spark, sf)
-    ids = {r.doc_id for r in done.select("doc_id").distinct().collect()}
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, sf)
-    assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == ids
-    assert done.agg({"length": "sum"}).first() == docs.agg({"length": "sum"}).first()
+def test_run_chains_its_stages(spark, sf, monkeypatch):
+    """Each stage gets what the one before returned, read back from a written table; the last result is returned."""
+    seen = []
+
+    def stage(name):
+        def apply(session, docs, folder):
+            assert session is spark and folder == sf
+            plan = docs._jdf.queryExecution().optimizedPlan().toString()
+            seen.append((name, docs.count(), "Filter" in plan))
+            return docs.filter(docs.doc_id % (len(seen) + 1) != 0)
+        return apply
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, stage(n)) for n in "abc"])
+    ids = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    done = {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()}
+    assert done == {i for i in ids if i % 2 and i % 3 and i % 4}
+    assert seen == [("a", len(ids), False), ("b", sum(i % 2 for i in ids), False), ("c", sum(i % 2 != 0 and i % 3 != 0 for i in ids), False)]
 
 
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None, 0), (1, "password=12345678", "en", None, 17), (1, "password=12345678", "en", None, 17),
