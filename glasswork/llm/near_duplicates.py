@@ -171,16 +171,20 @@ def _meetings(table: pa.Table) -> Iterator[tuple[np.ndarray, list[bytes]]]:
 
 
 def _spanning(node: np.ndarray, alike: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect the same nodes as a symmetric relation does: one per class that joins another."""
-    label, links = np.arange(len(node)), []
+    """Links that connect the same nodes as a symmetric relation does: from the smallest node of each class to the others.
+
+    Buckets that hold the same texts then mostly give the same links.
+    """
+    order = np.argsort(node)
+    node, alike = node[order], alike[np.ix_(order, order)]
+    label = np.arange(len(node))
     for i in np.flatnonzero(alike.any(1)):
-        near = np.flatnonzero(alike[i] & (label != label[i]))
-        while len(near):
-            other = label[near[0]]
-            links.append((int(node[i]), int(node[near[0]])))
-            label[label == other] = label[i]
-            near = near[label[near] != label[i]]
-    return links
+        near = np.unique(label[np.flatnonzero(alike[i] & (label != label[i]))])
+        if len(near):
+            least = min(label[i], near[0])
+            label[np.isin(label, [label[i], *near])] = least
+    joined = np.flatnonzero(label != np.arange(len(node)))
+    return list(zip(node[label[joined]].tolist(), node[joined].tolist()))
 
 
 def _linked(pairs: list[tuple[int, int]]) -> pa.Table:
