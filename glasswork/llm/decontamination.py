@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from glasswork.llm.inputs import importable, texts
-from glasswork.llm.pieces import WordHasher, mix, shingles, weighted, weighted_jaccard
+from glasswork.llm.pieces import WordHasher, mix, shingles, tool, weighted, weighted_jaccard
 
 RADIUS = 7
 SIMILARITY = 0.8
@@ -194,16 +194,12 @@ class ItemIndex:
             yield t, item, start, s
 
 
-_INDEXES: dict[int, ItemIndex] = {}
 _BLOCKS = count()
 
 
 def _index(number: int, items: list, similarity: float) -> ItemIndex:
-    """One index per Python worker and block of items; an earlier block is forgotten."""
-    if number not in _INDEXES:
-        _INDEXES.clear()
-        _INDEXES[number] = ItemIndex(items, similarity)
-    return _INDEXES[number]
+    """One index per Python worker and block of items."""
+    return tool(("items", number), lambda: ItemIndex(items, similarity))
 
 
 def item_blocks(items: DataFrame, item_col: str, text_col: str, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:

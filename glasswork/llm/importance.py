@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +18,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from glasswork.llm.inputs import importable, texts, written
 from glasswork.llm.labels import LABELLED_ROWS, labelled_sample
-from glasswork.llm.pieces import PieceCache, mix, word_hash
+from glasswork.llm.pieces import PieceCache, mix, tool, word_hash
 from glasswork.operators.ranks import row_positions
 
 BUCKETS = 1 << 16
+# Texts that a task holds as Python strings at once, and pieces whose buckets it remembers.
+_SLICE = 512
+_CACHED = 200_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _BIGRAM = np.uint64(0x9E3779B97F4A7C15)
 
@@ -32,7 +34,7 @@ class NgramBuckets:
 
     def __init__(self, buckets: int = BUCKETS):
         self.buckets = np.uint64(buckets)
-        self.cache = PieceCache(lambda p: np.array([word_hash(t) for t in _TOKEN.findall(p)], "<u8").tobytes())
+        self.cache = PieceCache(lambda p: np.array([word_hash(t) for t in _TOKEN.findall(p)], "<u8").tobytes(), _CACHED)
 
     def __call__(self, text: str) -> np.ndarray:
         h = np.frombuffer(self.cache.join(text.split(" ")), "<u8")
@@ -40,9 +42,8 @@ class NgramBuckets:
         return (np.concatenate([h, pairs]) % self.buckets).astype(np.int64)
 
 
-@lru_cache(maxsize=2)
 def _ngrams(buckets: int) -> NgramBuckets:
-    return NgramBuckets(buckets)
+    return tool(("n-grams", buckets), lambda: NgramBuckets(buckets))
 
 
 @dataclass(frozen=True)
@@ -92,12 +93,14 @@ def _scorer(model: ImportanceModel, seed: int):
 
     def score(ids: list, found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ngrams = _ngrams(buckets)
-        spots = [ngrams(t) for t in found]
-        weight = np.array([ratio[s].sum() for s in spots])
+        sizes, weight = np.zeros(len(found), np.int64), np.zeros(len(found))
+        for k, text in enumerate(found):  # one text's buckets at a time
+            spots = ngrams(text)
+            sizes[k], weight[k] = len(spots), ratio[spots].sum()
         named = np.array([-1 if i is None else i for i in ids], np.int64).astype(np.uint64)
         unit = (mix(named + np.uint64(seed * int(_BIGRAM) % 2**64)) >> np.uint64(11)).astype(float) * 2.0**-53
         gumbel = -np.log(-np.log(np.clip(unit, 2.0**-53, 1 - 2.0**-53)))
-        return np.array([len(s) for s in spots], np.int64), weight, weight + gumbel
+        return sizes, weight, weight + gumbel
 
     return score
 
@@ -108,9 +111,11 @@ def score(docs: DataFrame, model: ImportanceModel, seed: int = 7, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, weight, key = scored(batch["_id"].to_pylist(), batch["_text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([batch["_id"], pa.array(n), pa.array(weight), pa.array(key)],
-                                             names=["doc_id", "n_grams", "log_weight", "key"])
+            for a in range(0, batch.num_rows, _SLICE):
+                some = batch.slice(a, _SLICE)
+                n, weight, key = scored(some["_id"].to_pylist(), some["_text"].to_pylist())
+                yield pa.RecordBatch.from_arrays([some["_id"], pa.array(n), pa.array(weight), pa.array(key)],
+                                                 names=["doc_id", "n_grams", "log_weight", "key"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_grams long, log_weight double, key double")
 
@@ -146,8 +151,10 @@ def keep_sampled(docs: DataFrame, model: ImportanceModel, k: int | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch[id_col].cast(pa.int64()).to_pylist()
-            _, _, key = scored(ids, ["" if t is None else t for t in batch[text_col].to_pylist()])
-            yield batch.filter(pa.array(key >= least))
+            for a in range(0, batch.num_rows, _SLICE):
+                some = batch.slice(a, _SLICE)
+                ids = some[id_col].cast(pa.int64()).to_pylist()
+                _, _, key = scored(ids, ["" if t is None else t for t in some[text_col].to_pylist()])
+                yield some.filter(pa.array(key >= least))
 
     return docs.mapInArrow(run, schema)

@@ -29,6 +29,22 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
 
+def numbered(docs: DataFrame, id_col: str) -> DataFrame:
+    """Rows (_row long, _doc struct of all columns) with a number of its own for every row.
+
+    Where the ids are whole numbers, none null and none twice, they are the
+    numbers. Otherwise the rows are numbered in a written table, since a number
+    given while reading may change when a lost task is repeated.
+    """
+    doc = F.struct(*[F.col(c) for c in docs.columns]).alias("_doc")
+    if dict(docs.dtypes).get(id_col) in ("bigint", "int", "smallint", "tinyint"):
+        ids = docs.select(F.col(id_col).cast("long").alias("_row"))
+        all_rows = ids.agg(F.count(F.lit(1)), F.count("_row")).first()
+        if all_rows[0] == all_rows[1] == ids.distinct().count():
+            return docs.select(F.col(id_col).cast("long").alias("_row"), doc)
+    return written(docs.select(doc).withColumn("_row", F.monotonically_increasing_id()), "numbered").select("_row", "_doc")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

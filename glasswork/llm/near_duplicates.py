@@ -17,15 +17,14 @@ links that connect the same texts, at most one per text and class.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from glasswork.llm.components import connected_components
-from glasswork.llm.inputs import texts, written
-from glasswork.llm.pieces import WordHasher, mix, shingles, weighted
+from glasswork.llm.inputs import numbered, texts, written
+from glasswork.llm.pieces import WordHasher, mix, shingles, tool, weighted
 
 REGISTERS, BAND_ROWS = 96, 4  # a pair at 0.8 shares no band with probability (1 - 0.8**4) ** 24 = 3e-6
 SIMILARITY = 0.8
@@ -72,13 +71,8 @@ def bands(signature: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
     return keys
 
 
-@lru_cache(maxsize=1)
-def _hasher() -> WordHasher:
-    return WordHasher()
-
-
 def profile(text: str) -> tuple[np.ndarray, np.ndarray]:
-    return weighted(shingles(_hasher()(text)))
+    return weighted(shingles(tool(("words",), WordHasher)(text)))
 
 
 def _banded(docs: DataFrame) -> DataFrame:
@@ -282,15 +276,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
         F.col("_id").alias("doc_id"), "class_id", "copies")
 
 
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY, text_col: str = "text") -> DataFrame:
-    """The documents, all columns, with one row per class: its first row in a numbering that is written with the rows.
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, with one row per class: that of the smallest number (see ``numbered``).
 
-    Numbers make rows distinct where ids repeat or are null. The numbers to drop
-    are broadcast where a count proves them few, and joined otherwise.
+    The numbers to drop are broadcast where a count proves them few, and joined
+    otherwise.
     """
-    names = docs.columns
-    kept = F.struct(*[F.col(c) for c in names]).alias("doc")
-    numbered = written(docs.select(kept).withColumn("number", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered.select("number", F.col("doc").getField(text_col).alias("text")), similarity, "number")
-    extra = _bounded(found.filter("doc_id != class_id").select(F.col("doc_id").alias("number")))
-    return numbered.join(extra, "number", "left_anti").select(*[F.col("doc").getField(c).alias(c) for c in names])
+    rows = numbered(docs, id_col)
+    found = near_duplicates(rows.select("_row", F.col("_doc").getField(text_col).alias("text")), similarity, "_row")
+    extra = _bounded(found.filter("doc_id != class_id").select(F.col("doc_id").alias("_row")))
+    return rows.join(extra, "_row", "left_anti").select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])

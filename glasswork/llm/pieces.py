@@ -44,6 +44,21 @@ class PieceCache(dict):
         return b"".join(map(self.__getitem__, pieces))
 
 
+_TOOL: dict = {}
+
+
+def tool(key: tuple, make: Callable):
+    """What a Python worker keeps between tasks under ``key``; only the last one asked for.
+
+    A worker serves many stages. Dropping the tool of the one before keeps its
+    memory at one set of caches.
+    """
+    if key not in _TOOL:
+        _TOOL.clear()
+        _TOOL[key] = make()
+    return _TOOL[key]
+
+
 def words_of(text: str) -> list[str]:
     """Lower-case runs of letters and digits."""
     low = text.lower()

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from glasswork.llm.inputs import texts, written
+from glasswork.llm.inputs import numbered, texts, written
 
 # The forms of the base kinds, and the least length of what they must hold.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -133,21 +133,20 @@ def digest(found: DataFrame) -> DataFrame:
                         _joined(F.col("found")).alias("spans"), (F.size("found") - F.size("base")).cast("long").alias("n_linked"))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, with every span of the text replaced by ``mark``; texts without one are untouched.
 
-    Rows are numbered in a written table, so spans meet their text again even
-    where ids repeat or are null. A null text stays null.
+    Rows are numbered, so spans meet their text again even where ids repeat or
+    are null. A null text stays null.
     """
     names = docs.columns
-    keep = F.struct(*[F.col(c) for c in names]).alias("doc")
-    numbered = written(docs.select(keep).withColumn("row_number", F.monotonically_increasing_id()), "numbered")
-    text = F.col("doc").getField(text_col)
-    found = find_secrets(numbered.select(F.col("row_number").alias("doc_id"), text.alias("text"))).filter(F.size("found") > 0)
-    found = written(found.select(F.col("doc_id").alias("row_number"), "found"), "secret-spans")
+    rows = numbered(docs, id_col)
+    text = F.col("_doc").getField(text_col)
+    found = find_secrets(rows.select(F.col("_row").alias("doc_id"), text.alias("text"))).filter(F.size("found") > 0)
+    found = written(found.select(F.col("doc_id").alias("_row"), "found"), "secret-spans")
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    joined = numbered.join(found, "row_number", "left")
+    joined = rows.join(found, "_row", "left")
     # Spans may overlap: a piece of text is kept from the furthest end so far to the next start.
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -159,4 +158,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> D
     clean = F.aggregate("found", state, step, lambda done: F.concat(
         done["out"], text.substr(done["at"] + 1, F.length(text) - done["at"])))
     new = F.when(F.col("found").isNull(), text).otherwise(clean)
-    return joined.select(*[new.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in names])
+    return joined.select(*[new.alias(c) if c == text_col else F.col("_doc").getField(c).alias(c) for c in names])

@@ -13,13 +13,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from glasswork.llm.inputs import texts
-from glasswork.llm.pieces import PieceCache
+from glasswork.llm.pieces import PieceCache, tool
 
 SPACE = "▁"
 _UNKNOWN_PENALTY = 10.0
@@ -79,9 +78,8 @@ class UnigramCounter:
         return sum(map(self.counts.__getitem__, words if words[0] else words[1:]))
 
 
-@lru_cache(maxsize=2)
 def _counter(path: str, byte_fallback: bool) -> UnigramCounter:
-    return UnigramCounter(load_vocabulary(path), byte_fallback)
+    return tool(("unigram", path, byte_fallback), lambda: UnigramCounter(load_vocabulary(path), byte_fallback))
 
 
 def count_tokens(docs: DataFrame, vocabulary_path: str, byte_fallback: bool = True, id_col: str = "doc_id",

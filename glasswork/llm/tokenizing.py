@@ -5,9 +5,8 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
 
-from glasswork.llm.pieces import PieceCache
+from glasswork.llm.pieces import PieceCache, tool
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -105,7 +104,6 @@ _PROBES = ["a", "the", "Zebra", "unbelievable", "straße", "Élève", "ñandú",
            "THE!!", "end.\nNext", "w%%%", "$$$", "a-b_c", "(x)[y]{z}", "end\n", "~`@#^&*"]
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> TextEncoder:
     """One encoder per Python worker and file."""
-    return TextEncoder(path)
+    return tool(("encoder", path), lambda: TextEncoder(path))

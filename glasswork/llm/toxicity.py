@@ -18,7 +18,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from glasswork.llm.inputs import texts, written
 from glasswork.llm.labels import LABELLED_ROWS, labelled_sample
-from glasswork.llm.pieces import PieceCache, word_hash
+from glasswork.llm.pieces import PieceCache, tool, word_hash
 
 BUCKETS = 1 << 18
 ROUNDS = 6
@@ -71,9 +70,8 @@ class SentenceFeatures:
         return features, starts
 
 
-@lru_cache(maxsize=2)
 def _features(buckets: int) -> SentenceFeatures:
-    return SentenceFeatures(buckets)
+    return tool(("sentences", buckets), lambda: SentenceFeatures(buckets))
 
 
 @dataclass(frozen=True)
