@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glasswork.llm.inputs import texts, written
-from glasswork.llm.pieces import PieceCache, mix
+from glasswork.llm.pieces import PieceCache, mix, tool
 
 CLASS_BITS = 6
 CLASSES = 1 << CLASS_BITS
@@ -36,6 +35,7 @@ ROUNDS = 3
 HEAD_WORDS = 1 << 17
 END, START = 0, 1  # ids of the end of a text, and of what stands before its first word; each a class of its own
 _BATCH = 4096
+_SAFE = 60.0  # exponentials up to here stay in range, summed and in single precision
 _CHUNK = 256  # weight rows per message row
 
 
@@ -60,9 +60,8 @@ class WordIds:
         return np.frombuffer(self.cache.join(words) + bytes(8), "<u8")  # the end is id 0
 
 
-@lru_cache(maxsize=1)
 def _words() -> WordIds:
-    return WordIds()
+    return tool(("word ids",), WordIds)
 
 
 def contexts(ids: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,35 +80,47 @@ def contexts(ids: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarra
     return rows, (padded[at] & low).astype(np.int64)
 
 
-def class_log_probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log softmax over the classes, one line per token."""
-    logits = weights[rows[:, 0]]
+def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sum of the used rows, shifted where needed so that no exponential overflows."""
+    logits = np.take(weights, rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        logits += weights[rows[:, k]]
+        logits += np.take(weights, rows[:, k], axis=0)
     logits += bias
-    logits -= logits.max(1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(1))[:, None]
+    if max(logits.max(), -logits.min()) > _SAFE:
+        logits -= logits.max(1, keepdims=True)
     return logits
 
 
-def gradient_step(weights: np.ndarray, bias: np.ndarray, memory: np.ndarray, rows: np.ndarray, classes: np.ndarray, rate: float) -> float:
-    """One batch: the gradient of the log likelihood per used row, scaled by the row's past; returns the batch's log likelihood."""
-    push = class_log_probabilities(weights, bias, rows)
-    line = np.arange(len(classes))
-    gained = float(push[line, classes].sum())
+def class_log_probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Log softmax over the classes, one line per token."""
+    logits = _logits(weights, bias, rows)
+    return logits - np.log(np.exp(logits).sum(1))[:, None]
+
+
+def own_log_probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Log probability of each token's own class."""
+    logits = _logits(weights, bias, rows)
+    own = logits[np.arange(len(classes)), classes]
+    np.exp(logits, out=logits)
+    return own - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+
+
+def gradient_step(weights: np.ndarray, bias: np.ndarray, memory: np.ndarray, rows: np.ndarray, classes: np.ndarray, rate: float) -> None:
+    """One batch: the gradient of the log likelihood per used row, scaled by the row's past."""
+    push = _logits(weights, bias, rows)
     np.exp(push, out=push)
-    np.negative(push, out=push)
-    push[line, classes] += 1
-    flat = rows.astype(np.uint16).ravel()  # short integers sort by radix
+    push *= (-1 / (push @ np.ones(push.shape[1], push.dtype)))[:, None]
+    push[np.arange(len(classes)), classes] += 1
+    flat = rows.astype(np.uint16).ravel() if len(weights) <= 1 << 16 else rows.ravel()  # short integers sort by radix
     order = np.argsort(flat, kind="stable")
-    sorted_rows = flat[order]
-    first = np.flatnonzero(np.diff(sorted_rows.astype(np.int32), prepend=-1))
-    used = sorted_rows[first].astype(np.int64)
-    grad = np.add.reduceat(push[order // rows.shape[1]], first, axis=0)
+    sorted_rows = flat[order].astype(np.int64)
+    first = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
+    used = sorted_rows[first]
+    grad = np.add.reduceat(np.take(push, order // rows.shape[1], axis=0), first, axis=0)
     memory[used] += np.einsum("ij,ij->i", grad, grad) / CLASSES
-    weights[used] += grad * (rate / np.sqrt(memory[used]))[:, None]
+    grad *= (rate / np.sqrt(memory[used]))[:, None]
+    weights[used] += grad
     bias += rate * push.mean(0)
-    return gained
 
 
 @dataclass(frozen=True)
@@ -288,7 +299,7 @@ def _score_group(ids: list[np.ndarray], weights, bias, inside, head, head_logs,
     gain = np.empty(len(classes))
     for a in range(0, len(classes), _BATCH):
         part = classes[a: a + _BATCH]
-        gain[a: a + _BATCH] = class_log_probabilities(weights, bias, rows[a: a + _BATCH])[np.arange(len(part)), part]
+        gain[a: a + _BATCH] = own_log_probabilities(weights, bias, rows[a: a + _BATCH], part)
     gain = gain / np.log(10) - inside[classes]
     every = np.concatenate(ids).view("<i8")
     if len(head):

@@ -92,3 +92,14 @@ def test_gradient_matches_finite_differences():
         up = weights.copy()
         up[r, c] += 1e-6
         assert abs((value(up) - value(weights)) / 1e-6 - grad[r, c]) < 1e-4
+
+
+def test_own_probabilities_without_overflow():
+    rng = np.random.default_rng(1)
+    rows, classes = rng.integers(0, 8, (50, 3)), rng.integers(0, lm.CLASSES, 50)
+    for scale in (1, 40):
+        weights = (rng.normal(size=(8, lm.CLASSES)) * scale).astype(np.float32)
+        bias = np.zeros(lm.CLASSES, np.float32)
+        full = weights[rows].sum(1).astype(float)
+        want = (full - np.log(np.exp(full - full.max(1, keepdims=True)).sum(1))[:, None] - full.max(1, keepdims=True))[np.arange(50), classes]
+        assert np.allclose(lm.own_log_probabilities(weights, bias, rows, classes), want, atol=1e-3)
