@@ -6,10 +6,11 @@ every node's neighbours, and a bounded sample of the nodes it is a neighbour of,
 with their vectors; all of them are compared with each other, as neighbours of
 neighbours, and every node keeps its nearest.
 
-A query starts from entry points and walks the graph greedily: it expands the
-nearest nodes that it has not expanded yet and keeps the nearest it has met,
-until none of those is left to expand. All queries walk together, one Spark job
-per step.
+A query starts from its own node and from entry points all over the table, and
+walks the graph greedily: it expands the nearest nodes that it has not expanded
+yet and keeps the nearest it has met, until none of those is left to expand. All
+queries walk together, one Spark job per step. Every node also has some links to
+nodes at random, since the nearest alone leave close groups shut off.
 """
 
 from __future__ import annotations
@@ -29,7 +30,10 @@ TABLES = 3
 BUCKET = 64
 BEAM = 1024
 EXPAND = 256
+# Entry points: so many, and more as the root of the number of nodes grows.
 ENTRIES = 32
+# Links of a node to nodes at random, on average.
+LONG = 4
 # Nodes whose lists one task handles at once, and pairs of a query block.
 BLOCK = 1024
 QUERY_BLOCK = 20_000
@@ -178,6 +182,21 @@ def with_reverse(graph: DataFrame, reverse: int) -> DataFrame:
     return graph.select("src", "dst").unionAll(back.select("src", "dst")).distinct()
 
 
+def long_links(packed: DataFrame, n: int, each: int = LONG) -> DataFrame:
+    """Rows (src, dst): about ``each`` nodes at random for every node, from groups of about ``each + 1`` by a hash."""
+    hood = F.pmod(F.xxhash64("node", F.lit("long")), F.lit(max(1, n // (each + 1))))
+    return packed.select(hood.alias("hood"), F.col("node").alias("src")).join(
+        packed.select(hood.alias("hood"), F.col("node").alias("dst")), "hood").filter("src != dst").select("src", "dst")
+
+
+def starts(queries: DataFrame, packed: DataFrame, n: int, entries: int = ENTRIES) -> DataFrame:
+    """Rows (query, node): every query's own node, whose links lead to its neighbours, and entry points common to all."""
+    stride = max(1, n // max(entries, int(n**0.5)))
+    common = packed.filter(F.pmod(F.xxhash64("node"), F.lit(stride)) == 0).select("node")
+    return queries.select("query", F.col("query").alias("node")).unionAll(
+        queries.select("query").crossJoin(F.broadcast(common))).distinct()
+
+
 def build_graph(nodes: DataFrame, neighbours: int = NEIGHBOURS, reverse: int = REVERSE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(packed vectors, graph rows (src, dst, dist)) by NN-descent over rows (node, v)."""
     packed = _packed(nodes)
@@ -214,16 +233,15 @@ def _step(left: pa.Table, right: pa.Table, beam: int) -> dict:
                     "open": open_[order].tobytes(), "seen": seen.astype("<i8").tobytes()}
 
 
-def search(queries: DataFrame, packed: DataFrame, links: DataFrame, keep: int, beam: int = BEAM, expand: int = EXPAND,
-           entries: int = ENTRIES) -> DataFrame:
+def search(queries: DataFrame, packed: DataFrame, links: DataFrame, first: DataFrame, keep: int, beam: int = BEAM,
+           expand: int = EXPAND) -> DataFrame:
     """Rows (query, node): the ``keep`` nodes nearest to rows (query, vec) that the walks have met.
 
-    ``links`` holds rows (src, dst). A query's state is one row of bounded lists;
+    ``links`` holds rows (src, dst), ``first`` the nodes (query, node) each walk starts from. A query's state is one row of bounded lists;
     a step joins the nodes it expands with the graph, and the new ones with their
     vectors.
     """
     adjacency = written(links.groupBy("src").agg(F.collect_list("dst").alias("to")), "adjacency")
-    begin = [r.node for r in packed.orderBy(F.xxhash64("node")).select("node").limit(entries).collect()]
     few = queries.count() <= QUERY_BLOCK
 
     def measure(pairs: DataFrame, state: DataFrame) -> DataFrame:
@@ -269,7 +287,6 @@ def search(queries: DataFrame, packed: DataFrame, links: DataFrame, keep: int, b
 
     none = F.lit(b"")
     state = queries.select("query", "vec", none.alias("ids"), none.alias("dists"), none.alias("open"), none.alias("seen"))
-    first = queries.select("query", F.explode(F.array(*[F.lit(b) for b in begin]).cast("array<long>")).alias("node"))
     state = advance(state, measure(first, state))
     while state.filter(F.instr(F.hex("open"), "01") > 0).limit(1).count():
         going = state.mapInArrow(frontier, "query long, src long")
@@ -302,15 +319,16 @@ def nearest(df: DataFrame, query_filter: Column, k: int = 10, id_col: str = "vec
     rows = written(vectors(df, id_col, vector_col), "rows")
     nodes = nodes_of(rows, k + 1)
     packed, graph = build_graph(nodes, neighbours, rounds=rounds)
-    links = with_reverse(graph, 2 * neighbours)
-    if packed.isEmpty():
+    n = packed.count()
+    links = with_reverse(graph, 2 * neighbours).unionAll(long_links(packed, n)).distinct()
+    if n == 0:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     wanted = rows.filter(query_filter)
     asked = written(wanted.join(nodes.select("node", "v"), "v").select(F.col("id"), "node", "v"), "asked")
     # Queries with one vector walk once.
     walks = asked.select("node").distinct().join(packed, "node").select(F.col("node").alias("query"), "vec")
     # Some more than k, since the walk ranks by float32 distances.
-    met = search(walks, packed, links, 4 * k, max(beam, 4 * k))
+    met = search(walks, packed, links, starts(walks, packed, n), 4 * k, max(beam, 4 * k))
     pairs = met.join(nodes, "node").select("query", "ids", F.col("v").alias("theirs"))
     pairs = pairs.join(asked.select(F.col("node").alias("query"), F.col("id").alias("query_id"), "v"), "query")
     gap = F.aggregate(F.zip_with("v", "theirs", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)

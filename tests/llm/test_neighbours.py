@@ -82,3 +82,20 @@ def test_graph_improves_with_rounds(spark):
         return np.mean([len(lists.get(i, set()) & set(t)) / 10 for i, t in enumerate(true.tolist())])
 
     assert recall(3) > max(0.95, recall(0))
+
+
+def test_recall_on_many_tight_clusters(spark):
+    """Far more clusters than entry points, each larger than a node's list: the walks must start near their queries."""
+    rng = np.random.default_rng(7)
+    points = (np.repeat(rng.normal(size=(200, 64)) * 10, 50, 0) + rng.normal(size=(10_000, 64)) * 0.01).astype(np.float32)
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    got = ng.nearest(frame(spark, rows), F.col("id") % 100 == 0).collect()
+    found = 0
+    for q in range(0, 10_000, 100):
+        d = ((points.astype(float) - points[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        true = set(np.argsort(d)[:10].tolist())
+        mine = {r.vec_id for r in got if r.query_id == q}
+        assert len(mine) == 10
+        found += len(mine & true)
+    assert found >= 900, found
