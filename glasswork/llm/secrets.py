@@ -21,7 +21,7 @@ ASSIGN_LENGTH = 8
 
 # Weak parts: identifiers, secrets and endpoints that count only together.
 WEAK_ID = r"""(?i)\b(?:user(?:_?name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}"""
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[A-Z])(?=[A-Za-z0-9+/]{0,39}[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_=-])"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[A-Z])(?=[A-Za-z0-9+/]{0,39}[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_=-])"
 ENDPOINT = r"""(?i)\b(?:https?|s3|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp|jdbc:[a-z]{2,20})://[^\s"'<>]+|\b(?:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:_-]{3,}"""
 WEAK_LENGTH = 4
 
