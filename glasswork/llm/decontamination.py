@@ -7,10 +7,11 @@ at most one bit, so each block value and its 16 neighbours are listed per
 fingerprint. Every hit is verified by the exact similarity of five-word
 shingles, weighted by how often they occur.
 
-Window sizes follow a grid with steps of a fifth. An item longer than its grid
-size is listed with the fingerprints of all its windows of that size, so a
-window of a verbatim copy always meets an equal fingerprint; verification uses
-the window of the item's own size around it.
+Window sizes follow a grid with steps of a fifth. An item is listed with the
+fingerprints of all its windows of one size, no longer than the run of words
+that every copy with enough similarity has in common with it, so a window of
+such a copy always meets an equal fingerprint; verification uses the window of
+the item's own size around it.
 
 The per-bit sums of all windows come from bit-sliced counters: 64 columns are
 added at once, windows of 2, 4, 8, ... words from two halves, other sizes from
@@ -44,6 +45,18 @@ def grid_size(words: int) -> int:
     return size
 
 
+def common_run(words: int, similarity: float) -> int:
+    """The longest run of words that a copy of an item must share with it to reach ``similarity``.
+
+    Of the item's shingles at most ``lost`` can be missing. A word changed between
+    two runs costs five of them, so there are at most ``lost // 5 + 1`` runs that
+    hold shingles, and the longest has its share of those that are left.
+    """
+    all_shingles = max(1, words - 4)
+    lost = int(all_shingles * (1 - similarity) / (1 + similarity) + 1e-9)
+    return min(words, 4 - (lost - all_shingles) // (lost // 5 + 1))
+
+
 class Windows:
     """Fingerprints of all windows of a run of word hashes."""
 
@@ -150,7 +163,7 @@ class ItemIndex:
         self.profiles = [weighted(shingles(h)) for _, h in self.items]
         listed: dict[int, list] = {}
         for number, (_, h) in enumerate(self.items):
-            size = grid_size(len(h))
+            size = grid_size(common_run(len(h), similarity))
             prints = Windows(h).fingerprints(size)[: len(h) - size + 1]
             listed.setdefault(size, []).append((prints, np.full(len(prints), number), np.arange(len(prints))))
         self.sizes = {}

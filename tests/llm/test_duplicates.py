@@ -231,3 +231,16 @@ def test_item_blocks_agree(spark, sf, monkeypatch):
     monkeypatch.setattr(decontamination.item_blocks, "__defaults__", (4000,))
     assert sorted(map(tuple, find_items(docs, items).collect())) == one
     assert isinstance(ItemIndex([]).sizes, dict)
+
+
+@pytest.mark.parametrize("lengths", [range(15, 31), range(31, 46), range(46, 61)])
+def test_one_word_changed_at_each_place(lengths):
+    """Every copy that is similar enough is found, for every length of an item."""
+    rng = random.Random(11)
+    for n in lengths:
+        item = [f"i{rng.random():.9f}"[:9].replace(".", "") for _ in range(n)]
+        copies = [[*item[:k], f"other{k}", *item[k + 1:]] for k in range(n)]
+        texts = [" ".join([*["before"] * 3, *c, *["after"] * 3]) for c in [item, *copies]]
+        want = {0} | {k + 1 for k, c in enumerate(copies) if similar(grams(" ".join(item)), grams(" ".join(c))) >= 0.8}
+        got = list(ItemIndex([(7, " ".join(item))]).search(texts))
+        assert {t for t, *_ in got} == want, n
