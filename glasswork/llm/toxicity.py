@@ -4,7 +4,10 @@ A document is a bag of sentences. Each sentence has a logistic score over hashed
 word features; a document is toxic when any sentence is, so its score is the
 noisy-or ``1 - prod(1 - s)``. Only documents are labelled: the loss of the bag
 tells the gradient which sentences to blame, and the same weights then point at
-the offending sentences.
+the offending sentences. Sentences without any feature that has a weight tell
+nothing about a document; together they count as one sentence, and only where
+there is no other, in training as in scoring, so length by itself makes no
+document toxic.
 
 Training keeps a bounded, documented sample of labelled documents. Features that
 toxic documents do not hold clearly more often than chance are left out; the
@@ -96,6 +99,12 @@ def bag_score(sentences: np.ndarray) -> float:
     return float(-np.expm1(-np.logaddexp(0, sentences).sum()))
 
 
+def _document_score(weights: np.ndarray, bias: float, features: np.ndarray, starts: np.ndarray, logits: np.ndarray) -> float:
+    """The noisy-or over the bag that training sees: the sentences with a weight, or one with the bias alone."""
+    told = np.logical_or.reduceat(weights[features] != 0, starts) if len(features) else np.zeros(1, bool)
+    return bag_score(logits[told] if told.any() else np.array([bias]))
+
+
 def _train_part(bags: list[tuple[np.ndarray, np.ndarray, int]], weights: np.ndarray, bias: float, epochs: int, seed: int,
                 rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Mini-batch steps with per-weight step sizes (Adagrad) over the bags of one part."""
@@ -227,8 +236,9 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, id_col:
         weights, bias = shared.value
         find = _features(len(weights))
         for batch in batches:
-            logits = [_sentence_logits(weights, bias, *find(t.as_py())) for t in batch["_text"]]
-            p = np.array([bag_score(z) for z in logits], float)
+            bags = [find(t.as_py()) for t in batch["_text"]]
+            logits = [_sentence_logits(weights, bias, *b) for b in bags]
+            p = np.array([_document_score(weights, bias, *b, z) for b, z in zip(bags, logits)], float)
             yield pa.RecordBatch.from_arrays(
                 [batch["_id"], pa.array(p), pa.array((p >= threshold).astype(np.int32)),
                  pa.array([len(z) for z in logits], pa.int64()), pa.array([int(z.argmax()) for z in logits], pa.int64())],

@@ -140,3 +140,17 @@ def test_toxicity_odd_inputs_and_sentences(spark):
     assert toxicity.score(odd_docs(spark, []), model).collect() == []
     nothing = toxicity.fit(docs, labels.limit(0), buckets=1 << 12)
     assert not nothing.weights.any()
+
+
+def test_length_makes_no_document_toxic(spark):
+    """A clean document of thousands of sentences stays clean, one with a single toxic sentence does not."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels, where=F.crc32(F.col("_id").cast("string")) % 3 != 1)
+    words = "The river runs past the old mill. We walked along it in the morning. "
+    toxic = docs.join(labels.filter("toxic = 1").select("doc_id"), "doc_id")
+    worst = toxicity.offending_sentences(toxic, model, 0.9).orderBy(F.desc("score"), "doc_id", "start").first().sentence
+    rows = spark.createDataFrame([(1, words * 2500), (2, words * 10), (3, words * 10 + worst)], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(rows, model).collect()}
+    assert [got[i].predicted for i in (1, 2, 3)] == [0, 0, 1], (model.bias, [got[i].score for i in (1, 2, 3)])
+    assert got[1].score == got[2].score and got[1].n_sentences == 5000
