@@ -66,7 +66,8 @@ class PrefixTable:
             self.automaton.add_word(names[i], i)
         self.automaton.make_automaton()
         self.cut = not any(SPACE in p.lstrip(SPACE) for p in self.score)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, dict[int, bool]] = {}  # by right token, then left
+        self.tested = 0
         self.words = PieceCache(self.encode_word)
         if any(self(t).tolist() != model.encode(t) for t in _PROBES):
             raise ValueError(f"{path} is no plain BPE model")
@@ -76,19 +77,32 @@ class PrefixTable:
 
         Merges are played until one spans the border, which settles it.
         """
-        border = self.sizes[left]
+        border, score = self.sizes[left], self.score.get
         parts = list(self.names[left] + self.names[right])
+        scores = [score(a + b) for a, b in zip(parts, parts[1:])]
         while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.score.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
+            known = [s for s in scores if s is not None]
+            if not known:
                 return len(parts) == (2 if border else 1)
+            at = scores.index(max(known))  # the leftmost of the best
+            joined = parts[at] + parts[at + 1]
             if border and sum(map(len, parts[:at + 1])) == border:
                 return False
-            parts[at: at + 2] = [parts[at] + parts[at + 1]]
+            parts[at: at + 2] = [joined]
+            del scores[at]
+            if at:
+                scores[at - 1] = score(parts[at - 1] + joined)
+            if at + 1 < len(parts):
+                scores[at] = score(joined + parts[at + 1])
+
+    def _tested(self, left: int, right: int) -> bool:
+        """The test's answer, remembered; a full memory is emptied, which changes no answer."""
+        if self.tested >= CACHED_PAIRS:
+            self.pairs.clear()
+            self.tested = 0
+        self.tested += 1
+        fits = self.pairs.setdefault(right, {})[left] = self.goes_with(left, right)
+        return fits
 
     def _number(self, char: str) -> int:
         if char not in self.others:
@@ -112,13 +126,11 @@ class PrefixTable:
         last, sizes, pairs, done = [self.none] * (len(text) + 1), self.sizes, self.pairs, -1
         for end, token in self._candidates(text):
             if end != done:
-                pair = last[end + 1 - sizes[token]], token
+                left = last[end + 1 - sizes[token]]
                 try:
-                    fits = pairs[pair]
+                    fits = pairs[token][left]
                 except KeyError:
-                    if len(pairs) >= CACHED_PAIRS:
-                        pairs.clear()
-                    fits = pairs[pair] = self.goes_with(*pair)
+                    fits = self._tested(left, token)
                 if fits:
                     last[end + 1] = token
                     done = end

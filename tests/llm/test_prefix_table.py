@@ -42,7 +42,7 @@ def test_a_forgotten_pair_is_tested_again(monkeypatch):
     monkeypatch.setattr(prefix_table, "CACHED_PAIRS", 3)
     small = PrefixTable(PATH)
     text = "Several words that share few pairs, and some numbers 12 345."
-    assert small(text).tolist() == LIBRARY.encode(text) and len(small.pairs) <= 3
+    assert small(text).tolist() == LIBRARY.encode(text) and small.tested <= 3
 
 
 ROWS = [(3, "Hello there,  world\n x"), (1, None), (2, ""), (2, "twice"), (2, "twice"), (None, "no id <s>"), (9, "long " * 60_000)]
