@@ -30,16 +30,16 @@ from glasswork.llm.pieces import PieceCache, tool
 SPACE = "▁"
 CACHED_PAIRS = 1_000_000
 _SLICE_CHARS = 2_000_000
-_RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _PROBES = ["", " ", "a", "Hello  world", " two\n\n lines\t", "▁x▁ y", "aaaaaaaaaaa     b", "日本語 𝔘\x00é", "<s> <0x0A> <unk>"]
 
 
 class PrefixTable:
     """``table(text)`` gives the ids of a whole text as an array, equal to the library's ``encode``.
 
-    The library normalizes the text. Where no piece has a space mark behind
-    another character, words are cut before their space marks and equal words
-    are encoded once, in a bounded cache.
+    The library normalizes the text. It is cut where no merge can reach across:
+    before space marks, if no piece has one behind another character, and
+    between characters that no chain of pieces links. Equal stretches are
+    encoded once, in a bounded cache.
     """
 
     def __init__(self, path: str):
@@ -65,13 +65,27 @@ class PrefixTable:
         for i in kept:
             self.automaton.add_word(names[i], i)
         self.automaton.make_automaton()
-        self.cut = not any(SPACE in p.lstrip(SPACE) for p in self.score)
+        self.runs = self._runs()
         self.pairs: dict[int, dict[int, bool]] = {}  # by right token, then left
         self.tested = 0
         self.words = PieceCache(self.encode_word)
         if any(self(t).tolist() != model.encode(t) for t in _PROBES):
             raise ValueError(f"{path} is no plain BPE model")
 
+    def _runs(self) -> re.Pattern:
+        """Stretches of text that no piece joins to their neighbours: space marks with a run of linked characters."""
+        bare = [p.lstrip(SPACE) for p in self.score]
+        if any(SPACE in p for p in bare):
+            return re.compile(".+", re.DOTALL)
+        group: dict[str, set] = {}
+        for piece in bare:
+            if len(piece) > 1:
+                linked = set(piece).union(*(group[c] for c in piece if c in group))
+                group.update(dict.fromkeys(linked, linked))
+        kinds = sorted({id(g): g for g in group.values()}.values(), key=len, reverse=True)
+        classes = [f"[{''.join(map(re.escape, sorted(k)))}]+" for k in kinds]
+        return re.compile(f"{SPACE}*(?:{'|'.join([*classes, f'[^{SPACE}]'])})|{SPACE}+")
+
     def goes_with(self, left: int, right: int) -> bool:
         """Whether the model makes exactly these two tokens of their text (of ``right`` alone, if ``left`` is none).
 
@@ -147,7 +161,7 @@ class PrefixTable:
 
     def __call__(self, text: str) -> np.ndarray:
         normal = self.model.normalize(text)
-        raw = self.words.join(_RUNS.findall(normal)) if self.cut else self.words.join([normal] if normal else [])
+        raw = self.words.join(self.runs.findall(normal))
         ids = np.frombuffer(raw, np.uint32)
         if not self.fallback and len(ids):  # the library gives a run of unknown characters one id
             unknown = ids == self.model.unk_id()
