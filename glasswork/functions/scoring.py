@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from glasswork.functions.sqltext import alias, case_axis, ident, label, number, string
-from glasswork.models import AdditiveModel, LinearModel, TreeModel
+from glasswork.functions.sqltext import alias, case_axis, doubles, ident, label, number, searched_axis, string, whole_numbers
+from glasswork.models import AdditiveModel, TreeModel
 
 ZERO = number(0.0)
 SOURCE = "<source_table>"
@@ -37,7 +37,13 @@ def term_text(term, output: int = 0, dialect: str = "spark", render=None) -> str
 
 
 def index_text(feature: str, axis, dialect: str = "spark") -> str:
-    """CASE that gives the bin position; nothing fitting gives the position after the last bin."""
+    """Bin position, by CASE or by a search of a wide axis; nothing fitting gives the position after the last bin."""
+    if dialect == "spark":
+        inner = _inner(axis)
+        null = next((i for i, c in enumerate(axis) if c.is_null), len(axis))
+        wide = searched_axis(ident(feature), axis, lambda i: f"get({whole_numbers(inner)}, {i})", str(null), str(len(axis)))
+        if wide:
+            return wide
     return case_axis(ident(feature, dialect), axis, [str(i) for i in range(len(axis))], str(len(axis)))
 
 
@@ -47,7 +53,7 @@ def lookup_text(term, output: int = 0) -> str:
     A nested CASE of a fine grid would outgrow one generated method.
     """
     if len(term.features) == 1:
-        return term_text(term, output)
+        return _searched(term, [output], lambda values: values[0]) or term_text(term, output)
     rows, cols = (len(a) for a in term.axes)
     grid = [
         number(term.scores[(i, j)][output]) if i < rows and j < cols else ZERO
@@ -57,13 +63,33 @@ def lookup_text(term, output: int = 0) -> str:
     return f"array({', '.join(grid)})[({first}) * {cols + 1} + ({second})]"
 
 
+def _inner(axis) -> list[int]:
+    """Positions of the intervals in order, or of the categories by name: the order of a search."""
+    places = [i for i, c in enumerate(axis) if not c.is_null]
+    return sorted(places, key=lambda i: axis[i].category) if any(axis[i].category is not None for i in places) else places
+
+
+def _searched(term, outputs_, join) -> str | None:
+    """Spark form of a wide numeric term: bounds and scores as arrays, the outputs' values joined by ``join``."""
+    axis = term.axes[0]
+    inner = _inner(axis)
+    null = next((term.scores[(i,)] for i, c in enumerate(axis) if c.is_null), (0.0,) * _width(term))
+
+    def value(place: str) -> str:
+        return join([f"get({doubles(term.scores[(i,)][k] for i in inner)}, {place})" for k in outputs_])
+
+    return searched_axis(ident(term.features[0]), axis, value, join([number(null[k]) for k in outputs_]), join([ZERO for _ in outputs_]))
+
+
 def _width(term) -> int:
     return len(next(iter(term.scores.values())))
 
 
 def vector_text(term, dialect: str = "spark") -> str:
     """One lookup of a term that returns the scores of all classes as an array."""
-    return term_text(term, dialect=dialect, render=lambda s: f"array({', '.join(map(number, s))})")
+    wide = len(term.features) == 1 and dialect == "spark" and _searched(
+        term, range(_width(term)), lambda values: f"array({', '.join(values)})")
+    return wide or term_text(term, dialect=dialect, render=lambda s: f"array({', '.join(map(number, s))})")
 
 
 def contributions(model, dialect: str = "spark", portable: bool = False) -> list[tuple[str, str]]:
@@ -159,7 +185,12 @@ def model_sql(model, split: bool = False, dialect: str = "ansi", source: str = S
               calibrator=None) -> str:
     """The model as one SELECT (lateral aliases) or, with ``split``, as CTE layers."""
     if isinstance(model, TreeModel):
-        return f"SELECT\n{tree_text(model, dialect=dialect)}\nAS prediction\nFROM {source}"
+        plain = f"SELECT\n{tree_text(model, dialect=dialect)}\nAS prediction"
+        if calibrator is None or model.task != "binary":
+            return f"{plain}\nFROM {source}"
+        share = tree_text(model, lambda n: leaf_share(n, 1), dialect)
+        return (f"SELECT prediction, probability\n, {calibrator.sql('probability')} AS calibrated_probability\n"
+                f"FROM (\n{plain}\n, {share}\nAS probability\nFROM {source}\n) AS scored")
     first = [("model_name", string(model.name)), *intercepts(model), *contributions(model, dialect, portable=True)]
     layers = [sums(model), *link(model)]
     if calibrator is not None and model.task == "binary":
@@ -171,13 +202,10 @@ def model_sql(model, split: bool = False, dialect: str = "ansi", source: str = S
     if not split:
         flat = [p for layer in [first, *layers] for p in layer]
         return f"SELECT\n{items(flat)}\nFROM {source}"
-    names = ["feature_scores", "add_sum_scores", "add_max_score", "add_total_score", "add_probability"]
+    names = ["terms", "summed", "with_max", "with_total", "with_probability"]
     parts = [f"{names[0]} AS (\nSELECT\n{items(first)}\nFROM {source}\n)"]
     for i, layer in enumerate(layers[:-1]):
         parts.append(f"{names[i + 1]} AS (\nSELECT *\n, {items(layer)}\nFROM {names[i]}\n)")
     last = f"SELECT *\n, {items(layers[-1])}\nFROM {names[len(layers) - 1]}"
     return "WITH " + ", ".join(parts) + "\n" + last
 
-
-def is_linear(model) -> bool:
-    return isinstance(model, LinearModel)

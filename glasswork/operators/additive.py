@@ -1,11 +1,13 @@
-"""Additive boosted models fitted from sufficient statistics.
-
-Rows are binned once. A pass over them sums gradients per bin and curvature
-per pair of bins; these sums fix the second-order model of the loss exactly, so
-all boosting rounds of that pass run on the driver over a matrix of bins, not
-of rows. Squared loss is quadratic and needs one pass; log losses are refitted
-around the current scores a few times, under a guard that the loss must not rise. Each pass is a map-side combined
-aggregate whose result depends on bins only.
+"""Additive boosted models fitted by passes over binned rows.
+
+Rows are binned once. A pass sums gradient and curvature per bin; every feature
+then boosts small trees on its own bins, all features side by side. What they
+propose together is one direction, which a second pass measures along with the
+step before: the best point of the plane of both (a line search with
+conjugation) accounts for features that go together, without any table over
+pairs of bins. What the driver holds is some vectors of bins times classes, and
+the method is the same at every size. Squared loss is quadratic, so its steps
+are exact; for log losses a step that raises the loss is halved.
 """
 
 from __future__ import annotations
@@ -13,26 +15,28 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from glasswork.functions.hashing import hash_int, row_hash
-from glasswork.functions.sqltext import number
 from glasswork.models import AdditiveModel, Term
-from glasswork.operators.binning import MAX_BINS, bin_features, bin_index, kind_of
+from glasswork.operators.binning import MAX_BINS, MAX_CATEGORIES, bin_features, bin_index, kind_of
+from glasswork.operators.histograms import RIDGE, Fit, Histogram, Layout, along, best_pairs, histogram, quadrants
 from glasswork.sources.checkpoint import cut_lineage
 from glasswork.sources.session import with_small_methods
 
-# Largest number of bins over all features whose pair matrix the driver holds (8 bytes each, squared).
-MAX_PAIR_BINS = 4_000
 # Below this many bin combinations rows collapse to one weighted row per combination.
 MAX_CELLS = 10_000_000
-RIDGE = 1e-6
-# Log losses: largest change of a bin's score per pass, and the gain per row that ends the passes.
+MAX_CLASSES = 1_000
+PASSES = 40
+# Grids of pairs have many cells for few rows each, so their boosting ends early.
+PAIR_PASSES = 5
+# Log losses: largest change of a bin's score per pass.
 REACH = 2.0
-TOLERANCE = 1e-9
+# The passes end when one gains less than this share of all gains so far.
+TOLERANCE = 1e-11
 
 
-def target_classes(df: DataFrame, target: str, limit: int = 1_000) -> tuple:
+def target_classes(df: DataFrame, target: str, limit: int = MAX_CLASSES) -> tuple:
     """Distinct non-null labels in order; a classification target has few."""
     rows = df.filter(F.col(target).isNotNull()).select(target).distinct().limit(limit + 1).collect()
     if len(rows) > limit:
@@ -69,346 +73,228 @@ def binned_rows(df: DataFrame, target: str, axes: dict, task: str, classes=(), b
     return cut_lineage(out)
 
 
-class _State:
-    """Scores per output and bin, as one flat vector per output."""
-
-    def __init__(self, axes: dict, outputs: int):
-        # One extra slot per feature for unseen categories, which always scores 0.
-        self.sizes = [len(a) + 1 for a in axes.values()]
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(int)
-        self.kinds = [kind_of(a) for a in axes.values()]
-        self.outputs = outputs
-        self.intercept = np.zeros(outputs)
-        self.scores = np.zeros((outputs, self.starts[-1]))
-
-    @property
-    def total(self) -> int:
-        return int(self.starts[-1])
-
-    def slice(self, f: int) -> slice:
-        return slice(self.starts[f], self.starts[f + 1])
-
-    def column(self, k: int) -> Column:
-        """Current score of output ``k`` as a sum of array lookups."""
-        parts = [number(self.intercept[k])]
-        for f in range(len(self.sizes)):
-            values = ", ".join(number(v) for v in self.scores[k, self.slice(f)])
-            parts.append(f"array({values})[b{f}]")
-        return F.expr(" + ".join(parts))
+def _small_trees(g: np.ndarray, h: np.ndarray, max_leaves: int) -> np.ndarray:
+    """Newton values of one best-first regression tree per row, over ordered bins."""
+    rows, width = g.shape
+    each = np.arange(rows)
+    cg, ch = (np.concatenate([np.zeros((rows, 1)), np.cumsum(x, axis=1)], axis=1) for x in (g, h))
+    low, high = np.zeros((rows, width), int), np.full((rows, width), width)  # the part that holds each bin
+    cuts = np.arange(1, width)
+    for _ in range(max_leaves - 1):
+        if width < 2:
+            break
+        # A cut before bin c divides the part of c, unless c begins it.
+        lo, hi = low[:, 1:], high[:, 1:]
+        left_g, left_h = cg[:, 1:-1] - np.take_along_axis(cg, lo, 1), ch[:, 1:-1] - np.take_along_axis(ch, lo, 1)
+        right_g, right_h = np.take_along_axis(cg, hi, 1) - cg[:, 1:-1], np.take_along_axis(ch, hi, 1) - ch[:, 1:-1]
+        gain = left_g**2 / (left_h + RIDGE) + right_g**2 / (right_h + RIDGE) - (left_g + right_g)**2 / (left_h + right_h + RIDGE)
+        gain = np.where((left_h > 0) & (right_h > 0) & (lo < cuts), gain, -1.0)
+        at = gain.argmax(axis=1)
+        found = gain[each, at] > 0
+        if not found.any():
+            break
+        cut = (at + 1)[:, None]
+        part = (low == low[each, at + 1][:, None]) & found[:, None]
+        before = np.arange(width) < cut
+        high = np.where(part & before, cut, high)
+        low = np.where(part & ~before, cut, low)
+    return (np.take_along_axis(cg, high, 1) - np.take_along_axis(cg, low, 1)) / (
+        np.take_along_axis(ch, high, 1) - np.take_along_axis(ch, low, 1) + RIDGE)
+
+
+def _boosted(g: np.ndarray, h: np.ndarray, unordered: np.ndarray, rounds: int, rate: float, max_leaves: int) -> np.ndarray:
+    """What ``rounds`` of small trees make of each row's own bins; unordered bins are sorted by their Newton value first."""
+    value, left = np.zeros_like(g), g.copy()
+    start = (g**2 / (h + RIDGE)).sum(axis=1)
+    bins = np.broadcast_to(np.arange(g.shape[1]), g.shape)
+    for _ in range(rounds):
+        order = bins if not unordered.any() else np.where(
+            unordered[:, None], np.argsort(np.where(h > 0, left / (h + RIDGE), np.inf), axis=1, kind="stable"), bins)
+        tree = _small_trees(np.take_along_axis(left, order, 1), np.take_along_axis(h, order, 1), max_leaves)
+        step = np.empty_like(tree)
+        np.put_along_axis(step, order, rate * tree, 1)
+        step[h <= 0] = 0.0
+        value += step
+        left -= h * step
+        if ((h * step) ** 2 / (h + RIDGE)).sum() <= 1e-12 * start.sum():
+            break
+    return value
 
 
-def _derivatives(rows: DataFrame, state: _State, task: str) -> DataFrame:
-    """Add g{k} (weighted negative gradient) and h{k} (weighted curvature)."""
-    n = F.col("n")
-    scored = rows.select("*", *[state.column(k).alias(f"s{k}") for k in range(state.outputs)])
-    if task == "regression":
-        return scored.withColumns({"g0": F.col("y0") - n * F.col("s0"), "h0": n})
-    if task == "binary":
-        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("s0")))
-        scored = scored.withColumn("p0", p)
-    else:
-        top = F.greatest(*[F.col(f"s{k}") for k in range(state.outputs)])
-        scored = scored.withColumn("_top", top)
-        exps = {f"e{k}": F.exp(F.col(f"s{k}") - F.col("_top")) for k in range(state.outputs)}
-        scored = scored.withColumns(exps)
-        total = sum((F.col(f"e{k}") for k in range(1, state.outputs)), F.col("e0"))
-        scored = scored.withColumn("_total", total).withColumns(
-            {f"p{k}": F.col(f"e{k}") / F.col("_total") for k in range(state.outputs)})
-    out = {}
-    for k in range(state.outputs):
-        out[f"g{k}"] = F.col(f"y{k}") - n * F.col(f"p{k}")
-        out[f"h{k}"] = n * F.greatest(F.col(f"p{k}") * (F.lit(1.0) - F.col(f"p{k}")), F.lit(1e-9))
-    return scored.withColumns(out)
-
-
-def _sums(outputs: int, extra=()):
-    return [F.sum(c).alias(c) for k in range(outputs) for c in (f"g{k}", f"h{k}")] + [F.sum(c).alias(c) for c in extra]
-
-
-def _cell_sums(rows: DataFrame, state: _State, codes, keys=(), extra=()) -> list:
-    """Sums per cell code. One integer per cell keeps the generated code and the group keys small."""
-    keep = [c for k in range(state.outputs) for c in (f"g{k}", f"h{k}")]
-    cells = F.array(*[c.cast("bigint") for c in codes])
-    return rows.select(*keys, *keep, *extra, F.explode(cells).alias("cell")).groupBy("cell", *keys).agg(
-        *_sums(state.outputs, extra)).collect()
-
-
-def _bin_sums(rows: DataFrame, state: _State, keys=()):
-    """(feature, bin, sums) of gradient, curvature and rows."""
-    width = max(state.sizes)
-    codes = [F.lit(f * width) + F.col(f"b{f}") for f in range(len(state.sizes))]
-    for r in _cell_sums(rows, state, codes, keys, ["n"]):
-        yield *divmod(r["cell"], width), r
-
-
-def _pair_sums(rows: DataFrame, state: _State, pairs):
-    """(feature, bin, other feature, its bin, sums); at most (sum of bins)^2 / 2 of them."""
-    width = max(state.sizes)
-    codes = [(F.lit(i * width).cast("bigint") + F.col(f"b{a}")) * F.lit(width) + F.col(f"b{b}")
-             for i, (a, b) in enumerate(pairs)]
-    for r in _cell_sums(rows, state, codes):
-        rest, j = divmod(r["cell"], width)
-        pair, i = divmod(rest, width)
-        yield pairs[pair][0], i, pairs[pair][1], j, r
-
-
-def _statistics(rows: DataFrame, state: _State, pairwise: bool):
-    """Per output: gradient vector and curvature matrix (its diagonal only without ``pairwise``)."""
-    size, count = state.total, len(state.sizes)
-    grad = np.zeros((state.outputs, size))
-    if not pairwise:
-        diag = np.zeros((state.outputs, size))
-        for f, i, r in _bin_sums(rows, state):
-            at = state.starts[f] + i
-            for k in range(state.outputs):
-                grad[k, at], diag[k, at] = r[f"g{k}"], r[f"h{k}"]
-        return grad, list(diag)
-    pairs = [(f, f) for f in range(count)] + list(combinations(range(count), 2))
-    curve = np.zeros((state.outputs, size, size))
-    for f, i, o, j, r in _pair_sums(rows, state, pairs):
-        a, b = state.starts[f] + i, state.starts[o] + j
-        for k in range(state.outputs):
-            curve[k, a, b] = curve[k, b, a] = r[f"h{k}"]
-            if a == b:
-                grad[k, a] = r[f"g{k}"]
-    return grad, list(curve)
-
-
-def _leaves(g: np.ndarray, h: np.ndarray, max_leaves: int) -> np.ndarray:
-    """Newton values of a small regression tree over ordered bins."""
-    parts = [(0, len(g))]
-    cg, ch = np.concatenate([[0.0], np.cumsum(g)]), np.concatenate([[0.0], np.cumsum(h)])
-
-    def best(lo, hi):
-        if hi - lo < 2:
-            return 0.0, None
-        at = np.arange(lo + 1, hi)
-        gl, hl = cg[at] - cg[lo], ch[at] - ch[lo]
-        gr, hr = cg[hi] - cg[at], ch[hi] - ch[at]
-        gain = gl**2 / (hl + RIDGE) + gr**2 / (hr + RIDGE) - (cg[hi] - cg[lo]) ** 2 / (ch[hi] - ch[lo] + RIDGE)
-        gain = np.where((hl > 0) & (hr > 0), gain, -1.0)
-        i = int(np.argmax(gain))
-        return float(gain[i]), int(at[i])
-
-    while len(parts) < max_leaves:
-        options = [(*best(lo, hi), (lo, hi)) for lo, hi in parts]
-        gain, cut, part = max(options, key=lambda o: o[0])
-        if cut is None or gain <= 0:
+def _grid_boosted(g: np.ndarray, h: np.ndarray, orders, rounds: int, rate: float) -> np.ndarray:
+    """The same for a grid of two features, by four-way cuts."""
+    at = np.ix_(*orders)
+    left, curv, value = g[at].copy(), h[at], np.zeros_like(g)
+    for _ in range(rounds):
+        gain, cells = quadrants(left, curv)
+        if gain <= 0:
             break
-        parts.remove(part)
-        parts += [(part[0], cut), (cut, part[1])]
-    out = np.zeros(len(g))
-    for lo, hi in parts:
-        out[lo:hi] = (cg[hi] - cg[lo]) / (ch[hi] - ch[lo] + RIDGE)
-    return out
+        step = np.where(curv > 0, rate * cells, 0.0)
+        value[at] += step
+        left -= curv * step
+    return value
+
+
+class _Shapes:
+    """How each active block turns its sums into a proposed change of its scores."""
+
+    def __init__(self, layout: Layout, kinds: list[str], active, rounds: int, rate: float, max_leaves: int, orders=()):
+        self.layout, self.rounds, self.rate, self.max_leaves, self.orders = layout, rounds, rate, max_leaves, orders
+        self.single = [b for b in active if len(layout.blocks[b]) == 1]
+        self.grids = [b for b in active if len(layout.blocks[b]) == 2]
+        # The first bin is the missing one, the last one (unseen categories) stays 0.
+        self.inner = [np.arange(layout.starts[b] + 1, layout.starts[b + 1] - 1) for b in self.single]
+        self.unordered = np.array([kinds[layout.blocks[b][0]] == "categorical" for b in self.single], bool)
+
+    def __call__(self, sums: Histogram) -> np.ndarray:
+        grad, curv = sums.gradient[0], sums.curvature[0]
+        out = np.zeros_like(grad)
+        for k in range(len(grad)):
+            g, h = grad[k], curv[k]
+            if self.single:
+                width = max(max(map(len, self.inner)), 1)
+                gs, hs = np.zeros((2, len(self.single), width))
+                for row, at in enumerate(self.inner):
+                    gs[row, :len(at)], hs[row, :len(at)] = g[at], h[at]
+                values = _boosted(gs, hs, self.unordered, self.rounds, self.rate, self.max_leaves)
+                for row, (block, at) in enumerate(zip(self.single, self.inner)):
+                    out[k, at] = values[row, :len(at)]
+                    missing = self.layout.starts[block]
+                    if h[missing] > 0:
+                        out[k, missing] = g[missing] / (h[missing] + RIDGE)
+            for block in self.grids:
+                at, shape = self.layout.slice(block), [self.layout.sizes[c] for c in self.layout.blocks[block]]
+                orders = [self.orders[c] for c in self.layout.blocks[block]]
+                out[k, at] = _grid_boosted(g[at].reshape(shape), h[at].reshape(shape), orders, self.rounds, self.rate).ravel()
+        return out
 
 
-def _step(g: np.ndarray, h: np.ndarray, kind: str, max_leaves: int) -> np.ndarray:
-    """One shape-function update: the missing bin on its own, the others by a small tree.
-
-    The last slot (unseen categories) stays 0. Categories are ordered by their
-    Newton value first.
-    """
-    out = np.zeros(len(g))
-    if h[0] > 0:
-        out[0] = g[0] / (h[0] + RIDGE)
-    gi, hi = g[1:-1], h[1:-1]
-    if not len(gi):
-        return out
-    if kind == "categorical":
-        order = np.argsort(gi / (hi + RIDGE), kind="stable")
-        out[1 + order] = _leaves(gi[order], hi[order], max_leaves)
-    else:
-        out[1:-1] = _leaves(gi, hi, max_leaves)
-    return out
+def _step(slope: np.ndarray, curve: np.ndarray) -> np.ndarray:
+    """The best multiples of the directions in the second-order model; the first one alone if they hardly differ."""
+    if len(slope) == 2 and curve[1, 1] > 0 and np.linalg.det(curve) > 1e-9 * curve[0, 0] * curve[1, 1]:
+        return np.linalg.solve(curve, slope)
+    return np.array([slope[0] / curve[0, 0], *[0.0] * (len(slope) - 1)])
 
 
-def _boost(state: _State, k: int, grad: np.ndarray, curve: np.ndarray, rounds: int, rate: float, max_leaves: int,
-           reach: float) -> None:
-    """Round-robin boosting of the quadratic model of output ``k``; no bin moves by more than ``reach``."""
-    left = grad.copy()
-    size = np.diag(curve)
-    start = float(np.sum(grad**2 / (size + RIDGE)))
-    origin = state.scores[k].copy()
-    for _ in range(rounds):
-        before = left.copy()
-        for f, kind in enumerate(state.kinds):
-            at = state.slice(f)
-            delta = rate * _step(left[at], size[at], kind, max_leaves)
-            goal = np.clip(state.scores[k, at] + delta, origin[at] - reach, origin[at] + reach)
-            delta = goal - state.scores[k, at]
-            state.scores[k, at] = goal
-            left -= curve[:, at] @ delta
-        if np.sum((left - before) ** 2 / (size + RIDGE)) <= 1e-12 * (start + RIDGE):
+def _descend(rows: DataFrame, fit: Fit, shapes: _Shapes, active, passes: int, history: list | None = None) -> Fit:
+    """The fit after at most ``passes`` steps of the active blocks; its loss never rises."""
+    reach = np.inf if fit.task == "regression" else REACH
+    accepted, start, best, last = fit, None, np.inf, None
+    for done in range(passes + 1):
+        sums = histogram(rows, fit, active)
+        if sums.loss > best:
+            if sums.loss - best <= TOLERANCE * (start - best):
+                break
+            # Overshot: go back half of the way and look again.
+            fit = Fit(fit.task, fit.layout, fit.intercept, (accepted.scores + fit.scores) / 2)
+            last = None if last is None else last / 2
+            continue
+        gained, accepted, best = best - sums.loss, fit, sums.loss
+        start = best if start is None else start
+        if history is not None:
+            history.append(best)
+        if done == passes or (start > best or gained <= 0) and gained <= TOLERANCE * (start - best):
+            break
+        proposed = np.clip(shapes(sums), -reach, reach)
+        ways = [proposed] if last is None else [proposed, last]
+        slope, curve = along(rows, fit, ways)
+        if not (slope[0] > 0 and curve[0, 0] > 0):
             break
+        move = sum(t * way for t, way in zip(_step(slope, curve), ways))
+        last = move * min(1.0, reach / max(float(np.abs(move).max()), RIDGE))
+        fit = Fit(fit.task, fit.layout, fit.intercept, fit.scores + last)
+    return accepted
 
 
-def _center(state: _State, weights: np.ndarray) -> None:
-    """Give every term a row-weighted mean of 0 and move it to the intercept."""
-    for f in range(len(state.sizes)):
-        at = state.slice(f)
+def _centered(fit: Fit, blocks, weights: np.ndarray) -> Fit:
+    """Every block with a row-weighted mean of 0, which moves to the intercept; bins without rows score 0."""
+    scores, intercept = fit.scores.copy(), fit.intercept.copy()
+    for block in blocks:
+        at = fit.layout.slice(block)
         w = weights[at]
-        if w.sum() <= 0:
-            continue
-        mean = state.scores[:, at] @ w / w.sum()
-        state.scores[:, at] -= mean[:, None]
-        # Bins without rows (missing, unseen) contribute nothing.
-        state.scores[:, at][:, w <= 0] = 0.0
-        state.intercept += mean
+        if w.sum() > 0:
+            mean = scores[:, at] @ w / w.sum()
+            scores[:, at] -= mean[:, None]
+            scores[:, at][:, w <= 0] = 0.0
+            intercept += mean
+    return Fit(fit.task, fit.layout, intercept, scores)
 
 
-def _loss(rows: DataFrame, state: _State, task: str) -> Column:
-    """Summed loss up to a constant, for monitoring."""
-    if task == "regression":
-        return F.sum(F.col("n") * F.col("s0") * F.col("s0") - F.lit(2.0) * F.col("y0") * F.col("s0"))
-    if task == "binary":
-        return F.sum(F.col("n") * F.log1p(F.exp(F.col("s0"))) - F.col("y0") * F.col("s0"))
-    picked = sum((F.col(f"y{k}") * F.col(f"s{k}") for k in range(1, state.outputs)), F.col("y0") * F.col("s0"))
-    return F.sum(F.col("n") * (F.log("_total") + F.col("_top")) - picked)
+def _jackknife(sums: Histogram) -> np.ndarray:
+    """Standard error per output and bin from leaving out one bag at a time."""
+    bags = len(sums.gradient)
+    if bags < 2:
+        return np.zeros(sums.gradient.shape[1:])
+    g, h = sums.gradient, sums.curvature
+    shift = (g.sum(axis=0) - g) / (h.sum(axis=0) - h + 1e-3)
+    spread = ((shift - shift.mean(axis=0)) ** 2).sum(axis=0)
+    return np.sqrt(spread * (bags - 1) / bags)
 
 
 def fit_additive(df: DataFrame, target: str, features, task: str, name: str = "ebm", max_bins: int = MAX_BINS,
                  rounds: int = 200, learning_rate: float = 0.1, max_leaves: int = 3, passes: int | None = None,
-                 interactions: int = 0, bags: int = 8, classes: tuple = (), history: list | None = None, keys=()) -> AdditiveModel:
+                 interactions: int = 0, bags: int = 8, classes: tuple = (), history: list | None = None, keys=(),
+                 max_classes: int = MAX_CLASSES, max_categories: int = MAX_CATEGORIES) -> AdditiveModel:
     """Fit shape functions (and ``interactions`` pair terms) for regression, binary or multiclass targets.
 
-    ``history`` collects the summed loss of the accepted passes; a pass that
-    raises it is halved. Standard errors come from a jackknife over ``bags``
-    groups of rows, dealt out by ``keys``, the columns that identify a row.
-    ``interactions`` are for regression and binary targets.
+    Each of up to ``passes`` steps boosts ``rounds`` trees of ``max_leaves``
+    leaves per feature at ``learning_rate``. ``history`` collects the summed
+    loss of the accepted steps. Standard errors come from a jackknife over
+    ``bags`` groups of rows, dealt out by ``keys``, the columns that identify a
+    row. ``interactions`` are for regression and binary targets: the pairs
+    whose residuals one four-way cut explains best, fitted together in at
+    most ``PAIR_PASSES`` steps. More than
+    ``max_classes`` classes or ``max_categories`` categories raise.
     """
     features = list(features)
     if interactions and task == "multiclass":
         raise ValueError("interactions are fitted for regression and binary targets only")
-    classes = classes or (() if task == "regression" else target_classes(df, target))
-    axes = bin_features(df.select(*features), features, max_bins)
+    classes = classes or (() if task == "regression" else target_classes(df, target, max_classes))
+    axes = bin_features(df.select(*features), features, max_bins, max_categories=max_categories)
     outputs = len(classes) if task == "multiclass" else 1
     rows = binned_rows(df.select(*dict.fromkeys([*features, target, *keys])), target, axes, task, classes, bags, keys)
-    state = _State(axes, outputs)
+    kinds, passes = [kind_of(a) for a in axes.values()], PASSES if passes is None else passes
+    layout = Layout(tuple(len(a) + 1 for a in axes.values()), tuple((c,) for c in range(len(axes))))
     first = rows.agg(F.sum("n"), *[F.sum(f"y{k}") for k in range(outputs)]).first()
-    total, means = first[0] or 1.0, np.array([first[1 + k] or 0.0 for k in range(outputs)]) / (first[0] or 1.0)
-    if task == "regression":
-        state.intercept = means
-    else:
-        p = np.clip(means, 1e-6, 1 - 1e-6)
-        state.intercept = np.log(p / (1 - p)) if task == "binary" else np.log(p)
-    pairwise = state.total <= MAX_PAIR_BINS
-    if passes is None:
-        passes = (1 if task == "regression" else 8) if pairwise else max(20, 2 * len(features))
-    # The quadratic model of a log loss holds near the current scores only.
-    reach = np.inf if task == "regression" else REACH
-    # Shared curvature of the softmax outputs: their diagonal alone overstates a joint step.
-    share = (outputs - 1) / outputs if task == "multiclass" else 1.0
-    accepted, best = state.scores.copy(), np.inf
-    for _ in range(passes):
-        scored = _derivatives(rows, state, task)
-        loss = scored.agg(_loss(scored, state, task)).first()[0]
-        if loss is None or loss > best:
-            # Overshot: go back half of the way and look again.
-            state.scores = (accepted + state.scores) / 2
-            continue
-        gained, best, accepted = best - loss, loss, state.scores.copy()
-        if history is not None:
-            history.append(loss)
-        if gained <= TOLERANCE * total:
-            break
-        grad, curve = _statistics(scored, state, pairwise)
-        for k in range(outputs):
-            if pairwise:
-                _boost(state, k, grad[k] * share, curve[k], rounds, learning_rate, max_leaves, reach)
-                continue
-            # Too many bins for the pair matrix: the average of single-feature steps.
-            for f, kind in enumerate(state.kinds):
-                at = state.slice(f)
-                step = np.clip(_step(grad[k][at], curve[k][at], kind, max_leaves), -reach, reach)
-                state.scores[k, at] += step / len(features)
-    scored = _derivatives(rows, state, task)
-    loss = scored.agg(_loss(scored, state, task)).first()[0]
-    if loss is None or loss > best:
-        state.scores = accepted
-        scored = _derivatives(rows, state, task)
-    elif history is not None:
-        history.append(loss)
-    stderr, weights = _jackknife(scored, state, bags)
-    _center(state, weights)
-    terms = [_term(f, a, state, i, stderr) for i, (f, a) in enumerate(axes.items())]
+    means = np.array([first[1 + k] or 0.0 for k in range(outputs)]) / (first[0] or 1.0)
+    p = np.clip(means, 1e-6, 1 - 1e-6)
+    intercept = {"regression": means, "binary": np.log(p / (1 - p)), "multiclass": np.log(p)}[task]
+    active = range(len(axes))
+    fit = Fit(task, layout, intercept, np.zeros((outputs, layout.total)))
+    fit = _descend(rows, fit, _Shapes(layout, kinds, active, rounds, learning_rate, max_leaves), active, passes, history)
+    sums = histogram(rows, fit, active, bags)
+    stderr = _jackknife(sums)
+    fit = _centered(fit, active, sums.weights)
+    terms = [_term((f,), (a,), kinds[i:i + 1], fit, i, stderr) for i, (f, a) in enumerate(axes.items())]
     if interactions and len(features) > 1:
-        scored = _derivatives(rows, state, task)
-        found, shift = _pair_terms(scored, state, axes, interactions, rounds, learning_rate)
-        terms += found
-        state.intercept = state.intercept + shift
-    return AdditiveModel(name, task, target, tuple(float(v) for v in state.intercept), tuple(terms), tuple(classes))
-
-
-def _jackknife(scored: DataFrame, state: _State, bags: int):
-    """Standard error per bin from leaving out one bag at a time, and row counts per bin."""
-    shape = (max(bags, 1), state.outputs, state.total)
-    g, h, weights = np.zeros(shape), np.zeros(shape), np.zeros(state.total)
-    for f, i, r in _bin_sums(scored, state, ["bag"]):
-        at = state.starts[f] + i
-        weights[at] += r["n"]
-        for k in range(state.outputs):
-            g[r["bag"], k, at], h[r["bag"], k, at] = r[f"g{k}"], r[f"h{k}"]
-    if bags < 2:
-        return np.zeros(shape[1:]), weights
-    shift = (g.sum(axis=0) - g) / (h.sum(axis=0) - h + 1e-3)
-    spread = ((shift - shift.mean(axis=0)) ** 2).sum(axis=0)
-    return np.sqrt(spread * (bags - 1) / bags), weights
-
-
-def _term(feature: str, axis, state: _State, i: int, stderr: np.ndarray) -> Term:
-    at = state.starts[i]
-
-    def values(m):
-        return {(j,): tuple(float(m[k, at + j]) for k in range(state.outputs)) for j in range(len(axis))}
-
-    return Term((feature,), (state.kinds[i],), (tuple(axis),), values(state.scores), values(stderr))
-
-
-def _quadrants(g: np.ndarray, h: np.ndarray):
-    """Gain of the best four-way cut of a grid, and its Newton values."""
-    cg, ch = g.cumsum(0).cumsum(1), h.cumsum(0).cumsum(1)
-    if min(cg.shape) < 2:
-        return 0.0, np.zeros_like(g)
-    sums = []
-    for c in (cg, ch):
-        a = c[:-1, :-1]
-        b, d = c[:-1, -1:] - a, c[-1:, :-1] - a
-        sums.append((a, b, d, c[-1, -1] - a - b - d))
-    gain = sum(x**2 / (y + RIDGE) for x, y in zip(*sums))
-    i, j = np.unravel_index(int(np.argmax(gain)), gain.shape)
-    values = [x[i, j] / (y[i, j] + RIDGE) for x, y in zip(
-        [np.broadcast_to(s, gain.shape) for s in sums[0]], [np.broadcast_to(s, gain.shape) for s in sums[1]])]
-    out = np.empty_like(g)
-    out[:i + 1, :j + 1], out[:i + 1, j + 1:] = values[0], values[1]
-    out[i + 1:, :j + 1], out[i + 1:, j + 1:] = values[2], values[3]
-    return float(gain[i, j]), out
-
-
-def _pair_terms(scored: DataFrame, state: _State, axes: dict, count: int, rounds: int, rate: float):
-    """Rank all pairs by their best cut of the residuals and boost grids for the best ones."""
-    names = list(axes)
-    grids = {}
-    for a, b in combinations(range(len(names)), 2):
-        shape = (state.sizes[a], state.sizes[b])
-        grids[a, b] = (np.zeros(shape), np.zeros(shape))
-    for a, i, b, j, r in _pair_sums(scored, state, list(grids)):
-        g, h = grids[a, b]
-        g[i, j], h[i, j] = r["g0"], r["h0"]
-    best = sorted(grids, key=lambda p: -_quadrants(*grids[p])[0])[:count]
-    terms, shift = [], 0.0
-    for a, b in best:
-        g, h = grids[a, b][0].copy(), grids[a, b][1]
-        value = np.zeros_like(g)
-        for _ in range(rounds):
-            _, step = _quadrants(g, h)
-            # Pairs are fitted side by side, so each takes its share of a step.
-            value += rate / len(best) * step
-            g = g - h * (rate / len(best)) * step
-        mean = float((value * h).sum() / h.sum()) if h.sum() > 0 else 0.0
-        value -= mean
-        shift += mean
-        axis_a, axis_b = axes[names[a]], axes[names[b]]
-        scores = {(i, j): (float(value[i, j]),) for i in range(len(axis_a)) for j in range(len(axis_b))}
-        terms.append(Term((names[a], names[b]), (state.kinds[a], state.kinds[b]), (tuple(axis_a), tuple(axis_b)), scores))
-    return terms, shift
+        fit, found = _with_pairs(rows, fit, kinds, sums.weights, interactions, rounds, learning_rate, passes)
+        names = list(axes)
+        terms += [_term((names[a], names[b]), (axes[names[a]], axes[names[b]]), (kinds[a], kinds[b]), fit, block)
+                  for block, (a, b) in enumerate(found, len(axes))]
+    return AdditiveModel(name, task, target, tuple(float(v) for v in fit.intercept), tuple(terms), tuple(classes))
+
+
+def _with_pairs(rows: DataFrame, fit: Fit, kinds: list[str], weights: np.ndarray, count: int, rounds: int, rate: float, passes: int):
+    """The fit with a grid for each of the best pairs, and these pairs; categories are ordered by their scores."""
+    layout = fit.layout
+    slices = [layout.slice(c) for c in range(len(kinds))]
+    orders = [np.argsort(fit.scores[0, at], kind="stable") if kind == "categorical" else np.arange(at.stop - at.start)
+              for kind, at in zip(kinds, slices)]
+    pairs = best_pairs(rows, fit, list(combinations(range(len(kinds)), 2)), [weights[at] for at in slices], orders, count)
+    wide = Layout(layout.sizes, (*layout.blocks, *pairs))
+    scores = np.concatenate([fit.scores, np.zeros((1, wide.total - layout.total))], axis=1)
+    active = range(len(kinds), len(wide.blocks))
+    shapes = _Shapes(wide, kinds, active, rounds, rate, 0, orders)
+    fit = _descend(rows, Fit(fit.task, wide, fit.intercept, scores), shapes, active, min(passes, PAIR_PASSES))
+    return _centered(fit, active, histogram(rows, fit, active).weights), pairs
+
+
+def _term(features, axes, kinds, fit: Fit, block: int, stderr: np.ndarray | None = None) -> Term:
+    shape = [fit.layout.sizes[c] for c in fit.layout.blocks[block]]
+    places = [tuple(map(int, at)) for at in np.ndindex(*map(len, axes))]
+
+    def values(m: np.ndarray) -> dict:
+        grid = m[:, fit.layout.slice(block)].reshape(-1, *shape)
+        return {at: tuple(float(v) for v in grid[(slice(None), *at)]) for at in places}
+
+    return Term(tuple(features), tuple(kinds), tuple(map(tuple, axes)), values(fit.scores), {} if stderr is None else values(stderr))

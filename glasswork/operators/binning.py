@@ -32,21 +32,22 @@ def category_counts(df: DataFrame, features) -> DataFrame:
         "feature", "category").agg(F.count("*").alias("n"))
 
 
-def categories(df: DataFrame, features) -> dict[str, list[str]]:
+def categories(df: DataFrame, features, limit: int = MAX_CATEGORIES) -> dict[str, list[str]]:
     if not features:
         return {}
-    rows = category_counts(df, features).limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories; drop or group the columns {list(features)}")
+    rows = category_counts(df, features).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} categories; drop or group the columns {list(features)}, or raise the limit")
     return {f: sorted(r["category"] for r in rows if r["feature"] == f) for f in features}
 
 
-def bin_features(df: DataFrame, features, max_bins: int = MAX_BINS, accuracy: int = ACCURACY) -> dict[str, tuple]:
+def bin_features(df: DataFrame, features, max_bins: int = MAX_BINS, accuracy: int = ACCURACY,
+                 max_categories: int = MAX_CATEGORIES) -> dict[str, tuple]:
     """Axis per feature: the missing bin, then intervals or categories."""
     kinds = dict(df.dtypes)
     cats = [f for f in features if kinds[f] in ("string", "boolean")]
     cuts = numeric_cuts(df, [f for f in features if f not in cats], max_bins, accuracy)
-    names = categories(df, cats)
+    names = categories(df, cats, max_categories)
     return {f: category_axis(names[f]) if f in names else numeric_axis(cuts[f]) for f in features}
 
 

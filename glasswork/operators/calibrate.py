@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glasswork.functions.scoring import sigmoid_text
-from glasswork.functions.sqltext import number
+from glasswork.functions.sqltext import doubles, number, search
+from glasswork.operators.ranks import bucket_count, range_bucket
+from glasswork.sources.session import importable
 
 # Above this many calibration rows ``auto`` picks isotonic regression.
 ISOTONIC_ROWS = 1_000
+# Largest error that joining blocks of almost equal values may bring into an isotonic curve; for
+# targets from 0 to 1 a stack then holds at most levels / tolerance blocks.
+ISOTONIC_TOLERANCE = 1e-6
+# Above this many knots a curve is applied by a search, below it by nested CASE.
+CASE_KNOTS = 64
+_MERGED = 16
+_STACK = "lo double, hi double, s double, n double"
 
 
 @dataclass(frozen=True)
@@ -26,8 +36,11 @@ class Platt:
     def sql(self, column: str) -> str:
         return sigmoid_text(f"{number(self.slope)} * {column} + {number(self.intercept)}")
 
+    def expression(self, column: str) -> str:
+        return self.sql(column)
+
     def column(self, column: str) -> Column:
-        return F.expr(self.sql(column))
+        return F.expr(self.expression(column))
 
 
 @dataclass(frozen=True)
@@ -55,8 +68,23 @@ class Isotonic:
         return (f"CASE WHEN {c} <= {number(self.xs[mid])} THEN {self._range(c, lo, mid)} "
                 f"ELSE {self._range(c, mid + 1, hi)} END")
 
+    def expression(self, column: str) -> str:
+        """Spark text: a long curve is searched, ``y + slope * (p - x)`` of the knot at or above p."""
+        if len(self.xs) <= CASE_KNOTS:
+            return self.sql(column)
+        xs, ys = np.array(self.xs), np.array(self.ys)
+        gap = np.diff(xs)
+        slope = np.divide(np.diff(ys), gap, out=np.zeros(len(gap)), where=gap > 0)
+        # Piece i ends at knot i; the first and the last piece are flat.
+        base, at, slopes = [ys[0], *ys[:-1], ys[-1]], [xs[0], *xs[:-1], xs[-1]], [0.0, *slope, 0.0]
+        flat = f"get({doubles(slopes)}, i) = 0E0"
+        line = f"get({doubles(base)}, i) + get({doubles(slopes)}, i) * ({column} - get({doubles(at)}, i))"
+        piece = f"if({flat}, get({doubles([*ys, ys[-1]])}, i), {line})"
+        place = search(f"cast({column} AS double)", doubles(xs), len(xs))
+        return f"CASE WHEN {column} IS NULL THEN NULL ELSE transform(array({place}), i -> {piece})[0] END"
+
     def column(self, column: str) -> Column:
-        return F.expr(self.sql(column))
+        return F.expr(self.expression(column))
 
 
 def _weighted(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -74,12 +102,62 @@ def platt_calibrate(df: DataFrame, y: str = "y", p: str = "p", C: float = 1.0) -
     return Platt(float(fit.coefficients[0]), float(fit.intercept))
 
 
-def isotonic_calibrate(df: DataFrame, y: str = "y", p: str = "p") -> Isotonic:
-    """Monotone regression; the learner pools neighbours on executors before the last merge."""
-    rows = _weighted(df, y, p).groupBy("p").agg(
-        (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("y"), F.sum("n").alias("n"))
-    fit = IsotonicRegression(featuresCol="p", labelCol="y", weightCol="n").fit(rows)
-    return Isotonic(tuple(map(float, fit.boundaries)), tuple(map(float, fit.predictions)))
+def _pooled(lo: np.ndarray, hi: np.ndarray, s: np.ndarray, n: np.ndarray, slack: float) -> list[np.ndarray]:
+    """Blocks in order after pooling neighbours that violate monotony; a run of values within ``slack`` is one block."""
+    stack: list[list[float]] = []
+    for block in zip(lo.tolist(), hi.tolist(), s.tolist(), n.tolist()):
+        now = list(block)
+        while stack and stack[-1][2] * now[3] >= now[2] * stack[-1][3]:
+            before = stack.pop()
+            now = [before[0], now[1], before[2] + now[2], before[3] + now[3]]
+        stack.append(now)
+    kept: list[list[float]] = []
+    least = 0.0
+    for now in stack:
+        if kept and slack > 0 and now[2] / now[3] - least <= slack:
+            kept[-1] = [kept[-1][0], now[1], kept[-1][2] + now[2], kept[-1][3] + now[3]]
+        else:
+            kept.append(now)
+            least = now[2] / now[3]
+    return [np.array(c, float) for c in zip(*kept)] if kept else [np.zeros(0)] * 4
+
+
+def isotonic_calibrate(df: DataFrame, y: str = "y", p: str = "p", tolerance: float = ISOTONIC_TOLERANCE) -> Isotonic:
+    """Monotone regression as a stack of pooled blocks, merged in a tree over ranges of scores.
+
+    Pooling may start anywhere: blocks pooled inside a range stay together in
+    the whole, so stacks of neighbouring ranges merge exactly. Each level joins
+    blocks whose values differ by no more than its share of ``tolerance``; as
+    monotone regression never moves further than its data, the curve is off by
+    ``tolerance`` at most (0: exact). Only the last merge, of blocks alone, is
+    one task; its knots are the model.
+    """
+    importable(df.sparkSession)
+    rows = _weighted(df, y, p).groupBy("p").agg(F.sum(F.col("y") * F.col("n")).alias("s"), F.sum("n").alias("n"))
+    rows = rows.select(F.col("p").cast("double").alias("p"), "s", "n")
+    groups, levels = 2 * bucket_count(rows) + 2, 1
+    while _MERGED**levels < groups:
+        levels += 1
+    slack = tolerance / (levels + 1)
+
+    def pool(table: pa.Table) -> pa.Table:
+        table = table.sort_by("lo")
+        columns = _pooled(*(table[c].to_numpy() for c in ("lo", "hi", "s", "n")), slack)
+        return pa.table([pa.array(np.full(len(columns[0]), table["_bucket"][0].as_py(), "i8")), *map(pa.array, columns)],
+                        names=["_bucket", "lo", "hi", "s", "n"])
+
+    placed = range_bucket(rows, "p")
+    stacks = placed.select(F.col("_bucket").cast("long").alias("_bucket"), F.col("p").alias("lo"), F.col("p").alias("hi"), "s", "n")
+    for _ in range(levels):
+        stacks = stacks.groupBy("_bucket").applyInArrow(pool, f"_bucket long, {_STACK}")
+        stacks = stacks.withColumn("_bucket", F.floor((F.col("_bucket") + 1) / _MERGED).cast("long"))
+    last = stacks.withColumn("_bucket", F.lit(0).cast("long")).groupBy("_bucket").applyInArrow(pool, f"_bucket long, {_STACK}")
+    knots = last.toArrow().sort_by("lo")
+    lo, hi, s, n = (knots[c].to_numpy() for c in ("lo", "hi", "s", "n"))
+    value = s / n
+    single = lo == hi
+    xs = np.stack([lo, hi], axis=1)[np.stack([np.ones_like(single), ~single], axis=1)]
+    return Isotonic(tuple(xs.tolist()), tuple(np.repeat(value, np.where(single, 1, 2)).tolist()))
 
 
 def calibrate(df: DataFrame, y: str = "y", p: str = "p", method: str = "auto"):

@@ -19,17 +19,17 @@ def _layer(df: DataFrame, pairs) -> DataFrame:
 def score(df: DataFrame, model, calibrator=None) -> DataFrame:
     """Add contributions, sums, probabilities and the label to every row."""
     if isinstance(model, TreeModel):
-        return score_tree(df, model)
+        return score_tree(df, model, calibrator)
     out = _layer(df, [*sc.intercepts(model), *sc.contributions(model)])
     for layer in [sc.sums(model), *sc.link(model)]:
         out = _layer(out, layer)
     if calibrator is not None and model.task == "binary":
-        out = _layer(out, [("calibrated_probability", calibrator.sql("probability"))])
+        out = _layer(out, [("calibrated_probability", calibrator.expression("probability"))])
     return out
 
 
-def score_tree(df: DataFrame, model: TreeModel) -> DataFrame:
-    """Add the tree's prediction and, for classes, the class shares of the leaf."""
+def score_tree(df: DataFrame, model: TreeModel, calibrator=None) -> DataFrame:
+    """Add the tree's prediction and, for classes, the class shares of the leaf, calibrated if asked."""
     cols = [("prediction", sc.tree_text(model))]
     if model.task == "binary":
         cols.append(("probability", sc.tree_text(model, lambda n: sc.leaf_share(n, 1))))
@@ -38,7 +38,10 @@ def score_tree(df: DataFrame, model: TreeModel) -> DataFrame:
             (alias(f"probability_{c}"), sc.tree_text(model, lambda n, k=k: sc.leaf_share(n, k)))
             for k, c in enumerate(model.classes)
         ]
-    return _layer(df, cols)
+    out = _layer(df, cols)
+    if calibrator is not None and model.task == "binary":
+        out = _layer(out, [("calibrated_probability", calibrator.expression("probability"))])
+    return out
 
 
 def score_term(df: DataFrame, term, output: int = 0) -> DataFrame:

@@ -215,6 +215,22 @@ def _(spark, sf):
     return rows.select("p").distinct().select("p", r6(fit.column("p")).alias("calibrated"))
 
 
+@query("isotonic_distinct_scores", """
+WITH s AS (SELECT c_acctbal AS p, AVG((c_mktsegment = 'BUILDING' OR c_nationkey * 437 < c_acctbal)::INTEGER) * COUNT(*) AS s, COUNT(*) AS n
+  FROM customer GROUP BY 1),
+c AS (SELECT p, n, s, SUM(n) OVER (ORDER BY p) AS cn, SUM(s) OVER (ORDER BY p) AS cs FROM s),
+m AS (SELECT a.p AS ap, b.p, MIN((b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)) OVER (
+  PARTITION BY a.p ORDER BY b.p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS low
+  FROM c AS a JOIN c AS b ON b.p >= a.p)
+SELECT p, ROUND(MAX(low), 6)::DOUBLE AS calibrated FROM m GROUP BY p""")
+def _(spark, sf):
+    """About as many distinct scores as rows, and a curve of many knots."""
+    rows = table(spark, sf, "customer").select(
+        F.col("c_acctbal").alias("p"), ((F.col("c_mktsegment") == "BUILDING") | (F.col("c_nationkey") * 437 < F.col("c_acctbal"))).cast("int").alias("y"))
+    fit = cal.isotonic_calibrate(rows, tolerance=0.0)
+    return rows.select("p").distinct().select("p", r6(fit.column("p")).alias("calibrated"))
+
+
 @query("calibrate_auto", ISOTONIC_SQL)
 def _(spark, sf):
     """More than a thousand rows: the automatic choice is the isotonic one."""

@@ -246,3 +246,47 @@ def _(spark, sf):
     text = ops.run_sql_model(
         ops.export_sql(model, split=True).replace("'total' AS model_name", "'total' AS model_name, o_orderkey"), orders)
     return rounded(ops.score_parity(columns, text, "o_orderkey", "probability", "probability"), "max_diff")
+
+
+# An axis of 100,000 bins over prices with two decimals: no price sits on a cut, and a bin's score follows from its number.
+WIDE = 100_000
+WIDE_BIN_SQL = f"LEAST(GREATEST(CAST(FLOOR(l_extendedprice - 0.505) AS BIGINT) + 1, 0), {WIDE - 1})"
+WIDE_SQL = f"SELECT score, COUNT(*) AS n FROM (SELECT ROUND(({WIDE_BIN_SQL} * 7919 % 1000) / 1000.0 - 0.5, 6)::DOUBLE AS score FROM lineitem) GROUP BY 1"
+
+
+@query("score_wide_axis", WIDE_SQL)
+def _(spark, sf):
+    """A numeric axis too wide for a CASE, searched inside the row."""
+    from glasswork.models import numeric_axis, single_term
+
+    term = single_term("l_extendedprice", "numeric", numeric_axis([i + 0.505 for i in range(WIDE - 1)]),
+                       [0.0, *[i * 7919 % 1000 / 1000 - 0.5 for i in range(WIDE)]])
+    out = ops.score_term(table(spark, sf, "lineitem"), term)
+    return out.groupBy(r6("l_extendedprice_score").alias("score")).agg(F.count("*").alias("n"))
+
+
+@query("score_interval_join", WIDE_SQL)
+def _(spark, sf):
+    """The same axis as a table of intervals."""
+    from glasswork.operators.intervals import interval_lookup
+
+    i = F.col("id")
+    cells = spark.range(WIDE).select(
+        F.when(i > 0, i - 1 + 0.505).alias("lo"), F.when(i < WIDE - 1, i + 0.505).alias("hi"),
+        ((i * 7919 % 1000) / 1000 - 0.5).alias("score"))
+    out = interval_lookup(table(spark, sf, "lineitem"), "l_extendedprice", cells, "found")
+    return out.groupBy(r6("found").alias("score")).agg(F.count("*").alias("n"))
+
+
+@query("calibrated_tree_sql", """
+WITH t AS (SELECT CASE WHEN l_quantity <= 24.5 THEN 0.25E0 ELSE 0.75E0 END AS p FROM lineitem)
+SELECT (p > 0.5)::INTEGER AS prediction, p AS probability, ROUND(1 / (1 + EXP(-(2 * p - 1.5))), 6) AS calibrated, COUNT(*) AS n FROM t GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    """A tree's exported text with its calibrator, next to nothing but SQL."""
+    from glasswork.models import Node, TreeModel
+    from glasswork.operators.calibrate import Platt
+
+    tree = TreeModel("small", "binary", "y", ("l_quantity",), (
+        Node(0, (1.0, 1.0), 2.0, "l_quantity", 24.5, 1, 2, 0.1), Node(1, (3.0, 1.0), 1.0), Node(2, (1.0, 3.0), 1.0)), (0, 1))
+    out = ops.run_sql_model(ops.export_sql(tree, calibrator=Platt(2.0, -1.5)), table(spark, sf, "lineitem"))
+    return out.groupBy("prediction", "probability", r6("calibrated_probability").alias("calibrated")).agg(F.count("*").alias("n"))

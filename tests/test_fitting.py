@@ -54,14 +54,21 @@ def test_rare_positives_do_not_overshoot(spark):
     assert history == sorted(history, reverse=True)
 
 
-def test_too_many_bins_for_pairs(rows, monkeypatch):
-    """The fallback without the pair matrix still lowers the loss in every pass."""
-    from glasswork.operators import additive
-
-    monkeypatch.setattr(additive, "MAX_PAIR_BINS", 4)
-    history = []
-    fit_additive(rows, "y", ["x", "c"], "binary", history=history, passes=6)
-    assert all(b <= a for a, b in zip(history, history[1:])) and history[-1] < history[0] - 100
+@pytest.mark.parametrize("wide", [0, 21])
+def test_one_method_at_every_size(spark, wide):
+    """Features that go together, without and with 4,200 more bins: residuals sum to zero in every bin, as least squares asks."""
+    u = F.col("id") * 7919 % 1009
+    more = [f"w{i}" for i in range(wide)]
+    df = spark.range(8000).select(
+        "id", (u % 8).cast("double").alias("a"), ((u % 8) + (F.col("id") % 3)).cast("double").alias("b"),
+        F.concat(F.lit("c"), (u % 5).cast("string")).alias("c"),
+        *[F.concat(F.lit("k"), F.pmod(F.xxhash64("id", F.lit(m)), F.lit(200)).cast("string")).alias(m) for m in more])
+    df = df.withColumn("y", F.sin("a") * 3 + F.col("b") * 2 + F.when(F.col("c") == "c1", 4.0).otherwise(0.0) + F.pmod(F.hash("id"), F.lit(100)) / 50)
+    history, features = [], ["a", "b", "c", *more]
+    model = fit_additive(df, "y", features, "regression", bags=1, max_leaves=16, learning_rate=1.0, rounds=12, passes=40, history=history)
+    out = predict(df, model).select(*features, (F.col("y") - F.col("prediction")).alias("left")).toPandas()
+    assert max(out.groupby(f)["left"].sum().abs().max() for f in features) < 0.2
+    assert all(b <= a for a, b in zip(history, history[1:]))
 
 
 def test_rows_that_do_not_collapse(rows, monkeypatch):

@@ -11,7 +11,7 @@ from glasswork.functions.scoring import model_sql
 from glasswork.functions.sqltext import alias, number
 from glasswork.models import AdditiveModel, LinearModel, Node, TreeModel, category_axis, numeric_axis, pair_term, single_term
 from glasswork.operators.calibrate import Isotonic, Platt
-from glasswork.operators.score import export_sql, predict, round_model, run_sql_model, score
+from glasswork.operators.score import class_vectors, export_sql, predict, round_model, run_sql_model, score, score_term
 from glasswork.sources.store import load_model, save_model
 from registry.common import BINARY, LOGIT, MULTI, PRICE, PRICE_TREE, SOFTMAX, TREE
 
@@ -162,3 +162,56 @@ def test_export_on_pandas_frame():
 def test_generated_methods_stay_small(spark, rows):
     score(rows, BINARY)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+@pytest.mark.parametrize("bounds", [[], [1.0], [0.0, 1.0], [-3.5, 0.0, 0.25, 7.0, 9.0], [float(i) for i in range(1000)]])
+def test_search_counts_bounds_below(spark, bounds):
+    """Every value against every bound, NaN above all, null as 0."""
+    from glasswork.functions.sqltext import doubles, search
+
+    values = [-10.0, -3.5, 0.0, 0.1, 0.25, 1.0, 7.0, 8.5, 512.0, 999.0, 1e9, float("nan"), None]
+    array = doubles(bounds) if bounds else "cast(array() AS array<double>)"
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.select(F.expr(search("v", array, len(bounds)))).collect()]
+    assert got == [0 if v is None else len(bounds) if v != v else sum(b < v for b in bounds) for v in values]
+
+
+def test_wide_axis_scores_like_a_narrow_one(spark, monkeypatch):
+    """The searched form, the CASE form and the interval table agree, borders, nulls and NaN included."""
+    from glasswork.functions import sqltext
+    from glasswork.operators.intervals import interval_lookup
+
+    cuts = [float(i * i) for i in range(40)]
+    term = single_term("x", "numeric", numeric_axis(cuts), [9.0, *[i * 0.5 for i in range(41)]])
+    vector = AdditiveModel("m", "multiclass", "y", (0.0, 0.0), (single_term(
+        "x", "numeric", numeric_axis(cuts), [(9.0, 8.0), *[(i * 0.5, -i) for i in range(41)]]),), ("a", "b"))
+    values = [None, float("nan"), -1.0, 0.0, 0.5, 1.0, 3.9, 4.0, 1521.0, 1521.5, 1e12]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "x double, lo int")
+    plain = [r[0] for r in score_term(df, term).orderBy("lo").select("x_score").collect()]
+    plain_vector = [r[0] for r in class_vectors(df, vector).orderBy("lo").select("class_scores").collect()]
+    monkeypatch.setattr(sqltext, "SEARCH_LIMIT", 4)
+    assert [r[0] for r in score_term(df, term).orderBy("lo").select("x_score").collect()] == plain
+    assert [r[0] for r in class_vectors(df, vector).orderBy("lo").select("class_scores").collect()] == plain_vector
+    edges = [None, *cuts, None]
+    cells = spark.createDataFrame([(a, b, i * 0.5) for i, (a, b) in enumerate(zip(edges, edges[1:]))], "lo double, hi double, score double")
+    got = [r[0] for r in interval_lookup(df, "x", cells, "s", default=9.0, packed=7).orderBy("lo").select("s").collect()]
+    assert got == plain
+    holes = interval_lookup(df, "x", cells.filter("lo = 1"), "s", default=-1.0).orderBy("lo")
+    assert [r[0] for r in holes.select("s").collect()] == [-1.0] * 6 + [1.0, 1.0] + [-1.0] * 3
+    assert [r[0] for r in interval_lookup(df, "x", cells.limit(0), "s").select("s").collect()] == [0.0] * len(values)
+
+
+def test_many_categories_score_like_few(spark, monkeypatch):
+    """Searched categories equal the CASE form: quotes, backslashes, order by bytes, empty, unseen and null values."""
+    from glasswork.functions import sqltext
+
+    names = ["it's", "a", "Z", "", "é", "日", "a\\b", "𝔘", "zz", 'say "x"', "�", " a"]
+    term = single_term("x", "categorical", category_axis(names), [9.0, *[i * 0.5 + 1 for i in range(len(names))]])
+    values = [*names, None, "unseen", "A"]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "x string, i int")
+    want = [*[i * 0.5 + 1 for i in range(len(names))], 9.0, 0.0, 0.0]
+    monkeypatch.setattr(sqltext, "SEARCH_CATEGORIES", 3)
+    assert [r[0] for r in score_term(df, term).orderBy("i").select("x_score").collect()] == want
+    from glasswork.functions.scoring import index_text
+    places = [r[0] for r in df.orderBy("i").select(F.expr(index_text("x", term.axes[0]))).collect()]
+    assert places == [*range(1, len(names) + 1), 0, len(names) + 1, len(names) + 1]
