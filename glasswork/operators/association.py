@@ -7,9 +7,10 @@ from itertools import combinations, permutations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from glasswork.functions.hashing import row_hash
+from glasswork.functions.hashing import hash_int, row_hash
 from glasswork.operators.profile import is_floating, is_integral
-from glasswork.operators.ranks import prefix_sums, range_bucket
+from glasswork.operators.ranks import bucket_count, prefix_sums
+from glasswork.sources.checkpoint import cut_lineage
 
 PAIRS_PER_PASS = 300
 
@@ -123,46 +124,82 @@ def cramers_v_matrix(df: DataFrame, columns=None) -> DataFrame | None:
     return _matrix(both, columns, 0.0)
 
 
-def value_ranks(df: DataFrame, column: str, by=()) -> DataFrame:
-    """Distinct values with r = rows at or below and l = rows at or above, per ``by`` group."""
-    counts = df.groupBy(*by, column).agg(F.count("*").alias("_c"))
-    cum = prefix_sums(counts, column, ["_c"], by)
-    return cum.select(
-        *by, F.col(column), (F.col("_c_before") + F.col("_c")).alias("r"),
-        (F.col("_c_total") - F.col("_c_before")).alias("l"))
-
-
 def xi_pairs(df: DataFrame, pairs, keys=None, ties: bool = True) -> DataFrame:
-    """Chatterjee's xi of b on a as rows (a, b, value), all ordered pairs in one job.
+    """Chatterjee's xi of b on a as rows (a, b, value), all ordered pairs in one job, rows with a null left out.
 
-    Rows run in order of a, ties in a by key hash, cut into buckets; jumps of r
-    inside buckets and between neighbouring buckets add up. With ``ties`` the denominator is
-    2*sum(l*(n-l)), without it (n^2-1)/3.
+    Rows run in order of a, ties in a by key hash. With ``ties`` the denominator
+    is 2*sum(l*(n-l)), without it (n^2-1)/3. A column without nulls orders the
+    rows once for all its partners; one with nulls, whose partners' ranks
+    depend on the rows left, orders them once for each.
     """
     columns = list(dict.fromkeys(c for p in pairs for c in p))
-    hashed = df.select(*[F.col(c).cast("double").alias(c) for c in columns],
-                       row_hash(list(keys or columns)).alias("_h"))
-    cells = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs
-    ])
-    rows = hashed.select("_h", F.explode(cells).alias("s")).select("_h", "s.*").filter(
-        "x IS NOT NULL AND y IS NOT NULL")
-    # Bucket the plain rows first: only the last step then reads the joined ranks.
-    placed = range_bucket(rows, "x", F.col("_h"))
-    ranked = placed.join(value_ranks(rows, "y", ["a", "b"]), ["a", "b", "y"])
-    inside = W.partitionBy("a", "b", "_bucket").orderBy("x", "_h")
-    place, l = F.struct("x", "_h"), F.col("l").cast("double")
-    parts = ranked.withColumn("jump", F.abs(F.col("r") - F.lag("r").over(inside))).groupBy("a", "b", "_bucket").agg(
-        F.count("*").alias("n"), F.sum("jump").alias("jumps"), F.sum(l).alias("l1"), F.sum(l * l).alias("l2"),
-        F.min_by("r", place).alias("first"), F.max_by("r", place).alias("last"))
-    edge = F.abs(F.col("first") - F.lag("last").over(W.partitionBy("a", "b").orderBy("_bucket")))
-    sums = parts.withColumn("edge", edge).groupBy("a", "b").agg(
-        F.sum("n").cast("double").alias("n"), F.sum("l1").alias("l1"), F.sum("l2").alias("l2"),
-        (F.coalesce(F.sum("jumps"), F.lit(0)) + F.coalesce(F.sum("edge"), F.lit(0))).cast("double").alias("jumps"))
-    n, one = F.col("n"), F.lit(1.0)
+    firsts = list(dict.fromkeys(a for a, _ in pairs))
+    hashed = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)], row_hash(list(keys or columns)).alias("_h"))
+    found = hashed.agg(*[F.count_if(F.col(f"x{columns.index(c)}").isNull()).alias(c) for c in firsts]).first()
+    whole = [p for p in pairs if not found[p[0]]]
+    rest = [p for p in pairs if found[p[0]]]
+    frames = []
+    if whole:
+        frames.append(_xi_by_order(hashed, columns, whole, ties))
+    for a, b in rest:
+        x, y = columns.index(a), columns.index(b)
+        part = hashed.filter(F.col(f"x{x}").isNotNull() & F.col(f"x{y}").isNotNull()).select(
+            F.col(f"x{x}").alias("x0"), F.col(f"x{y}").alias("x1"), "_h")
+        frames.append(_xi_by_order(part, [a, b], [(a, b)], ties))
+    return _union(frames)
+
+
+def _xi_by_order(hashed: DataFrame, columns: list[str], pairs, ties: bool) -> DataFrame:
+    """xi for pairs whose first column (of ``x0, x1, ..``) has no null.
+
+    Each value gets its rank once. A row's place in the order of a column
+    follows from rank, copies and hash alone, so buckets of equal size need no
+    search for borders and a hot value is spread over many. A scan inside the
+    buckets sums the jumps of all partners' ranks; the last rank of the buckets
+    before joins the jump at each border.
+    """
+    values = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"x{i}").alias("v")) for i in range(len(columns))])
+    counts = hashed.select(F.explode(values).alias("s")).select("s.*").filter("v IS NOT NULL").groupBy("f", "v").agg(
+        F.count(F.lit(1)).alias("c"))
+    cum = prefix_sums(counts, "v", ["c"], ["f"])
+    # Read by every join and by the sums, so written once: a row per distinct value.
+    ranks = cut_lineage(cum.select("f", "v", "c", (F.col("c_before") + F.col("c")).alias("r"), (F.col("c_total") - F.col("c_before")).alias("l")))
+    rows, buckets = hashed, bucket_count(hashed)
+    orders = sorted({columns.index(a) for a, _ in pairs})
+    partners = sorted({columns.index(b) for _, b in pairs})
+    for i in sorted({*orders, *partners}):
+        side = ranks.filter(F.col("f") == i).select(F.col("v").alias(f"x{i}"), F.col("r").alias(f"r{i}"), F.col("c").alias(f"c{i}"),
+                                                    (F.col("l") + F.col("r") - F.col("c")).alias(f"n{i}"))
+        rows = rows.join(side, f"x{i}", "left")
+    share = hash_int(F.col("_h"), 8) / F.lit(float(16**8))
+    spots = F.array(*[F.struct(
+        F.lit(i).alias("a"), F.col(f"r{i}").alias("at"),
+        F.least(F.floor((F.col(f"r{i}") - F.col(f"c{i}") * (F.lit(1.0) - share)) * buckets / F.col(f"n{i}")), F.lit(buckets - 1)).alias("_bucket"))
+        for i in orders])
+    placed = rows.select("_h", *[f"r{j}" for j in partners], F.explode(spots).alias("s")).select("_h", *[f"r{j}" for j in partners], "s.*")
+    inside = W.partitionBy("a", "_bucket").orderBy("at", "_h").rowsBetween(W.unboundedPreceding, -1)
+    place = F.struct("at", "_h")
+    jumps = placed.select("a", "_bucket", "at", "_h", *[f"r{j}" for j in partners], *[
+        F.abs(F.col(f"r{j}") - F.last(f"r{j}", ignorenulls=True).over(inside)).alias(f"j{j}") for j in partners])
+    ends = [f(F.col(f"r{j}"), F.when(F.col(f"r{j}").isNotNull(), place)).alias(f"{n}{j}")
+            for j in partners for n, f in (("first", F.min_by), ("last", F.max_by))]
+    parts = jumps.groupBy("a", "_bucket").agg(*[F.sum(f"j{j}").alias(f"j{j}") for j in partners], *ends)
+    along = W.partitionBy("a").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    edges = parts.select("a", *[F.coalesce(F.col(f"j{j}"), F.lit(0)) + F.coalesce(
+        F.abs(F.col(f"first{j}") - F.last(f"last{j}", ignorenulls=True).over(along)), F.lit(0)) for j in partners]).toDF(
+        "a", *[f"j{j}" for j in partners])
+    sums = edges.groupBy("a").agg(*[F.sum(f"j{j}").cast("double").alias(f"j{j}") for j in partners])
+    wanted = F.array(*[F.struct(F.lit(columns.index(a)).alias("i"), F.lit(columns.index(b)).alias("j"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+                       for a, b in pairs])
+    total = F.coalesce(*[F.when(F.col("p.j") == j, F.col(f"j{j}")) for j in partners])
+    long = sums.withColumnRenamed("a", "_a").select("*", F.explode(wanted).alias("p")).filter("p.i = _a").select(
+        "p.a", "p.b", F.col("p.j").alias("f"), total.alias("jumps"))
+    c, l, one = F.col("c").cast("double"), F.col("l").cast("double"), F.lit(1.0)
+    own = ranks.groupBy("f").agg(F.sum(c).alias("n"), F.sum(c * l).alias("l1"), F.sum(c * l * l).alias("l2"))
+    n = F.col("n")
     value = (one - F.try_divide(n * F.col("jumps"), F.lit(2.0) * (n * F.col("l1") - F.col("l2"))) if ties
              else one - F.try_divide(F.lit(3.0) * F.col("jumps"), n * n - one))
-    return sums.select("a", "b", value.alias("value"))
+    return long.join(own, "f").select("a", "b", value.alias("value"))
 
 
 def xi(df: DataFrame, x: str, y: str, keys=None, ties: bool = True) -> DataFrame:

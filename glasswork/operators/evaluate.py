@@ -161,6 +161,61 @@ def fold_mean(metric: DataFrame, value: str = "auc", by=()) -> DataFrame:
     return metric.groupBy(*by).agg(F.avg(value).alias(f"mean_{value}"))
 
 
+def mean_curve(df: DataFrame, curve: str = "roc", y: str = "y", p: str = "p", fold: str = "fold", by=(), points: int = 100) -> DataFrame:
+    """The folds' curves averaged vertically: rows (``by``..., x, mean, low, high, folds) for x = 0, 1/points, .., 1.
+
+    ROC curves run straight between their points, the highest one at a jump;
+    precision is that of the first threshold that reaches the recall, 1 at
+    recall 0. Each distinct score is one stretch of its fold's curve and finds
+    the grid positions inside itself, so no window holds a fold and all folds
+    are one job. A fold without one of the classes has no curve.
+    """
+    if curve not in ("roc", "pr"):
+        raise ValueError(f"unknown curve: {curve}")
+    by = list(by)
+    cum = _cumulative(df, y, p, [*by, fold]).filter("positives > 0 AND negatives > 0")
+    end, step, total = ("fp", F.col("n") - F.col("pos"), "negatives") if curve == "roc" else ("tp", F.col("pos"), "positives")
+    step, count = _dbl(step), F.lit(float(points))
+    first = F.ceil((F.col(end) - step) * count / F.col(total))
+    last = F.floor(F.col(end) * count / F.col(total))
+    if curve == "roc":
+        rise = _dbl("pos")
+        share = F.coalesce(F.try_divide(F.col("i") * F.col(total) / count - (F.col(end) - step), step), F.lit(1.0))
+        value = (F.col("tp") - rise + share * rise) / F.col("positives")
+    else:
+        value = F.when(F.col("i") == 0, F.lit(1.0)).otherwise(_ratio("tp", "above"))
+    inside = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    spots = cum.withColumn("i", F.explode(inside)).withColumn("v", value)
+    # A border belongs to two stretches: the higher end of a jump, the first threshold that gets there.
+    best = F.max("v") if curve == "roc" else F.max_by("v", "p")
+    each = spots.groupBy(*by, fold, "i").agg(best.alias("v"))
+    return each.groupBy(*by, (F.col("i") / count).alias("x")).agg(
+        F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("folds"))
+
+
+def fold_scores(df: DataFrame, y: str = "y", p: str = "p", fold: str = "fold", by=()) -> DataFrame:
+    """Rows (``by``..., fold, roc_auc, pr_auc, brier), all folds and metrics from one pass over the distinct scores."""
+    area = F.sum((F.col("n") - F.col("pos")) * (F.col("tp") - F.col("pos") / F.lit(2.0)))
+    higher = F.coalesce(_ratio(F.col("tp") - F.col("pos"), F.col("above") - F.col("n")), F.lit(1.0))
+    precision = F.sum(_ratio("pos", "positives") * (_ratio("tp", "above") + higher) / F.lit(2.0))
+    score = F.col("p")
+    squares = F.sum(F.col("n") * score * score - F.lit(2.0) * F.col("pos") * score + F.col("pos")) / F.sum("n")
+    return _cumulative(df, y, p, [*by, fold]).groupBy(*by, fold).agg(
+        F.try_divide(area, F.first("positives") * F.first("negatives")).alias("roc_auc"), precision.alias("pr_auc"), squares.alias("brier"))
+
+
+def fold_tables(df: DataFrame, y: str = "y", p: str = "p", fold: str = "fold", by=()) -> dict[str, DataFrame]:
+    """Curves and scores per fold and their means over the folds."""
+    by = list(by)
+    scores = fold_scores(df, y, p, fold, by)
+    return {
+        "fold_roc_curve": roc_curve(df, y, p, [*by, fold]), "mean_roc_curve": mean_curve(df, "roc", y, p, fold, by),
+        "fold_pr_curve": pr_curve(df, y, p, [*by, fold]), "mean_pr_curve": mean_curve(df, "pr", y, p, fold, by),
+        "fold_calibration_curve": calibration_curve(df, y, p, by=[*by, fold]), "fold_scores": scores,
+        "fold_means": scores.groupBy(*by).agg(*[F.avg(m).alias(f"mean_{m}") for m in ("roc_auc", "pr_auc", "brier")]),
+    }
+
+
 def calibration_curve(df: DataFrame, y: str = "y", p: str = "p", bins: int = 10, by=()) -> DataFrame:
     """Mean score and share of positives in quantile bins of the score; empty bins are absent."""
     by = list(by)
@@ -344,13 +399,15 @@ def regression_metrics(df: DataFrame, y: str = "y", yhat: str = "prediction", n_
 # --- dispatch -------------------------------------------------------------------
 
 def evaluate(df: DataFrame, task: str, target: str, probabilities: dict | None = None, by=("data_type",),
-             n_features: int = 1) -> dict[str, DataFrame]:
+             n_features: int = 1, fold: str | None = None) -> dict[str, DataFrame]:
     """Every table that fits the task, one job each, all groups of ``by`` together.
 
     ``df`` holds the target, ``prediction`` and the probability columns;
     ``probabilities`` maps class labels to them (binary: one positive label).
+    ``fold`` names the column of the fold a row was tested in (null: in none);
+    classifications then also get tables per fold and over the folds.
     """
-    by = list(by)
+    by, more = list(by), [fold] if fold else []
     if task == "regression":
         return {
             "prediction_pairs": prediction_pairs(df, target, bins=100, by=by),
@@ -360,13 +417,13 @@ def evaluate(df: DataFrame, task: str, target: str, probabilities: dict | None =
     out = {"confusion_matrix": confusion_matrix(df, target, by=by)}
     if task == "binary":
         ((label, column),) = probabilities.items()
-        rows = df.select(*by, (F.col(target) == F.lit(label)).cast("int").alias("y"), F.col(column).alias("p"))
+        rows = df.select(*by, *more, (F.col(target) == F.lit(label)).cast("int").alias("y"), F.col(column).alias("p"))
         out["confusion_by_threshold"] = confusion_by_threshold(rows, by=by)
         out["classification_report"] = classification_report(out["confusion_by_threshold"], [*by, "threshold"])
         out["pr_curve_class_0"] = pr_curve(mirror(rows), by=by)
         out["pr_auc_class_0"] = pr_auc(mirror(rows), by=by)
     else:
-        rows = one_vs_rest(df.select(*by, target, *probabilities.values()), target, probabilities)
+        rows = one_vs_rest(df.select(*by, *more, target, *probabilities.values()), target, probabilities)
         out["classification_report"] = classification_report(out["confusion_matrix"], by)
         by = [*by, "class"]
     out |= {
@@ -375,4 +432,6 @@ def evaluate(df: DataFrame, task: str, target: str, probabilities: dict | None =
         "calibration_curve": calibration_curve(rows, by=by), "brier": brier(rows, by=by),
         "probability_histogram": probability_histogram(rows, by=by),
     }
+    if fold:
+        out |= fold_tables(rows.filter(F.col(fold).isNotNull()), fold=fold, by=by)
     return out

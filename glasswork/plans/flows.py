@@ -176,11 +176,14 @@ def run(df: DataFrame, config: dict, kind: str, keys) -> Run:
 
 
 def tables(predictions: DataFrame, model) -> dict[str, DataFrame]:
-    """Evaluation tables of predictions that carry ``data_type``."""
+    """Evaluation tables of predictions that carry ``data_type``; out-of-fold rows with their ``fold`` also per fold."""
     columns = probability_columns(model)
     labels = list(model.classes) if len(columns) > 1 else list(model.classes[1:2])
+    fold = "fold" if "fold" in predictions.columns and model.task != "regression" else None
+    if fold:
+        predictions = predictions.withColumn(fold, F.when(F.col("data_type") == "test", F.col(fold)))
     return ev.evaluate(predictions, model.task, model.target, dict(zip(labels, columns)),
-                       n_features=len(model.features))
+                       n_features=len(model.features), fold=fold)
 
 
 def check_model(model, df: DataFrame, keys, calibrator=None, rows: int | None = 10) -> tuple[dict, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("scoring", "evaluation", "profiling", "cleaning", "association", "splits", "lookups", "fitting", "explanation", "flows")
+AREAS = ("scoring", "evaluation", "profiling", "cleaning", "association", "splits", "lookups", "fitting", "explanation", "flows", "streams")
 
 
 def _modules():

@@ -145,6 +145,41 @@ def _(spark, sf):
     return rounded(ops.fold_mean(ops.roc_auc(scored(spark, sf), by=["fold"])), "mean_auc", digits=5)
 
 
+STRETCHES_SQL = f"""WITH c AS (SELECT fold, p, COUNT(*) AS n, SUM(y) AS pos FROM {SCORED_SQL} GROUP BY 1, 2),
+t AS (SELECT fold, SUM(n - pos) AS negatives, SUM(pos) AS positives FROM c GROUP BY 1),
+s AS (SELECT fold, p, n, pos, SUM(n) OVER w AS above, SUM(pos) OVER w AS tp, SUM(n - pos) OVER w AS fp FROM c
+  WINDOW w AS (PARTITION BY fold ORDER BY p DESC)),
+g AS (SELECT UNNEST(range(0, 101)) AS i)"""
+MEAN_SQL = """SELECT i / 100 AS x, ROUND(AVG(v), 6)::DOUBLE AS mean, ROUND(MIN(v), 6)::DOUBLE AS low, ROUND(MAX(v), 6)::DOUBLE AS high,
+  COUNT(*) AS folds FROM v GROUP BY i"""
+
+
+@query("mean_roc_curve", f"""{STRETCHES_SQL},
+v AS (SELECT fold, i, MAX(CASE WHEN n = pos THEN tp ELSE tp - pos + (i * negatives / 100 - (fp - n + pos)) / (n - pos) * pos END / positives) AS v
+  FROM s JOIN t USING (fold) JOIN g ON i * negatives BETWEEN 100 * (fp - n + pos) AND 100 * fp GROUP BY 1, 2)
+{MEAN_SQL}""")
+def _(spark, sf):
+    return rounded(ops.mean_curve(scored(spark, sf), "roc"), "mean", "low", "high")
+
+
+@query("mean_pr_curve", f"""{STRETCHES_SQL},
+v AS (SELECT fold, i, CASE WHEN i = 0 THEN 1E0 ELSE ARG_MAX(tp / above, p) END AS v
+  FROM s JOIN t USING (fold) JOIN g ON i * positives BETWEEN 100 * (tp - pos) AND 100 * tp GROUP BY 1, 2)
+{MEAN_SQL}""")
+def _(spark, sf):
+    return rounded(ops.mean_curve(scored(spark, sf), "pr"), "mean", "low", "high")
+
+
+@query("fold_scores", f"""SELECT fold, ROUND(auc, 5) AS roc_auc, ROUND(pr.area, 5)::DOUBLE AS pr_auc, ROUND(b.brier, 5) AS brier
+FROM ({roc_auc_sql(g='fold', name='fold')}) AS roc JOIN (
+  WITH c AS (SELECT fold, p, COUNT(*) AS n, SUM(y) AS pos FROM {SCORED_SQL} GROUP BY 1, 2),
+  s AS (SELECT fold, pos, SUM(n) OVER w AS above, SUM(pos) OVER w AS tp, n FROM c WINDOW w AS (PARTITION BY fold ORDER BY p DESC))
+  SELECT fold, SUM(pos * (tp / above + COALESCE((tp - pos) / NULLIF(above - n, 0), 1)) / 2) / SUM(pos) AS area FROM s GROUP BY 1) AS pr USING (fold)
+JOIN (SELECT fold, AVG((p - y) * (p - y)) AS brier FROM {SCORED_SQL} GROUP BY 1) AS b USING (fold)""")
+def _(spark, sf):
+    return rounded(ops.fold_scores(scored(spark, sf)), "roc_auc", "pr_auc", "brier", digits=5)
+
+
 def calibration_sql(rows=SCORED_SQL, g="0", name=None):
     lead = f"g AS {name}, " if name else ""
     return f"""WITH s AS (SELECT {g} AS g, y, p FROM {rows}),
