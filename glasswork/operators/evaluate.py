@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glasswork.operators.ranks import count_below, prefix_sums, quantile_edges, quantiles
+from glasswork.sources.checkpoint import cut_lineage
 
 THRESHOLDS = 21
 
@@ -339,7 +340,8 @@ def quantile_error(df: DataFrame, y: str = "y", yhat: str = "prediction", bins:
     rows = rows.withColumn("bin", F.greatest(count_below("_edges", "y", bins + 1), F.lit(1)))
     rows = rows.select(*by, "diff", "bin", F.get("_edges", F.col("bin") - 1).alias("lo"),
                        F.coalesce(F.get("_edges", F.col("bin")), F.get("_edges", F.col("bin") - 1)).alias("hi"))
-    counts = rows.groupBy(*by, "bin", "lo", "hi", "diff").agg(F.count("*").alias("n"))
+    # Read by the quartiles and by the whiskers, so written once.
+    counts = cut_lineage(rows.groupBy(*by, "bin", "lo", "hi", "diff").agg(F.count("*").alias("n")))
     box = quantiles(counts, "diff", [0.25, 0.5, 0.75], [*by, "bin", "lo", "hi"], weight="n").groupBy(*by, "bin", "lo", "hi").agg(*[
         F.max(F.when(F.col("prob") == q, F.col("quantile"))).alias(name)
         for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))

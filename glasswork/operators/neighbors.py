@@ -3,12 +3,16 @@
 Points are laid on a space-filling curve and cut into blocks of bounded size.
 Neighbours inside the own block give every point an upper bound on its k-th
 distance; only blocks whose bounding box lies within that bound are compared.
-A task holds two blocks at a time, whatever the size of a group.
+Which ones these are is found by a join down two trees of boxes, level by
+level: a pair of nodes is opened only if some point of the one may have a
+neighbour in the other. The bound makes the result exact, whatever the curve
+does. A task holds two blocks at a time, whatever the size of a group.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -18,20 +22,26 @@ from glasswork.operators.ranks import row_positions
 from glasswork.sources.checkpoint import cut_lineage
 
 BLOCK = 512
-SUPER = 64
-# Largest number of superblock boxes held in one task's memory (16 MB at 20 axes).
-MAX_SUPERS = 50_000
-_CURVE_BITS = 60
+# Children of a node in the tree of boxes.
+FANOUT = 8
+_CURVE_BITS, _CURVE_AXES = 60, 6
 
 
 def _curve_key(axes, spans: dict) -> Column:
-    """Interleaved bits of up to six axes, each scaled to its range in the whole table."""
-    used = list(axes)[:6]
+    """Interleaved bits of up to six axes, each scaled to its range in the whole table.
+
+    More axes are first folded into six sums of all of them with fixed signs,
+    so that each has a say in the place on the curve.
+    """
+    shares = {a: (F.col(a) - F.lit(spans[a][0])) / F.lit((spans[a][1] - spans[a][0]) or 1.0) for a in axes}
+    used = list(shares.values())
+    if len(used) > _CURVE_AXES:
+        signs = [[1.0 if crc32(f"{i}|{a}".encode()) & 1 else -1.0 for a in axes] for i in range(_CURVE_AXES)]
+        # A sum of n shares with signs lies between -n and n.
+        used = [sum((s * F.lit(g) for s, g in zip(shares.values(), row)), F.lit(0.0)) / F.lit(2.0 * len(axes)) + F.lit(0.5) for row in signs]
     bits = _CURVE_BITS // len(used)
     cells = []
-    for a in used:
-        lo, hi = spans[a]
-        share = (F.col(a) - F.lit(lo)) / F.lit((hi - lo) or 1.0)
+    for share in used:
         cells.append(F.least(F.floor(share * F.lit(float(2**bits))), F.lit(2**bits - 1)).cast("bigint"))
     parts = [
         F.shiftleft(F.shiftright(c, b).bitwiseAND(F.lit(1).cast("bigint")), b * len(used) + i)
@@ -41,8 +51,10 @@ def _curve_key(axes, spans: dict) -> Column:
 
 
 def _distances(x, y, cx, cy, cost):
-    """Squared distances; ``cost`` is added once per differing category."""
-    d = ((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2)
+    """Squared distances, one axis at a time; ``cost`` is added once per differing category."""
+    d = np.zeros((len(x), len(y)))
+    for a, b in zip(x.T, y.T):
+        d += (a[:, None] - b[None, :]) ** 2
     for j in range(cx.shape[1] if cx.size else 0):
         d += cost * (cx[:, None, j] != cy[None, :, j])
     return d
@@ -55,16 +67,11 @@ def _arrays(pdf: pd.DataFrame):
 
 
 def _nearest(d, ids, k):
-    """Positions of the k smallest distances per row, ties by id."""
-    if d.shape[1] > k:
-        cut = np.partition(d, k - 1, axis=1)[:, k - 1:k]
-    else:
-        cut = np.full((d.shape[0], 1), np.inf)
-    out = []
-    for row, limit in zip(d, cut[:, 0]):
-        near = np.flatnonzero((row <= limit) & np.isfinite(row))
-        out.append(near[np.lexsort((ids[near], row[near]))][:k])
-    return out
+    """Per row the positions of the k smallest finite distances, ties by id."""
+    by_id = np.argsort(ids, kind="stable")
+    order = by_id[np.argsort(d[:, by_id], axis=1, kind="stable")[:, :k]]
+    known = np.isfinite(np.take_along_axis(d, order, 1)).sum(axis=1)
+    return [row[:n] for row, n in zip(order, known)]
 
 
 def nearest(df: DataFrame, key: str, axes, k: int = 5, by=(), cats=(), cost: str | None = None,
@@ -156,34 +163,33 @@ def _gap(a: str, b: str, dims: int) -> Column:
 
 
 def _block_pairs(first: DataFrame, by, dims: int) -> DataFrame:
-    """Pairs (block, other) that may hold neighbours, found through superblocks.
+    """Pairs (block, other) that may hold neighbours, by a join down the trees of boxes.
 
-    Superblocks (runs of blocks on the curve) are few; their boxes are compared
-    in memory, and only the hits are joined down to blocks.
+    A node of level ``l`` stands for ``FANOUT^l`` neighbouring blocks. From the
+    top, every pair of nodes whose boxes are within the left one's bound is
+    replaced by the pairs of their children. A pair is met by its two parents'
+    names, so no step compares all boxes and no row holds them.
     """
     names = [f"{n}{i}" for i in range(dims) for n in ("lo", "hi")]
-    boxes = first.groupBy(*by, "block").agg(*_box("", dims), F.max("u").alias("u"))
-    total = boxes.count()
-    size = max(SUPER, -(-total // MAX_SUPERS))
-    boxes = boxes.withColumn("sup", F.floor(F.col("block") / size))
-    supers = boxes.groupBy(*by, "sup").agg(*_merge_boxes(dims), F.max("u").alias("u"))
-    listed = supers.agg(F.collect_list(F.struct(*by, F.col("sup").alias("osup"), *names)).alias("all"))
-
-    def near(s):
-        gap = F.lit(0.0)
-        for i in range(dims):
-            apart = F.greatest(s[f"lo{i}"] - F.col(f"hi{i}"), F.col(f"lo{i}") - s[f"hi{i}"], F.lit(0.0))
-            gap = gap + apart * apart
-        ok = gap <= F.col("u")
-        for b in by:
-            ok = ok & s[b].eqNullSafe(F.col(b))
-        return ok
-
-    hits = supers.withColumn("_all", listed.scalar())
-    hits = hits.select(*by, "sup", F.explode(F.transform(F.filter("_all", near), lambda s: s["osup"])).alias("osup"))
-    left = boxes.select(*by, "sup", "block", F.col("u").alias("u"), *[F.col(n).alias(f"a{n}") for n in names])
-    right = boxes.select(*by, F.col("sup").alias("osup"), F.col("block").alias("other"),
-                         *[F.col(n).alias(f"b{n}") for n in names])
-    pairs = left.join(hits, [*by, "sup"]).join(right, [*by, "osup"])
-    return pairs.filter((F.col("block") != F.col("other")) & (_gap("a", "b", dims) <= F.col("u"))).select(
-        *by, "block", "other")
+    boxes = cut_lineage(first.groupBy(*by, "block").agg(*_box("", dims), F.max("u").alias("u")))
+    top = boxes.agg(F.max("block")).first()[0] or 0
+    levels = 0
+    while FANOUT**levels <= top:
+        levels += 1
+
+    def nodes(level: int) -> DataFrame:
+        size = FANOUT**level
+        merged = boxes.groupBy(*by, F.floor(F.col("block") / size).cast("bigint").alias("node")).agg(*_merge_boxes(dims), F.max("u").alias("u"))
+        return merged.withColumn("up", F.floor(F.col("node") / FANOUT).cast("bigint"))
+
+    def side(level: int, prefix: str, node: str, up: str) -> DataFrame:
+        rows = nodes(level)
+        return rows.select(*by, F.col("node").alias(node), F.col("up").alias(up), F.col("u").alias(f"{prefix}u"),
+                           *[F.col(n).alias(f"{prefix}{n}") for n in names])
+
+    pairs = nodes(levels).select(*by, F.col("node").alias("a"), F.col("node").alias("b"))
+    for level in reversed(range(levels)):
+        left, right = side(level, "l", "na", "a"), side(level, "r", "nb", "b")
+        opened = pairs.join(left, [*by, "a"]).join(right, [*by, "b"]).filter(_gap("l", "r", dims) <= F.col("lu"))
+        pairs = cut_lineage(opened.select(*by, F.col("na").alias("a"), F.col("nb").alias("b")))
+    return pairs.filter("a <> b").select(*by, F.col("a").alias("block"), F.col("b").alias("other"))

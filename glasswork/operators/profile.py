@@ -142,38 +142,84 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.trim(F.col(c)).try_cast(k) for c, k in types.items() if k != "string"})
 
 
+# A sketch's count is taken to be off by at most this share, ten times its standard error, and so many values.
+_SKETCH_ERROR, _SKETCH_BOUND, _SKETCH_SLACK = 0.01, 0.1, 3
+_PLAIN = (*_INTEGRAL, *_FLOATING, "string", "boolean", "date", "timestamp", "timestamp_ntz")
+
+
+def _narrow_stats(df: DataFrame, columns) -> dict[str, dict]:
+    """Per column from one aggregate that moves no values: rows, nulls, whether all values and all lengths are
+    equal, the span of integers, and a sketch of the distinct values."""
+    kinds, parts = dict(df.dtypes), []
+    for c in columns:
+        v = F.col(c) if kinds[c] in _PLAIN or kinds[c].startswith("decimal") else F.col(c).cast("string")
+        size = F.length(F.col(c).cast("string"))
+        span = (F.max(v).cast("decimal(38,0)") - F.min(v).cast("decimal(38,0)") + 1).cast("double") if kinds[c] in _INTEGRAL else F.lit(None).cast("double")
+        parts.append(F.struct(
+            F.count(F.lit(1)).alias("rows"), F.count(v).alias("known"), F.min(v).eqNullSafe(F.max(v)).alias("one"),
+            F.min(size).eqNullSafe(F.max(size)).alias("one_length"), span.alias("span"),
+            F.approx_count_distinct(v, _SKETCH_ERROR).alias("sketch")).alias(c))
+    return {c: r.asDict() for c, r in df.agg(*parts).first().asDict().items()}
+
+
+def _first_reason(column: str, kind: str, low: float, high: float, stats: dict) -> tuple[str | None, bool]:
+    """(reason, settled) by the rules that need no type inference, for a share of distinct values between two bounds."""
+    integral, floating = kind in _INTEGRAL, kind in _FLOATING or kind.startswith("decimal")
+    rules = [
+        (not floating, 1.0, False, "unique"), (integral and stats["one_length"], 0.9, True, "high_cardinality_int"),
+        (any(part in column.lower() for part in DATE_NAMES), None, False, "date_name"), (kind == "string", 0.4, True, "high_cardinality_text"),
+        (stats["one"] and stats["known"] > 0, None, False, "constant")]
+    for applies, limit, above, reason in rules:
+        if not applies:
+            continue
+        if limit is None or (low > limit if above else low >= limit):
+            return reason, True
+        if high > limit if above else high >= limit:
+            return None, False
+    return None, True
+
+
 def feature_reasons(df: DataFrame, columns=None, approx: bool = False) -> DataFrame:
     """Rows (column, reason): why a column is not a feature; reason null means it is one.
 
     Rules run in order, the first match counts: all values unique (not for
     floats); nearly unique integers of one text length; a date-like name;
     strings with many values; a single value; a type that is not text or number.
+
+    One narrow pass settles most columns: by type and name, by nulls and the
+    span of integers, which bound the distinct values, and by a sketch whose
+    count is far from every limit. Only columns left open are counted exactly,
+    and only those shuffle their values; ``approx`` takes the sketch instead.
     """
     kinds = dict(df.dtypes)
     columns = list(columns or df.columns)
-    stats = (approx_distinct_counts if approx else distinct_counts)(df, columns)
-    inferred = infer_types(df, columns)
-    rows = [(c, kinds[c], inferred.get(c, kinds[c])) for c in columns]
-    spark = df.sparkSession
-    info = spark.createDataFrame(rows, "column string, kind string, inferred string")
-    values = F.col("n_distinct") + F.col("has_null").cast("int")
-    unique = values / F.col("n_rows")
-    integral = F.col("kind").isin(*_INTEGRAL)
-    floating = F.col("kind").isin(*_FLOATING) | F.col("kind").startswith("decimal")
-    date_name = F.lit(False)
-    for part in DATE_NAMES:
-        date_name = date_name | F.lower("column").contains(part)
-    text_or_number = integral | floating | (
-        (F.col("kind") == "string") & F.col("inferred").isin("string", "bigint", "double"))
-    reason = (
-        F.when((unique == 1) & ~floating, "unique")
-        .when((unique > 0.9) & integral & (F.col("n_lengths") == 1), "high_cardinality_int")
-        .when(date_name, "date_name")
-        .when((unique > 0.4) & (F.col("kind") == "string"), "high_cardinality_text")
-        .when(F.col("n_distinct") == 1, "constant")
-        .when(~text_or_number, F.concat(F.lit("type_"), F.col("inferred")))
-    )
-    return stats.join(F.broadcast(info), "column").select("column", reason.alias("reason"))
+    stats = _narrow_stats(df, columns) if columns else {}
+    found, opened = {}, []
+    for c in columns:
+        s = stats[c]
+        rows, null = max(s["rows"], 1), int(s["known"] < s["rows"])
+        most = min(s["known"], s["span"] if s["span"] is not None else s["known"], s["sketch"] * (1 + _SKETCH_BOUND) + _SKETCH_SLACK)
+        if approx:
+            low = high = min(s["sketch"], s["known"])
+        else:
+            low, high = (1.0, 1.0) if s["one"] and s["known"] else (s["sketch"] * (1 - _SKETCH_BOUND) - _SKETCH_SLACK, most)
+            low = min(low, high)
+        reason, settled = _first_reason(c, kinds[c], (low + null) / rows, (high + null) / rows, s)
+        found[c] = reason
+        if not settled:
+            opened.append(c)
+    for r in distinct_counts(df, opened).collect() if opened else []:
+        c = r["column"]
+        share = (r["n_distinct"] + int(r["has_null"])) / max(r["n_rows"], 1)
+        found[c] = _first_reason(c, kinds[c], share, share, stats[c])[0]
+    plain = [c for c in columns if found[c] is None]
+    inferred = infer_types(df, [c for c in plain if kinds[c] == "string"]) if any(kinds[c] == "string" for c in plain) else {}
+    for c in plain:
+        kind = inferred.get(c, kinds[c])
+        known = kinds[c] in _INTEGRAL or kinds[c] in _FLOATING or kinds[c].startswith("decimal")
+        if not known and not (kinds[c] == "string" and kind in ("string", "bigint", "double")):
+            found[c] = f"type_{kind}"
+    return df.sparkSession.createDataFrame([(c, found[c]) for c in columns], "column string, reason string")
 
 
 def select_features(df: DataFrame, target: str | None = None, approx: bool = False) -> list[str]:

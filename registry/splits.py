@@ -113,6 +113,36 @@ def _(spark, sf):
     return rs.smote(returned(spark, sf), "y", ["l_quantity", "l_discount", "l_tax", "l_linestatus"], ["l_linestatus"])
 
 
+def invariants(rows, synthetic, numbers, categories=()):
+    """Per class the synthetic rows and how many lie inside the box and the categories of the class's own rows."""
+    box = rows.groupBy("y").agg(*[f(c).alias(f"{n}_{c}") for c in numbers for n, f in (("lo", F.min), ("hi", F.max))],
+                                *[F.collect_set(c).alias(f"all_{c}") for c in categories])
+    ok = F.lit(True)
+    for c in numbers:
+        ok = ok & F.col(c).between(F.col(f"lo_{c}"), F.col(f"hi_{c}"))
+    for c in categories:
+        ok = ok & F.array_contains(f"all_{c}", F.col(c))
+    return synthetic.join(F.broadcast(box), "y").groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("inside"))
+
+
+INVARIANT_SQL = """WITH c AS (SELECT (l_returnflag = 'R' AND l_linenumber <= 2)::INTEGER AS y, COUNT(*) AS n FROM lineitem GROUP BY 1)
+SELECT y, (SELECT MAX(n) FROM c) - n AS n, (SELECT MAX(n) FROM c) - n AS inside FROM c WHERE n < (SELECT MAX(n) FROM c)"""
+
+
+@query("smote_invariants", INVARIANT_SQL)
+def _(spark, sf):
+    numbers = ["l_quantity", "l_discount", "l_tax"]
+    rows = returned(spark, sf)
+    return invariants(rows, rs.smote(rows, "y", numbers), numbers)
+
+
+@query("smote_nc_invariants", INVARIANT_SQL)
+def _(spark, sf):
+    numbers = ["l_quantity", "l_discount", "l_tax"]
+    rows = returned(spark, sf)
+    return invariants(rows, rs.smote(rows, "y", [*numbers, "l_linestatus"], ["l_linestatus"]), numbers, ["l_linestatus"])
+
+
 @query("upsample", """
 SELECT y, (SELECT MAX(n) FROM (SELECT COUNT(*) AS n FROM lineitem GROUP BY l_returnflag = 'R' AND l_linenumber <= 2)) AS n
 FROM (VALUES (0), (1)) AS v(y)""")

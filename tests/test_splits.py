@@ -117,6 +117,36 @@ def test_smote_stays_between_neighbours(spark):
     assert len(nc) == 140 and {r["c"] for r in nc} <= {"u", "w"}
 
 
+def test_synthetic_rows_lie_on_segments_to_nearest_rows(spark):
+    """Against brute force: each row is between a row of its class and one of that row's five nearest, copies counted."""
+    rng = np.random.default_rng(5)
+    minority = [(1, *map(float, p)) for p in rng.normal(size=(60, 3))] + [(1, 0.25, 0.25, 0.25)] * 4
+    df = spark.createDataFrame(minority + [(0, *map(float, p)) for p in rng.normal(size=(150, 3)) + 9], "y int, a double, b double, c double")
+    x = np.array([r[1:] for r in minority])
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    pairs = [(i, j) for i in range(len(x)) for j in np.flatnonzero(d[i] <= np.sort(d[i])[4] + 1e-12)]
+    starts, ends = x[[i for i, _ in pairs]], x[[j for _, j in pairs]]
+    for r in resample.smote(df, "y", ["a", "b", "c"], block=8).collect():
+        p = np.array([r.a, r.b, r.c])
+        along = ends - starts
+        t = np.clip(((p - starts) * along).sum(1) / np.maximum((along**2).sum(1), 1e-300), 0, 1)
+        assert np.abs(starts + t[:, None] * along - p).max(1).min() < 1e-9
+
+
+def test_nearest_with_many_axes(spark):
+    """Fifty axes, several levels of boxes and copies: still the brute-force neighbours."""
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(size=(250, 50)), rng.normal(size=(60, 50)) * 0.01 + 3, np.ones((10, 50))])
+    axes = [f"x{j}" for j in range(50)]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, " + ", ".join(f"{a} double" for a in axes))
+    got = {r["id"]: [n["id"] for n in r["neighbors"]] for r in nearest(df, "id", axes, 4, block=4).collect()}
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    for i in range(len(x)):
+        assert np.allclose(np.sort(d[i])[:4], d[i][got[i]], atol=1e-9) and len(set(got[i])) == 4
+
+
 def test_upsample_falls_back(spark):
     rows = [(0, float(i)) for i in range(30)] + [(1, 1.0), (1, 2.0)]
     df = spark.createDataFrame(rows, "y int, x double")
