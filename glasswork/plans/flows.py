@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -20,6 +21,22 @@ from glasswork.sources.checkpoint import cut_lineage
 from glasswork.sources.tables import DEFAULT_NULLS, nullify, read_table, write_clean
 
 MODELS = ("ebm", "l_regression", "decision_tree")
+# Parameter names that configurations use for what has another name here.
+PARAMETER_NAMES = {
+    "ebm": {"max_rounds": "rounds", "outer_bags": "bags"},
+    "l_regression": {},
+    "decision_tree": {"min_samples_leaf": "min_rows", "min_impurity_decrease": "min_gain", "random_state": "seed"},
+}
+
+
+def model_params(kind: str, learner, params: dict) -> dict:
+    """``params`` under the learner's own names; one that it does not know raises and tells those it does."""
+    own = [n for n in signature(learner).parameters if n not in ("df", "target", "features", "task", "classes", "keys", "name")]
+    renamed = {PARAMETER_NAMES[kind].get(n, n): v for n, v in params.items()}
+    unknown = sorted(set(renamed) - {*own, "classes", "keys", "name"})
+    if unknown:
+        raise ValueError(f"{kind} has no parameter {', '.join(unknown)}; it knows {', '.join(sorted([*own, *PARAMETER_NAMES[kind]]))}")
+    return renamed
 
 
 def fit(df: DataFrame, kind: str, target: str, features, task: str, classes: tuple = (), params: dict | None = None,
@@ -32,13 +49,15 @@ def fit(df: DataFrame, kind: str, target: str, features, task: str, classes: tup
         classes = classes or target_classes(df, target)
         params["classes"] = classes
     exact = task if task == "regression" else ("binary" if len(classes) == 2 else "multiclass")
+    linear = fit_linear if task == "regression" else fit_logistic
+    params = model_params(kind, {"ebm": fit_additive, "decision_tree": fit_tree}.get(kind, linear), params)
     if kind == "ebm":
         return fit_additive(df, target, features, exact, **{"keys": tuple(keys)} | params)
     if kind == "decision_tree":
         return fit_tree(df, target, features, exact, **params)
     # Rows with a null feature have no linear score; ``Run.null_rows`` tells how many were left out.
     params.setdefault("nulls", "drop")
-    return (fit_linear if task == "regression" else fit_logistic)(df, target, features, **params)
+    return linear(df, target, features, **params)
 
 
 def build_folds(df: DataFrame, options: Options, keys, task: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from glasswork.plans import flows
 from glasswork.plans.options import Options
 from registry.common import BINARY, LINEAR, Registry, r6, rounded, table
-from registry.evaluation import PRED_SQL, THRESHOLD_SQL
+from registry.evaluation import DIGITS, METRIC_SQL, PRED_SQL, THRESHOLD_SQL
 
 REG = Registry()
 query = REG.query
@@ -77,6 +77,57 @@ def _(spark, sf):
     return rounded(out, "value", digits=2)
 
 
+def _coarse(metric):
+    """Digits that two orders of summation agree on."""
+    return -2 if metric == "mse" else min(DIGITS.get(metric, 5), 2 if metric in DIGITS else 5)
+
+
+def _by_metric(df):
+    """Each metric rounded to its digits."""
+    value = F.round("value", 5)
+    for m in METRIC_SQL:
+        value = F.when(F.col("metric") == m, F.round("value", _coarse(m))).otherwise(value)
+    return df.withColumn("value", value)
+
+
+@query("run_regression_metrics", f"""
+WITH f AS (SELECT o_custkey AS x, o_totalprice AS y, ('0x' || SUBSTR({ORDER_HASH}, 1, 8))::BIGINT % 5 AS fold FROM orders),
+b AS (SELECT k, REGR_SLOPE(y, x) AS s, REGR_INTERCEPT(y, x) AS i FROM f, range(-1, 5) AS r(k) WHERE fold <> k GROUP BY k),
+p AS (SELECT CASE WHEN k < 0 THEN 'train' ELSE 'test' END AS data_type, i + s * x AS h, i + s * x - y AS e, y FROM f JOIN b ON k = fold OR k < 0)
+""" + " UNION ALL ".join(
+    f"SELECT data_type, '{m}' AS metric, ROUND({q.replace('- 2 - 1', '- 1 - 1')}, {_coarse(m)}) AS value FROM p GROUP BY 1" for m, q in METRIC_SQL.items()))
+def _(spark, sf):
+    """The whole flow with least squares on one feature: every metric of both parts."""
+    config = {"target": "o_totalprice", "features": ["o_custkey"], "model_params": {"alpha": 0.0}}
+    return _by_metric(flows.run(table(spark, sf, "orders"), config, "l_regression", ["o_orderkey"]).tables["regression_metrics"])
+
+
+@query("check_model_regression_metrics", " UNION ALL ".join(
+    f"SELECT 'test' AS data_type, '{m}' AS metric, ROUND({q}, {_coarse(m)}) AS value FROM {PRED_SQL}" for m, q in METRIC_SQL.items()))
+def _(spark, sf):
+    """Every metric of a stored model on a new table."""
+    tables, _ = flows.check_model(LINEAR, table(spark, sf, "lineitem"), ["l_orderkey"])
+    return _by_metric(tables["regression_metrics"])
+
+
+@query("run_fold_means", f"""
+WITH o AS (SELECT o_orderkey, o_orderpriority AS c, (o_orderstatus = 'F')::INTEGER AS y FROM orders),
+f AS (SELECT *, (ROW_NUMBER() OVER (PARTITION BY y ORDER BY {ORDER_HASH}) - 1) % 5 AS fold FROM o),
+v AS (SELECT k, c, AVG(y) AS p FROM f, range(5) AS r(k) WHERE fold <> k GROUP BY k, c),
+s AS (SELECT fold, y, p FROM f JOIN v ON v.c = f.c AND k = fold),
+d AS (SELECT fold, p, SUM(y) AS pos, COUNT(*) - SUM(y) AS neg FROM s GROUP BY 1, 2),
+a AS (SELECT fold, SUM(neg * (SELECT COALESCE(SUM(pos), 0) FROM d AS h WHERE h.fold = d.fold AND h.p > d.p) + neg * pos / 2) / (SUM(pos) * SUM(neg)) AS auc
+  FROM d GROUP BY 1)
+SELECT 'test' AS data_type, ROUND(AVG(auc), 4)::DOUBLE AS mean_roc_auc, (SELECT ROUND(AVG(b), 5)::DOUBLE FROM (
+  SELECT AVG(POW(y - p, 2)) AS b FROM s GROUP BY fold)) AS mean_brier FROM a""")
+def _(spark, sf):
+    """The whole flow on one categorical feature: means over the folds of what each held-out fold scores."""
+    rows = table(spark, sf, "orders").withColumn("y", (F.col("o_orderstatus") == "F").cast("int"))
+    config = {"target": "y", "features": ["o_orderpriority"], "model_params": {"max_rounds": 500, "outer_bags": 1}}
+    means = flows.run(rows, config, "ebm", ["o_orderkey"]).tables["fold_means"]
+    return means.select("data_type", F.round("mean_roc_auc", 4).alias("mean_roc_auc"), F.round("mean_brier", 5).alias("mean_brier"))
+
+
 @query("run_multiclass_tree")
 def _(spark, sf):
     rows = table(spark, sf, "orders").withColumn("month", F.month("o_orderdate"))

@@ -226,3 +226,29 @@ def test_evaluate_keeps_groups_apart(spark):
     assert {(r.data_type, r.n) for r in out["quantile_error"].groupBy("data_type").agg(F.sum("n").alias("n")).collect()} == {("train", 200), ("test", 200)}
     assert {(r.data_type, r["median"]) for r in out["quantile_error"].collect()} == {("train", 0.0), ("test", 5.0)}
     assert out["prediction_pairs"].groupBy("data_type").count().count() == 2
+
+
+def test_parameter_names():
+    """Names that configurations use are mapped; an unknown one is told together with the known ones."""
+    from glasswork.operators.linear import fit_logistic
+
+    assert flows.model_params("ebm", fit_additive, {"max_rounds": 9, "outer_bags": 2, "max_bins": 8}) == {"rounds": 9, "bags": 2, "max_bins": 8}
+    assert flows.model_params("decision_tree", fit_tree, {"min_samples_leaf": 3}) == {"min_rows": 3}
+    with pytest.raises(ValueError, match="no parameter depth; it knows .*max_depth"):
+        flows.model_params("decision_tree", fit_tree, {"depth": 3})
+    with pytest.raises(ValueError, match="l_regression has no parameter alpha"):
+        flows.model_params("l_regression", fit_logistic, {"alpha": 3})
+
+
+def test_run_gives_curves_per_fold(rows):
+    """Fold tables are of the out-of-fold rows, and their mean is the mean of the folds."""
+    config = {"target": "y", "features": ["x", "c"], "model_params": {"rounds": 20, "passes": 2, "bags": 1, "max_bins": 8}}
+    result = flows.run(rows.select("id", "x", "c", "y"), config, "ebm", ["id"])
+    scores = result.tables["fold_scores"].collect()
+    assert sorted(r["fold"] for r in scores) == list(range(5)) and {r["data_type"] for r in scores} == {"test"}
+    mean = result.tables["fold_means"].first()
+    assert mean["mean_roc_auc"] == pytest.approx(np.mean([r["roc_auc"] for r in scores]))
+    curve = {round(r["x"], 4): r for r in result.tables["mean_roc_curve"].collect()}
+    assert len(curve) == 101 and curve[1.0]["mean"] == 1.0 and all(r["folds"] == 5 for r in curve.values())
+    values = [curve[i / 100]["mean"] for i in range(101)]
+    assert values == sorted(values) and abs(np.trapezoid(values, dx=0.01) - mean["mean_roc_auc"]) < 0.02
