@@ -30,7 +30,38 @@ SCOPE = 200
 # Texts with spans whose spans are broadcast; beyond that Spark joins them.
 BROADCAST_ROWS = 50_000
 _BIN = 256
-_SPANS = "array<struct<s:int,e:int,n:int>>"
+_SPANS, _PIECES = "array<struct<s:int,e:int,n:int>>", "array<struct<s:int,e:int>>"
+# Elements that a fold copies at most at each step.
+_CHUNK = 256
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: an outer expression inside a lambda is computed per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _in_chunks(items: Column, total, start, fold, kind: str) -> Column:
+    """What a left fold over an array gives per element, without copying the whole result at each of them.
+
+    The array is cut into chunks. ``total(chunk)`` sums a chunk up,
+    ``start(before, total)`` carries the state over it, and ``fold(chunk,
+    state)`` makes the elements of one chunk (an array of ``kind``). Only chunks
+    and the short list of their states are copied as they grow.
+    """
+    def chunked(all_: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _CHUNK).cast("int"))
+        return F.transform(numbers, lambda c: F.slice(all_, c * _CHUNK + 1, F.lit(_CHUNK)))
+
+    def states(chunks: Column) -> Column:
+        return F.aggregate(F.transform(chunks, total), F.array(F.lit(0)), lambda done, x: F.concat(
+            done, F.array(start(F.element_at(done, -1), x))))
+
+    def folded(chunks: Column) -> Column:
+        pairs = F.arrays_zip(chunks.alias("c"), states(chunks).alias("s"))
+        return F.flatten(F.transform(F.slice(pairs, F.lit(1), F.size(chunks)), lambda x: fold(x["c"], x["s"])))
+
+    made = _let(items, lambda all_: F.when(F.size(all_) > 0, _let(chunked(all_), folded)))
+    return F.coalesce(made, F.array().cast(kind))
 
 
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
@@ -39,19 +70,26 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     The texts between the matches come from a split on the same pattern, so
     lengths add up to positions.
     """
-    between = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    triples = F.arrays_zip(whole.alias("m"), part.alias("g"), F.slice(between, F.lit(1), F.size(whole)).alias("p"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
+    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else F.lit(None).cast("array<string>")
+
+    def lengths(m: Column) -> Column:
+        sized = F.zip_with(F.slice(m["p"], F.lit(1), F.size(m["m"])), m["m"], lambda p, x: F.struct(F.length(p).alias("p"), F.length(x).alias("m")))
+        if not group:
+            return F.transform(sized, lambda x: F.struct(x["p"].alias("p"), x["m"].alias("m"), x["m"].alias("g")))
+        return F.zip_with(sized, m["g"], lambda x, g: F.struct(x["p"].alias("p"), x["m"].alias("m"), F.length(g).alias("g")))
+
+    def fold(chunk: Column, at: Column) -> Column:
+        def step(done: Column, x: Column) -> Column:
+            begin = done["at"] + x["p"]
+            end = begin + x["m"]
+            return F.struct(end.alias("at"), F.concat(done["spans"], F.array(F.struct(
+                begin.alias("s"), end.alias("e"), x["g"].alias("n")))).alias("spans"))
 
-    def step(done: Column, x: Column) -> Column:
-        begin = done["at"] + F.length(x["p"])
-        end = begin + F.length(x["m"])
-        span = F.struct(begin.alias("s"), end.alias("e"), F.length(x["g"]).alias("n"))
-        return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
+        return F.aggregate(chunk, F.struct(at.alias("at"), F.array().cast(_SPANS).alias("spans")), step, lambda done: done["spans"])
 
-    found = F.aggregate(triples, start, step, lambda done: done["spans"])
+    found = _let(F.struct(F.split(text, pattern, -1).alias("p"), whole.alias("m"), part.alias("g")), lambda m: _in_chunks(
+        lengths(m), lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x["p"] + x["m"]), lambda before, n: before + n, fold, _SPANS))
     return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(_SPANS))
 
 
@@ -147,15 +185,22 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
     joined = rows.join(found, "_row", "left")
-    # Spans may overlap: a piece of text is kept from the furthest end so far to the next start.
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(done: Column, x: Column) -> Column:
-        fresh = x["s"] >= done["at"]
-        kept = F.when(fresh, F.concat(text.substr(done["at"] + 1, x["s"] - done["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(done["at"], x["e"]).alias("at"), F.concat(done["out"], kept).alias("out"))
+    def kept(chunk: Column, at: Column) -> Column:
+        """The stretches of text before each span that no earlier span covers."""
+        def step(done: Column, x: Column) -> Column:
+            piece = F.when(x["s"] >= done["at"], F.array(F.struct(done["at"].alias("s"), x["s"].alias("e")))).otherwise(
+                F.array().cast(_PIECES))
+            return F.struct(F.greatest(done["at"], x["e"]).alias("at"), F.concat(done["out"], piece).alias("out"))
+
+        return F.aggregate(chunk, F.struct(at.alias("at"), F.array().cast(_PIECES).alias("out")), step, lambda done: done["out"])
 
-    clean = F.aggregate("found", state, step, lambda done: F.concat(
-        done["out"], text.substr(done["at"] + 1, F.length(text) - done["at"])))
-    new = F.when(F.col("found").isNull(), text).otherwise(clean)
+    # Spans may overlap: a piece of text is kept from the furthest end so far to the next start.
+    end = F.aggregate("found", F.lit(0), lambda far, x: F.greatest(far, x["e"]))
+    pieces = _in_chunks(F.col("found"), lambda c: F.aggregate(c, F.lit(0), lambda far, x: F.greatest(far, x["e"])), F.greatest, kept, _PIECES)
+    pieces = F.concat(pieces, F.array(F.struct(end.alias("s"), F.length(text).alias("e"))))
+    # Four bytes a code point: a piece is cut out without walking the text from its start.
+    cut = _let(F.encode(text, "UTF-32"), lambda wide: F.transform(pieces, lambda x: F.decode(
+        F.substring(wide, x["s"] * 4 + 1, (x["e"] - x["s"]) * 4), "UTF-32")))
+    new = F.when(F.col("found").isNull(), text).otherwise(F.array_join(cut, mark))
     return joined.select(*[new.alias(c) if c == text_col else F.col("_doc").getField(c).alias(c) for c in names])

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -112,3 +113,28 @@ def test_key_pairs_as_they_are_written(spark):
     url = f"https://s3.example.com/x?sig={key} {own}"
     spans = secrets.digest(secrets.find_secrets(frame(spark, [(1, url)]))).first().spans
     assert spans == "linked_endpoint:0:69,linked_secret:29:69,access:70:90"
+
+
+@pytest.mark.parametrize("line", ["password=12345678 ", "ключ token=12345678\U0001F600 user=bob password=hunt2\n"])
+def test_a_dump_of_secrets(spark, line):
+    """Tens of thousands of spans in one text: whole results, in time that grows with their number and not its square."""
+    short, long = line * 300, line * 40_000
+    rows = {1: short, 2: long, 3: "x" + line * 255, 4: line * 256, 5: line * 257}
+    df = frame(spark, rows.items())
+    got = {r.doc_id: r.text for r in secrets.redact(df.filter("doc_id <> 2")).collect()}
+    for i, text in got.items():
+        out, at = "", 0
+        for s, _, e in sorted([x[:3] for x in base(rows[i])] + list(linked(rows[i]))):
+            if s >= at:
+                out += rows[i][at:s] + "[SECRET]"
+            at = max(at, e)
+        assert text == out + rows[i][at:]
+    clean = got[4][len(got[4]) // 256 * 100: len(got[4]) // 256 * 101]
+    start = time.time()
+    found = secrets.digest(secrets.find_secrets(df.filter("doc_id = 2"))).first()
+    scanned = time.time() - start
+    redacted = secrets.redact(df.filter("doc_id = 2")).first().text
+    taken = time.time() - start - scanned
+    assert found.n_assign == 40_000
+    assert redacted == clean * 40_000
+    assert scanned < 60 and taken < 60
