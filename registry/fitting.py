@@ -105,6 +105,53 @@ def _(spark, sf):
     return extract_lookup(spark, model)
 
 
+# A maximum likelihood fit of one score per bin reproduces the number of rows of each class in every bin.
+BINS_SQL = f"""(SELECT l_returnflag, UNNEST(['discount', 'status', 'ship']) AS feature,
+  UNNEST([ROUND(l_discount * 100)::INTEGER::VARCHAR, CASE WHEN l_partkey % 7 <> 0 THEN l_linestatus END, {SHIP}]) AS bin FROM lineitem)"""
+
+
+def _per_bin(df, sums):
+    """Sums per bin of the three features."""
+    bins = F.array(*[F.struct(F.lit(n).alias("feature"), c.cast("string").alias("bin")) for n, c in (
+        ("discount", F.round(F.col("l_discount") * 100).cast("int")), ("status", F.col("status")), ("ship", F.col("ship")))])
+    return df.select("*", F.explode(bins).alias("s")).groupBy("s.feature", "s.bin").agg(*sums)
+
+
+@query("ebm_binary_features", f"""
+SELECT feature, bin, COUNT(*) AS n, COUNT(*) FILTER (WHERE l_returnflag = 'R') AS expected FROM {BINS_SQL} GROUP BY 1, 2""")
+def _(spark, sf):
+    """Three features, one with missing values: the probabilities add up to the positives in every bin."""
+    model = fit_additive(step_rows(spark, sf), "y", ["l_discount", "status", "ship"], "binary", bags=1)
+    out = predict(step_rows(spark, sf), model)
+    return _per_bin(out, [F.count(F.lit(1)).alias("n"), F.round(F.sum("probability"), 0).cast("bigint").alias("expected")])
+
+
+@query("ebm_multiclass_features", f"""
+SELECT feature, bin, COUNT(*) FILTER (WHERE l_returnflag = 'A') AS a, COUNT(*) FILTER (WHERE l_returnflag = 'N') AS n,
+  COUNT(*) FILTER (WHERE l_returnflag = 'R') AS r FROM {BINS_SQL} GROUP BY 1, 2""")
+def _(spark, sf):
+    """The same for three classes."""
+    model = fit_additive(step_rows(spark, sf), "l_returnflag", ["l_discount", "status", "ship"], "multiclass", bags=1)
+    out = predict(step_rows(spark, sf), model)
+    return _per_bin(out, [F.round(F.sum(f"probability_{c}"), 0).cast("bigint").alias(c.lower()) for c in "ANR"])
+
+
+@query("ebm_stderr", """
+WITH o AS (SELECT o_orderpriority AS c, o_totalprice AS y, ('0x' || SUBSTR(MD5('bag|' || o_orderkey), 1, 8))::BIGINT % 8 AS bag FROM orders),
+r AS (SELECT c, bag, y - AVG(y) OVER (PARTITION BY c) AS e FROM o),
+g AS (SELECT c, bag, SUM(e) AS g, COUNT(*) AS h FROM r GROUP BY 1, 2),
+s AS (SELECT c, (SUM(g) OVER (PARTITION BY c) - g) / (SUM(h) OVER (PARTITION BY c) - h + 1e-3) AS shift FROM g)
+SELECT c AS category, ROUND(SQRT(VAR_POP(shift) * COUNT(*) * 7 / 8), 3) AS stderr FROM s GROUP BY 1""")
+def _(spark, sf):
+    """Standard errors of one feature's scores in the model's lookup table: a jackknife over eight bags of rows."""
+    from glasswork.sources.store import extract_lookup
+
+    rows = table(spark, sf, "orders")
+    model = fit_additive(rows, "o_totalprice", ["o_orderpriority"], "regression", keys=["o_orderkey"])
+    out = extract_lookup(spark, model).filter("category IS NOT NULL")
+    return out.select("category", F.round(F.col("stderr")[0], 3).alias("stderr"))
+
+
 # Two features: the least squares solution by Cramer's rule.
 OLS_SQL = """(WITH m AS (SELECT VAR_POP(l_quantity) AS vq, VAR_POP(l_discount) AS vd, COVAR_POP(l_quantity, l_discount) AS cqd,
   COVAR_POP(l_quantity, l_extendedprice) AS cq, COVAR_POP(l_discount, l_extendedprice) AS cd, AVG(l_quantity) AS aq,
