@@ -13,7 +13,7 @@ from glasswork.operators import clean, evaluate as ev, explain, profile, resampl
 from glasswork.operators.additive import fit_additive, target_classes
 from glasswork.operators.association import association
 from glasswork.operators.calibrate import calibrate
-from glasswork.operators.linear import fit_linear, fit_logistic, null_feature_rows
+from glasswork.operators.linear import FOLD_FEATURES, cross_fit_linear, fit_linear, fit_logistic, null_feature_rows
 from glasswork.operators.score import export_sql, predict, probability_columns
 from glasswork.operators.tree import fit_tree
 from glasswork.plans.options import Options
@@ -178,8 +178,13 @@ def run(df: DataFrame, config: dict, kind: str, keys) -> Run:
     def fit_fold(rows):
         return _fit_calibrated(rows, kind, options, features, keys, task, classes)
 
-    tested = cross_fit(train, fit_fold, options.time_series)
-    model, calibrator = _fit_calibrated(train, kind, options, features, keys, task, classes)
+    params = model_params(kind, fit_linear, options.model_params) if kind == "l_regression" and task == "regression" else None
+    if params is not None and len(features) <= FOLD_FEATURES and set(params) <= {"alpha"}:
+        calibrator = None
+        model, tested = cross_fit_linear(train, options.target, features, time_series=options.time_series, **params)
+    else:
+        tested = cross_fit(train, fit_fold, options.time_series)
+        model, calibrator = _fit_calibrated(train, kind, options, features, keys, task, classes)
     parts = [
         apply_model(train, model, calibrator).withColumn("data_type", F.lit("train")),
         tested.withColumn("data_type", F.lit("test")),

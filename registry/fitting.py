@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from glasswork.operators import calibrate as cal
 from glasswork.operators.additive import fit_additive
 from glasswork.operators.binning import bin_features, category_counts
-from glasswork.operators.linear import fit_linear, fit_logistic
+from glasswork.operators.linear import cross_fit_linear, fit_linear, fit_logistic
 from glasswork.operators.score import predict, probability_columns
 from glasswork.operators.splits import kfold
 from glasswork.operators.tree import fit_tree
@@ -230,6 +230,18 @@ def _(spark, sf):
     return rounded(out.select("o_orderkey", "prediction"), "prediction", digits=2)
 
 
+@query("cross_fit_linear", f"""
+WITH o AS (SELECT o_orderkey, o_custkey AS x, o_totalprice AS y, {FOLD} AS fold FROM orders),
+b AS (SELECT k, SIGN(c) * GREATEST(ABS(c) - 500, 0) / v AS s, ax, ay FROM (SELECT k, COVAR_POP(y, x) AS c, VAR_POP(x) AS v, AVG(x) AS ax, AVG(y) AS ay
+  FROM o, range(5) AS r(k) WHERE fold <> k GROUP BY k))
+SELECT o_orderkey, ROUND(ay + s * (x - ax), 2) AS prediction FROM o JOIN b ON k = fold""")
+def _(spark, sf):
+    """All folds of a penalised fit from one scan of products, predictions from a second one."""
+    rows = kfold(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_orderkey"])
+    _, out = cross_fit_linear(rows, "o_totalprice", ["o_custkey"], alpha=500.0)
+    return rounded(out.select("o_orderkey", "prediction"), "prediction", digits=2)
+
+
 @query("predict", """
 SELECT l_orderkey, l_linenumber, l_partkey, ROUND(1250.5 + 2047.25 * l_quantity - 815.5 * l_discount, 4) AS prediction FROM lineitem""")
 def _(spark, sf):

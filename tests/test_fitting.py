@@ -252,3 +252,48 @@ def test_run_gives_curves_per_fold(rows):
     assert len(curve) == 101 and curve[1.0]["mean"] == 1.0 and all(r["folds"] == 5 for r in curve.values())
     values = [curve[i / 100]["mean"] for i in range(101)]
     assert values == sorted(values) and abs(np.trapezoid(values, dx=0.01) - mean["mean_roc_auc"]) < 0.02
+
+
+@pytest.mark.parametrize("alpha", [0.0, 0.3])
+@pytest.mark.parametrize("time_series", [False, True])
+def test_folds_from_one_scan(spark, alpha, time_series):
+    """Each fold's predictions and the final model are those of separate fits; nulls and constants are handled alike."""
+    from glasswork.operators.linear import cross_fit_linear, fit_linear
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.2], [0, 0, 1]]) + [1000.0, -3.0, 0.0]
+    y = x @ [2.0, -1.0, 0.1] + rng.normal(size=600)
+    data = [(i, i % 4 if i % 97 else None, *map(float, r), float(v), 7.0) for i, (r, v) in enumerate(zip(x, y))]
+    data = [(d[0], d[1], None if d[0] % 50 == 0 else d[2], *d[3:]) for d in data]
+    df = spark.createDataFrame(data, "id int, fold int, a double, b double, c double, y double, one double")
+    features = ["a", "b", "c", "one"]
+    model, out = cross_fit_linear(df, "y", features, alpha=alpha, time_series=time_series)
+    got = {r["id"]: r["prediction"] for r in out.collect()}
+    folds = [1, 2, 3] if time_series else [0, 1, 2, 3]
+    assert set(got) == {d[0] for d in data if d[1] in folds}
+    assert all((got[i] is None) == (i % 50 == 0) for i in got)
+    for k in folds[:2]:
+        one = fit_linear(df.filter(F.col("fold") < k if time_series else F.col("fold") != k), "y", features, alpha=alpha, nulls="drop")
+        for r in predict(df.filter(F.col("fold") == k).dropna(), one).select("id", "prediction").collect():
+            assert got[r["id"]] == pytest.approx(r["prediction"], abs=2e-3)
+    whole = fit_linear(df.filter("fold IS NOT NULL"), "y", features, alpha=alpha, nulls="drop")
+    assert np.allclose(model.coefficients[0], whole.coefficients[0], atol=1e-3)
+    _, none = cross_fit_linear(df.limit(0), "y", features, alpha=alpha)
+    assert none.collect() == [] and "prediction" in none.columns
+
+
+def test_elastic_net_is_optimal():
+    """The gradient balances the penalty in every coefficient, and stays within it where one is 0."""
+    from glasswork.operators.linear import solve_products
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 4)) @ rng.normal(size=(4, 4)) + [50.0, 0, 0, -9]
+    y = x @ [1.5, 0.0, -0.4, 0.02] + rng.normal(size=500) + 3
+    shift = np.array([*x[:9].mean(0), y[:9].mean()])
+    z = np.column_stack([np.ones(500), x - shift[:-1], y - shift[-1]])
+    for alpha, ratio in ((0.4, 1.0), (0.7, 0.3), (1e9, 1.0)):
+        intercept, b = solve_products(shift, z.T @ z, alpha, ratio)
+        slope = (x - x.mean(0)).T @ (y - intercept - x @ b) / 500 - alpha * (1 - ratio) * b
+        assert abs((y - intercept - x @ b).mean()) < 1e-8
+        assert np.all(np.abs(slope) <= alpha * ratio * (1 + 1e-9) + 1e-8)
+        assert np.allclose(slope[b != 0], alpha * ratio * np.sign(b[b != 0]), atol=1e-7)
