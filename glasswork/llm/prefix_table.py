@@ -79,7 +79,7 @@ class PrefixTable:
             return re.compile(".+", re.DOTALL)
         group: dict[str, set] = {}
         for piece in bare:
-            if len(piece) > 1:
+            if len(piece) > 1 and not all(c in group.get(piece[0], ()) for c in piece):
                 linked = set(piece).union(*(group[c] for c in piece if c in group))
                 group.update(dict.fromkeys(linked, linked))
         kinds = sorted({id(g): g for g in group.values()}.values(), key=len, reverse=True)
