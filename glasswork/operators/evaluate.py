@@ -217,12 +217,21 @@ def fold_tables(df: DataFrame, y: str = "y", p: str = "p", fold: str = "fold", b
     }
 
 
-def calibration_curve(df: DataFrame, y: str = "y", p: str = "p", bins: int = 10, by=()) -> DataFrame:
-    """Mean score and share of positives in quantile bins of the score; empty bins are absent."""
+def calibration_curve(df: DataFrame, y: str = "y", p: str = "p", bins: int = 10, by=(), accuracy: int | None = None) -> DataFrame:
+    """Mean score and share of positives in quantile bins of the score; empty bins are absent.
+
+    Edges are exact and interpolated. With ``accuracy`` they come from mergeable
+    sketches instead, in one pass without ranks: each is a score whose rank is
+    off by at most ``rows / accuracy``.
+    """
     by = list(by)
     counts = score_counts(df, y, p, by)
     inner = [i / bins for i in range(1, bins)]
-    edges = quantile_edges(counts, "p", inner, by, weight="n")
+    if accuracy:
+        known = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull())
+        edges = known.groupBy(*by).agg(F.percentile_approx(F.col(p), inner, accuracy).alias("edges"))
+    else:
+        edges = quantile_edges(counts, "p", inner, by, weight="n")
     joined = counts.join(edges, by) if by else counts.withColumn("edges", edges.scalar())
     bin_no = count_below("edges", "p", bins - 1)
     return joined.groupBy(*by, bin_no.alias("bin")).agg(

@@ -194,6 +194,12 @@ def _(spark, sf):
     return rounded(ops.calibration_curve(scored(spark, sf)), "mean_predicted", "fraction_positive")
 
 
+@query("calibration_curve_sketch", calibration_sql(g="fold", name="fold").replace("quantile_cont", "quantile_disc"))
+def _(spark, sf):
+    """Edges from sketches that are large enough to be exact here."""
+    return rounded(ops.calibration_curve(scored(spark, sf), by=["fold"], accuracy=10_000_000), "mean_predicted", "fraction_positive")
+
+
 @query("calibration_curve_by_fold", calibration_sql(g="fold", name="fold"))
 def _(spark, sf):
     return rounded(ops.calibration_curve(scored(spark, sf), by=["fold"]), "mean_predicted", "fraction_positive")

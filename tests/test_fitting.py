@@ -297,3 +297,13 @@ def test_elastic_net_is_optimal():
         assert abs((y - intercept - x @ b).mean()) < 1e-8
         assert np.all(np.abs(slope) <= alpha * ratio * (1 + 1e-9) + 1e-8)
         assert np.allclose(slope[b != 0], alpha * ratio * np.sign(b[b != 0]), atol=1e-7)
+
+
+@pytest.mark.parametrize("accuracy", [20, 200])
+def test_sketched_edges_keep_their_error(spark, accuracy):
+    """Every edge's rank is within rows / accuracy of the wanted one, whatever the number of parts."""
+    df = spark.range(20_000).repartition(7).select((F.pmod(F.xxhash64("id"), F.lit(10**6)) / 1e6).alias("p"), (F.col("id") % 2).cast("int").alias("y"))
+    curve = sorted(ev.calibration_curve(df, accuracy=accuracy).collect(), key=lambda r: r["bin"])
+    below = np.cumsum([r["n"] for r in curve])
+    assert len(curve) == 10 and below[-1] == 20_000
+    assert all(abs(n - 2_000 * (i + 1)) <= 20_000 / accuracy + 1 for i, n in enumerate(below[:-1]))
