@@ -80,6 +80,20 @@ def test_oversample_spreads_one_row(spark):
     assert {r["count"] for r in sizes} == {30000}
 
 
+@pytest.mark.parametrize("rows", [0, 1, 7, 60, 95, 100, 150])
+def test_holdout_takes_the_last_rows(spark, rows):
+    """Against sorting: hot and null times, ties by hash, and more rows than there are times."""
+    import hashlib
+
+    data = [(i, None if i % 20 == 0 else 5.0 if i % 3 else float(i % 11)) for i in range(100)]
+    df = spark.createDataFrame(data, "id int, t double")
+    order = sorted(data, key=lambda r: (r[1] is not None, r[1] or 0.0, hashlib.md5(f"42|{r[0]}".encode()).hexdigest()))
+    want = {i for i, _ in order[len(order) - min(rows, len(order)):]} if rows else set()
+    out = splits.oot_holdout(df, "t", ["id"], rows)
+    assert out.columns == ["id", "t", "is_oot"]
+    assert {r["id"] for r in out.filter("is_oot").collect()} == want and out.count() == 100
+
+
 def test_nearest_is_exact(spark):
     rng = np.random.default_rng(7)
     x = np.vstack([rng.normal(size=(300, 3)), rng.normal(size=(100, 3)) * 0.01 + 5, rng.uniform(-50, 50, size=(50, 3))])
