@@ -6,6 +6,8 @@ tokenizing) and joined with ``bytes.join`` is far cheaper than work per word.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterable
 
@@ -13,6 +15,8 @@ import numpy as np
 import xxhash
 
 CACHE_PIECES = 500_000
+# Hashes are quick to make again, so fewer are kept.
+HASHED_PIECES = 150_000
 LONGEST_CACHED = 64
 _WORD = re.compile(r"[^\W_]+")
 
@@ -47,14 +51,25 @@ class PieceCache(dict):
 _TOOL: dict = {}
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+
 def tool(key: tuple, make: Callable):
     """What a Python worker keeps between tasks under ``key``; only the last one asked for.
 
-    A worker serves many stages. Dropping the tool of the one before keeps its
-    memory at one set of caches.
+    A worker serves many stages. Dropping the tool of the one before, cycles
+    included, keeps its memory at one set of caches.
     """
     if key not in _TOOL:
         _TOOL.clear()
+        gc.collect()
+        _give_back()
         _TOOL[key] = make()
     return _TOOL[key]
 
@@ -72,7 +87,7 @@ def word_hash(word: str) -> int:
 class WordHasher:
     """64-bit hashes of the words of a text (see ``words_of``), in order."""
 
-    def __init__(self, limit: int = CACHE_PIECES):
+    def __init__(self, limit: int = HASHED_PIECES):
         self.cache = PieceCache(self._make, limit)
 
     @staticmethod
