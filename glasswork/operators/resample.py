@@ -30,7 +30,9 @@ def _spread(df: DataFrame, count, name: str) -> DataFrame:
     """Explode ``name`` = 0..count-1, moving chunks of large counts to other tasks first."""
     chunks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((count - 1) / CHUNK)))
     out = df.withColumn("_count", count).filter("_count > 0").withColumn("_chunk", chunks)
-    out = out.repartition("_chunk", *[c for c in df.columns if c in ("_point", "_row")])
+    # With a number of its own: the rows are few before they are copied, so Spark would put them all in one task.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = out.repartition(parts, "_chunk", *[c for c in df.columns if c in ("_point", "_row")])
     low = F.col("_chunk") * CHUNK
     steps = F.sequence(low, F.least(low + CHUNK, F.col("_count")) - 1)
     return out.withColumn(name, F.explode(steps)).drop("_chunk", "_count")
@@ -66,6 +68,14 @@ def _most_frequent(array: str, field: str):
     return F.array_min(F.transform(F.array_distinct(seen), counted))["v"]
 
 
+def _category_costs(df: DataFrame, target: str, nums) -> DataFrame:
+    """Rows (target, ``_cost``): the squared median deviation of the numeric features per class, summed up before the shuffle."""
+    middle = F.array_sort(F.array(*[F.stddev_pop(f) for f in nums]))
+    half = len(nums) // 2
+    med = middle[half] if len(nums) % 2 else (middle[half - 1] + middle[half]) / F.lit(2.0)
+    return df.groupBy(target).agg((med * med).alias("_cost"))
+
+
 def smote(df: DataFrame, target: str, features, cats=(), k: int = 5, seed: int = 42,
           block: int = BLOCK) -> DataFrame:
     """Synthetic rows (target, features) that bring every class to the majority count.
@@ -90,12 +100,7 @@ def smote(df: DataFrame, target: str, features, cats=(), k: int = 5, seed: int =
     base = base.withColumn("_new", even + extra)
     cost = None
     if cats:
-        spread = [F.stddev_pop(f) for f in nums]
-        middle = F.array_sort(F.array(*spread))
-        half = len(nums) // 2
-        med = middle[half] if len(nums) % 2 else (middle[half - 1] + middle[half]) / F.lit(2.0)
-        costs = df.join(poor.select(target), target).groupBy(target).agg((med * med).alias("_cost"))
-        base, cost = base.join(costs, target), "_cost"
+        base, cost = base.join(_category_costs(df, target, nums), target), "_cost"
     # Read five times below, so the distinct points are written once.
     base = cut_lineage(base)
     near = nearest(base, "_point", nums, k, [target], cats, cost, block)

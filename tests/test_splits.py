@@ -168,3 +168,21 @@ def test_upsample_falls_back(spark):
     assert {r["count"] for r in out.groupBy("y").count().collect()} == {30}
     assert {r["x"] for r in out.filter("y = 1").collect()} == {1.0, 2.0}
     assert resample.upsample(df, "y", ["x"], ["x"], "regression").count() == 32
+
+
+def test_category_costs_move_no_rows(spark):
+    """The deviations of a class are summed where its rows are: no join takes the rows of a large class to one task."""
+    rng = np.random.default_rng(7)
+    rows = [(int(i % 10 == 0), *map(float, p)) for i, p in enumerate(rng.normal(size=(500, 3)) * [1, 2, 3])]
+    costs = resample._category_costs(spark.createDataFrame(rows, "y int, a double, b double, c double"), "y", ["a", "b", "c"])
+    assert "Join" not in costs._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["y"]: r["_cost"] for r in costs.collect()}
+    for y in (0, 1):
+        assert np.isclose(got[y], np.median(np.std([r[1:] for r in rows if r[0] == y], axis=0)) ** 2)
+
+
+def test_copies_are_made_by_several_tasks(spark):
+    rows = [(0, float(i)) for i in range(2000)] + [(1, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "y int, x double")
+    for out in (resample.smote(df, "y", ["x"]), resample.random_oversample(df, "y", ["y", "x"])):
+        assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
