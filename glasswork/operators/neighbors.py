@@ -7,6 +7,9 @@ Which ones these are is found by a join down two trees of boxes, level by
 level: a pair of nodes is opened only if some point of the one may have a
 neighbour in the other. The bound makes the result exact, whatever the curve
 does. A task holds two blocks at a time, whatever the size of a group.
+
+Equal rows of a group are one point that holds its smallest keys, so copies at
+distance zero fill no blocks and are not compared with each other.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from glasswork.operators.ranks import row_positions
 from glasswork.sources.checkpoint import cut_lineage
@@ -82,8 +85,38 @@ def nearest(df: DataFrame, key: str, axes, k: int = 5, by=(), cats=(), cost: str
     ``cost`` (a column, equal inside a group) each. ``key`` is unique.
     """
     by, axes, cats = list(by), list(axes), list(cats)
+    spot = [f"_a{i}" for i in range(len(axes))] + [f"_c{i}" for i in range(len(cats))]
+    rows = df.select(*by, F.col(key).alias("_id"), *[F.col(a).cast("double").alias(n) for a, n in zip(axes, spot)], *[
+        F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in zip(cats, spot[len(axes):])],
+        (F.col(cost) if cost else F.lit(0.0)).alias("_cost"))
+    # Of a point's rows only the k + 1 smallest keys can be a neighbour of any row; the limit holds before the shuffle.
+    place = F.row_number().over(W.partitionBy(*by, *spot).orderBy("_id"))
+    few = rows.withColumn("_place", place).filter(F.col("_place") <= k + 1)
+    points = few.groupBy(*by, *spot).agg(F.first("_cost").alias("_cost"), F.array_sort(F.collect_list("_id")).alias("_ids"))
+    points = cut_lineage(points.withColumn("_id", F.get("_ids", F.lit(0))))
+    # A row before a neighbour by (distance, key) has a point before it by (distance, smallest key), so k points are enough.
+    near = _nearest_points(points, "_id", spot[: len(axes)], k, by, spot[len(axes):], "_cost", block)
+    met = near.select(F.col("_id").alias("_of"), F.explode("neighbors").alias("_nb")).select(
+        "_of", "_nb.distance", F.col("_nb.id").alias("_id")).join(points.select("_id", "_ids"), "_id")
+    met = met.groupBy("_of").agg(F.collect_list(F.struct("distance", "_ids")).alias("_met"))
+    # A row that is not finite has no distance to its copies either.
+    finite = reduce(Column.__and__, [F.abs(F.col(n)) < float("inf") for n in spot[: len(axes)]])
+    own = F.when(finite, F.array(F.struct(F.lit(0.0).alias("distance"), "_ids")))
+    parts = F.concat(*[F.coalesce(c, F.array().cast(met.schema["_met"].dataType)) for c in (own, F.col("_met"))])
+    pairs = F.flatten(F.transform(parts, lambda p: F.transform(
+        p["_ids"], lambda i: F.struct(p["distance"].alias("distance"), i.alias("id")))))
+    listed = points.withColumnRenamed("_id", "_of").join(met, "_of", "left").select(
+        *by, *spot, F.slice(F.array_sort(pairs), 1, k + 1).alias("_list"))
+    listed = listed.select(*[F.col(c).alias(f"_p{c}") for c in (*by, *spot)], "_list")
+    on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_p{c}")) for c in (*by, *spot)])
+    others = F.slice(F.filter("_list", lambda s: s["id"] != F.col("_id")), 1, k)
+    return rows.join(listed, on).select(*by, F.col("_id").alias(key), others.alias("neighbors"))
+
+
+def _nearest_points(df: DataFrame, key: str, axes, k: int, by, cats, cost: str, block: int) -> DataFrame:
+    """What ``nearest`` returns, for rows that all differ."""
     pts = df.select(*by, F.col(key).alias("id"), *[F.col(a).cast("double").alias(a) for a in axes], *cats,
-                    (F.col(cost) if cost else F.lit(0.0)).alias("cost"))
+                    F.col(cost).alias("cost"))
     span = pts.agg(*[f(a).alias(f"{n}{i}") for i, a in enumerate(axes) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     if span["lo0"] is None:
         return df.limit(0).select(*by, key, F.array(F.struct(F.lit(0.0).alias("distance"), F.col(key).alias("id"))).alias("neighbors"))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glasswork.operators import ranks, resample, splits
+from glasswork.operators import neighbors, ranks, resample, splits
 from glasswork.operators.neighbors import nearest
 
 
@@ -186,3 +186,19 @@ def test_copies_are_made_by_several_tasks(spark):
     df = spark.createDataFrame(rows, "y int, x double")
     for out in (resample.smote(df, "y", ["x"]), resample.random_oversample(df, "y", ["y", "x"])):
         assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_nearest_among_copies(spark, monkeypatch):
+    """Rows that repeat many times: the SQL answer, ties by key, and no more work than for the rows that differ."""
+    rng = np.random.default_rng(13)
+    spots = [("g", 0.0, 0.0, "u"), ("g", 0.0, 0.0, None), ("g", 3.0, 4.0, "u"), ("h", 1.0, 1.0, "v"), (None, 2.0, 2.0, "u")]
+    rows = [(i, *spots[j]) for i, j in enumerate(rng.permutation([0] * 150 + [1] * 3 + [2] * 2 + [3] + [4] * 9))]
+    df = spark.createDataFrame(rows, "id long, g string, a double, b double, c string")
+    compared, find = [], neighbors._nearest_points
+    monkeypatch.setattr(neighbors, "_nearest_points", lambda points, *rest: (compared.append(points.count()), find(points, *rest))[1])
+    got = {r["id"]: [(n["distance"], n["id"]) for n in r["neighbors"]]
+           for r in nearest(df.withColumn("cost", F.lit(4.0)), "id", ["a", "b"], 4, ["g"], ["c"], "cost", block=4).collect()}
+    assert compared == [5] and len(got) == len(rows)
+    for i, g, a, b, c in rows:
+        others = sorted((float(np.sqrt((a - r[2]) ** 2 + (b - r[3]) ** 2 + 4.0 * (c != r[4]))), r[0]) for r in rows if r[0] != i and r[1] == g)
+        assert got[i] == others[:4]
