@@ -6,18 +6,26 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from glasswork.functions.scoring import index_text
 from glasswork.models import category_axis, numeric_axis
+from glasswork.operators.ranks import discrete_quantiles
 
 MAX_BINS = 64
 ACCURACY = 20_000
+# A sketch keeps up to so many values; past this it costs more than counting the distinct values.
+SKETCH_ACCURACY = 100_000
 # Categories become model rows and SQL branches; past this the column is no category.
 MAX_CATEGORIES = 100_000
 
 
 def numeric_cuts(df: DataFrame, features, max_bins: int = MAX_BINS, accuracy: int = ACCURACY) -> dict[str, list[float]]:
-    """Cut points per numeric feature from one pass of mergeable quantile sketches."""
+    """Cut points per numeric feature from one pass of mergeable quantile sketches, exact above ``SKETCH_ACCURACY``."""
     if not features:
         return {}
     probs = [i / max_bins for i in range(1, max_bins)]
+    if accuracy > SKETCH_ACCURACY:
+        pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
+        edges = discrete_quantiles(df.select(F.explode(pairs).alias("s")).select("s.*"), "value", [*probs, 1.0], ["feature"])
+        found = {r["feature"]: r["edges"] for r in edges.collect()}
+        return {f: sorted({q for q in found[f][:-1] if q < found[f][-1]}) if f in found else [] for f in features}
     row = df.agg(*[
         F.struct(F.percentile_approx(F.col(f).cast("double"), probs, accuracy).alias("q"), F.max(F.col(f).cast("double")).alias("top"))
         .alias(f) for f in features]).first()

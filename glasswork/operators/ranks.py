@@ -209,6 +209,23 @@ def quantiles(df: DataFrame, value: str, probs, by=(), weight: str | None = None
     )
 
 
+def discrete_quantiles(df: DataFrame, value: str, probs, by=()) -> DataFrame:
+    """One row per group with ``edges``: for every probability p the value at rank ceil(p * rows), exact.
+
+    Rows collapse to counts of distinct values before the shuffle. Nulls do not count.
+    """
+    by = list(by)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = prefix_sums(counts, value, ["_n"], by)
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.greatest(F.ceil(F.lit(float(p)) * F.col("_n_total")), F.lit(1)).alias("rank"))
+                      for i, p in enumerate(probs)])
+    before = F.col("_n_before")
+    held = F.filter(ranks, lambda r: (r["rank"] > before) & (r["rank"] <= before + F.col("_n")))
+    hits = placed.select(*by, value, F.explode(held).alias("_hit"))
+    pairs = F.sort_array(F.collect_list(F.struct("_hit.i", F.col(value).alias("v"))))
+    return hits.groupBy(*by).agg(F.transform(pairs, lambda s: s["v"]).alias("edges"))
+
+
 def quantile_edges(df: DataFrame, value: str, probs, by=(), weight: str | None = None) -> DataFrame:
     """One row per group with ``edges``: the quantiles in probability order."""
     rows = quantiles(df, value, probs, by, weight)

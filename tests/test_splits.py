@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glasswork.operators import neighbors, ranks, resample, splits
+from glasswork.operators import binning, neighbors, ranks, resample, splits
 from glasswork.operators.neighbors import nearest
 
 
@@ -202,3 +202,16 @@ def test_nearest_among_copies(spark, monkeypatch):
     for i, g, a, b, c in rows:
         others = sorted((float(np.sqrt((a - r[2]) ** 2 + (b - r[3]) ** 2 + 4.0 * (c != r[4]))), r[0]) for r in rows if r[0] != i and r[1] == g)
         assert got[i] == others[:4]
+
+
+def test_discrete_quantiles_and_fine_cuts(hot, spark):
+    """The value at rank ceil(p * rows), with hot values, groups, nulls and a column of nulls alone."""
+    probs = [0.0, 0.001, 0.125, 0.5, 0.7, 0.9999, 1.0]
+    df = hot.select("y", F.when(F.col("id") % 11 > 0, F.col("t")).cast("double").alias("t"), F.lit(None).cast("double").alias("none"))
+    got = {r["y"]: r["edges"] for r in ranks.discrete_quantiles(df, "t", probs, ["y"]).collect()}
+    rows = df.filter("t IS NOT NULL").collect()
+    for y in {r["y"] for r in rows}:
+        values = sorted(r["t"] for r in rows if r["y"] == y)
+        assert got[y] == [values[max(1, int(np.ceil(p * len(values)))) - 1] for p in probs]
+    exact = binning.numeric_cuts(df, ["t", "none"], 64, 10_000_000)
+    assert exact == binning.numeric_cuts(df, ["t", "none"], 64, binning.SKETCH_ACCURACY) and exact["none"] == []
