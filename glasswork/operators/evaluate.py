@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from glasswork.operators.ranks import count_below, prefix_sums, quantile_edges, quantiles
+from glasswork.operators.binning import SKETCH_ACCURACY
+from glasswork.operators.ranks import count_below, discrete_quantiles, prefix_sums, quantile_edges, quantiles
 from glasswork.sources.checkpoint import cut_lineage
 
 THRESHOLDS = 21
@@ -222,14 +223,16 @@ def calibration_curve(df: DataFrame, y: str = "y", p: str = "p", bins: int = 10,
 
     Edges are exact and interpolated. With ``accuracy`` they come from mergeable
     sketches instead, in one pass without ranks: each is a score whose rank is
-    off by at most ``rows / accuracy``.
+    off by at most ``rows / accuracy``. Above ``SKETCH_ACCURACY`` they are the
+    scores at those ranks, from counts.
     """
     by = list(by)
     counts = score_counts(df, y, p, by)
     inner = [i / bins for i in range(1, bins)]
     if accuracy:
         known = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull())
-        edges = known.groupBy(*by).agg(F.percentile_approx(F.col(p), inner, accuracy).alias("edges"))
+        edges = (known.groupBy(*by).agg(F.percentile_approx(F.col(p), inner, accuracy).alias("edges"))
+                 if accuracy <= SKETCH_ACCURACY else discrete_quantiles(known, p, inner, by))
     else:
         edges = quantile_edges(counts, "p", inner, by, weight="n")
     joined = counts.join(edges, by) if by else counts.withColumn("edges", edges.scalar())

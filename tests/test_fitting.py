@@ -307,3 +307,11 @@ def test_sketched_edges_keep_their_error(spark, accuracy):
     below = np.cumsum([r["n"] for r in curve])
     assert len(curve) == 10 and below[-1] == 20_000
     assert all(abs(n - 2_000 * (i + 1)) <= 20_000 / accuracy + 1 for i, n in enumerate(below[:-1]))
+
+
+def test_fine_calibration_edges_take_no_sketch(spark):
+    """Edges of a high accuracy are the scores at the wanted ranks, and no sketch of all rows is built."""
+    df = spark.range(2_000).select((F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") % 100 / 100).alias("p"))
+    curve = ev.calibration_curve(df, accuracy=10_000_000)
+    assert "10000000" not in curve._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["bin"], r["n"]) for r in sorted(curve.collect(), key=lambda r: r["bin"])] == [(i, 200) for i in range(10)]
