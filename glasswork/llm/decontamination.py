@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from glasswork.llm.inputs import importable, texts
-from glasswork.llm.pieces import WordHasher, mix, shingles, tool, weighted, weighted_jaccard
+from glasswork.llm.pieces import hashed_words, mix, shingles, tool, weighted, weighted_jaccard
 
 RADIUS = 7
 SIMILARITY = 0.8
 BLOCK_CHARS = 4_000_000
-_BATCH_WORDS = 1 << 15
+# Characters searched at once: the planes of their words stay in the caches of a core.
+_BATCH_CHARS = 1 << 16
 _ONE, _ALL = np.uint64(1), np.uint64(2**64 - 1)
 
 
@@ -158,9 +159,13 @@ class ItemIndex:
     """Benchmark items by window size, ready to search documents."""
 
     def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY):
-        self.hasher, self.similarity = WordHasher(), similarity
-        self.items = [(i, h) for i, text in items if len(h := self.hasher(text or ""))]
+        self.similarity = similarity
+        self.items = [(i, h) for i, text in items if len(h := hashed_words([text or ""])[0])]
+        self.words = np.array([len(h) for _, h in self.items], np.int64)
         self.profiles = [weighted(shingles(h)) for _, h in self.items]
+        runs = np.concatenate([np.zeros(0, np.uint64), *[p[0] for p in self.profiles]])
+        self.known = np.zeros(1 << max(16, (16 * len(runs)).bit_length()), bool)
+        self.known[runs & np.uint64(len(self.known) - 1)] = True
         listed: dict[int, list] = {}
         for number, (_, h) in enumerate(self.items):
             size = grid_size(common_run(len(h), similarity))
@@ -173,38 +178,47 @@ class ItemIndex:
 
     def search(self, found: list[str]) -> Iterator[tuple[int, int, int, float]]:
         """(text number, item number, start word, similarity), the best window per text and item."""
-        hashes, a = [], 0
+        a = chars = 0
         for k, text in enumerate(found):
-            hashes.append(self.hasher(text))
-            if k == len(found) - 1 or sum(map(len, hashes)) >= _BATCH_WORDS:
-                for t, item, start, s in self._search(hashes):
+            chars += len(text)
+            if k == len(found) - 1 or chars >= _BATCH_CHARS:
+                for t, item, start, s in self._search(*hashed_words(found[a: k + 1])):
                     yield a + t, item, start, s
-                hashes, a = [], k + 1
+                a, chars = k + 1, 0
 
-    def _search(self, hashes: list[np.ndarray]) -> Iterator[tuple[int, int, int, float]]:
-        lengths = np.array([len(h) for h in hashes])
-        ends = np.cumsum(lengths)
-        words = np.concatenate(hashes)
+    def _hopeful(self, words: np.ndarray, first: np.ndarray, length: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which windows can reach the similarity: at most their shingles that some item has are in common."""
+        runs = self.known[shingles(words) & np.uint64(len(self.known) - 1)]
+        upto = np.concatenate([[0], np.cumsum(runs)])
+        common = upto[np.minimum(first + length - 4, len(runs))] - upto[np.minimum(first, len(runs))]
+        most = common / np.maximum(1, length - 4 + self.words[item] - 4 - common)
+        return (most >= self.similarity - 1e-9) | (length < 5) | (self.words[item] < 5)
+
+    def _search(self, words: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         if len(words) == 0:
             return
+        ends = np.cumsum(lengths)
         left = np.repeat(ends, lengths) - np.arange(len(words))  # words from here to the end of the text
-        owner = np.repeat(np.arange(len(hashes)), lengths)
-        windows, best = Windows(words), {}
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        windows, spots = Windows(words), []
         for size, (index, numbers, offsets) in self.sizes.items():
             places = np.flatnonzero(left >= size)
             if len(places) == 0:
                 continue
             query, entry = index.search(windows.fingerprints(size)[places])
-            spots = {(int(t), int(numbers[e]), int(p) - int(offsets[e]) - int(ends[t] - lengths[t]))
-                     for t, p, e in zip(owner[places[query]], places[query], entry)}
-            for t, item, start in sorted(spots):
-                n = len(self.items[item][1])
-                start = max(0, min(start, len(hashes[t]) - n))
-                s = weighted_jaccard(weighted(shingles(hashes[t][start: start + n])), self.profiles[item])
-                if s >= self.similarity and s > best.get((t, item), (0, 0.0))[1]:
-                    best[t, item] = (start, s)
-        for (t, item), (start, s) in sorted(best.items()):
-            yield t, item, start, s
+            t, item = owner[places[query]], numbers[entry]
+            start = places[query] - offsets[entry] - (ends - lengths)[t]
+            spots.append(np.stack([t, item, np.maximum(0, np.minimum(start, lengths[t] - self.words[item]))]))
+        t, item, start = np.unique(np.concatenate([np.zeros((3, 0), np.int64), *spots], 1), axis=1)
+        first, length = start + (ends - lengths)[t], np.minimum(self.words[item], lengths[t])
+        best = {}
+        for i in np.flatnonzero(self._hopeful(words, first, length, item)):
+            key = int(t[i]), int(item[i])
+            s = weighted_jaccard(weighted(shingles(words[first[i]: first[i] + length[i]])), self.profiles[key[1]])
+            if s >= self.similarity and s > best.get(key, (0, 0.0))[1]:
+                best[key] = (int(start[i]), s)
+        for key, (at, s) in sorted(best.items()):
+            yield *key, at, s
 
 
 _BLOCKS = count()

@@ -9,7 +9,9 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
+import sys
 from collections.abc import Callable, Iterable
+from functools import cache
 
 import numpy as np
 import xxhash
@@ -19,6 +21,9 @@ CACHE_PIECES = 500_000
 HASHED_PIECES = 150_000
 LONGEST_CACHED = 64
 _WORD = re.compile(r"[^\W_]+")
+# Letters whose sums are taken at once, and the numbers of the polynomial.
+_STRETCH = 1 << 16
+_BASE, _STEP = 0xD1342543DE82EF95, np.uint64(0x9E3779B97F4A7C15)
 
 
 class PieceCache(dict):
@@ -98,6 +103,62 @@ class WordHasher:
         return np.frombuffer(self.cache.join(text.split(" ")), "<u8")
 
 
+@cache
+def _letters(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every code point below ``size``: whether it belongs to words, and a 64-bit value of its own."""
+    kinds = np.fromiter(map(str.isalnum, map(chr, range(size))), bool, size)
+    return kinds, mix(np.arange(1, size + 1, dtype=np.uint64) * _STEP)
+
+
+@cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        powers = np.full(size, base, np.uint64)
+        powers[0] = 1
+        out.append(np.multiply.accumulate(powers))
+    return out[0], out[1]
+
+
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (see ``words_of``) of all texts in order, and how many words each text has.
+
+    A word's hash is a polynomial in its letters, taken from running sums over
+    the letters of all texts, so no word becomes an object of its own. Words of
+    more than ``LONGEST_CACHED`` letters, where such polynomials can be made to
+    collide, are hashed one by one.
+    """
+    low = [t.lower() for t in texts]
+    joined = "\n".join(low)
+    if joined.isascii():
+        codes, (kinds, values) = np.frombuffer(joined.encode(), np.uint8), _letters(128)
+    else:
+        codes, (kinds, values) = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4"), _letters(sys.maxunicode + 1)
+    hashes, places, a = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while a < len(codes):
+        # A stretch ends behind a character between words, or grows until there is one.
+        width = _STRETCH
+        while a + width < len(codes) and not len(stops := np.flatnonzero(~kinds[codes[a: a + width]])):
+            width *= 2
+        b = a + int(stops[-1]) + 1 if a + width < len(codes) else len(codes)
+        inside = np.zeros(b - a + 2, np.int8)
+        inside[1:-1] = kinds[codes[a:b]]
+        edges = np.flatnonzero(np.diff(inside))
+        first, end = edges[::2], edges[1::2]
+        up, down = _powers(1 << max(16, (b - a - 1).bit_length()))
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(values[codes[a:b]] * up[: b - a], out=sums[1:])
+        h = mix((sums[end] - sums[first]) * down[first])
+        for i in np.flatnonzero(end - first > LONGEST_CACHED):
+            h[i] = word_hash(joined[a + first[i]: a + end[i]])
+        hashes.append(h)
+        places.append(first + a)
+        a = b
+    bounds = np.cumsum([0, *[len(t) + 1 for t in low]])
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(places), bounds))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers (the splitmix64 finalizer)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -10,7 +10,8 @@ from hypothesis import given, settings, strategies as st
 from glasswork.llm import near_duplicates as nd, queries
 from glasswork.llm.components import connected_components
 from glasswork.llm.decontamination import HammingIndex, ItemIndex, Windows, drop_contaminated, find_items, grid_size
-from glasswork.llm.pieces import mix, words_of
+from glasswork.llm import pieces
+from glasswork.llm.pieces import hashed_words, mix, words_of
 
 
 def grams(text):
@@ -244,3 +245,46 @@ def test_one_word_changed_at_each_place(lengths):
         want = {0} | {k + 1 for k, c in enumerate(copies) if similar(grams(" ".join(item)), grams(" ".join(c))) >= 0.8}
         got = list(ItemIndex([(7, " ".join(item))]).search(texts))
         assert {t for t, *_ in got} == want, n
+
+
+@given(st.lists(st.text(alphabet="aBcÀΣσßİ中9_ .\n\t-", max_size=60), max_size=6), st.sampled_from([4, 64, 1 << 16]))
+@settings(max_examples=150, deadline=None)
+def test_hashed_words_are_the_words(found, stretch):
+    """Equal words and only those have equal hashes, wherever texts and stretches are cut."""
+    before, pieces._STRETCH = pieces._STRETCH, stretch
+    try:
+        hashes, lengths = hashed_words(found)
+    finally:
+        pieces._STRETCH = before
+    words = [w for t in found for w in words_of(t)]
+    assert lengths.tolist() == [len(words_of(t)) for t in found] and len(hashes) == len(words)
+    assert len(set(zip(words, hashes.tolist()))) == len(set(words)) == len(set(hashes.tolist()))
+
+
+def test_hashed_words_long_and_foreign():
+    long = ["a" * 64, "a" * 65, "b" * 65, "ab" * 50_000, "é" + "ab" * 50_000]
+    text = " ".join([*long, "word"])
+    hashes, lengths = hashed_words(["word", text, ""])
+    assert lengths.tolist() == [1, 6, 0] and hashes[0] == hashes[-1] and len(set(hashes.tolist())) == 6
+    assert hashed_words(["Word"])[0][0] == hashes[0]
+
+
+def test_search_makes_no_word_and_verifies_few_windows(monkeypatch):
+    """Words are not hashed one by one, and windows that cannot be similar enough are not compared."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=26))) for i in range(100)]
+    texts = [" ".join(rng.choices(vocabulary, k=2000)) for _ in range(20)]
+    texts[3] += " " + items[7][1]
+    calls = Counter()
+
+    def counted(name, fn):
+        monkeypatch.setattr(name, lambda *a: (calls.update([name]), fn(*a))[1])
+
+    from glasswork.llm import decontamination as dc
+
+    counted("glasswork.llm.pieces.word_hash", pieces.word_hash)
+    counted("glasswork.llm.decontamination.weighted_jaccard", dc.weighted_jaccard)
+    assert list(ItemIndex(items).search(texts)) == [(3, 7, 2000, 1.0)]
+    assert calls["glasswork.llm.pieces.word_hash"] == 0
+    assert calls["glasswork.llm.decontamination.weighted_jaccard"] <= 5
