@@ -4,9 +4,10 @@ Equal vectors are one node, so a vector that a third of all rows share is no
 hub. Random sign buckets give every node first neighbours. Then each round joins
 every node's neighbours, and a bounded sample of the nodes it is a neighbour of,
 with their vectors; all of them are compared with each other, as neighbours of
-neighbours, and every node keeps its nearest.
+neighbours, and every node keeps its nearest. Only pairs that are nearer than the
+farthest neighbour of a full list leave a hood, since no other can improve it.
 
-A query starts from its own node and from entry points all over the table, and
+A query starts from its own node and from some entry points all over the table, and
 walks the graph greedily: it expands the nearest nodes that it has not expanded
 yet and keeps the nearest it has met, until none of those is left to expand. All
 queries walk together, one Spark job per step. Every node also has some links to
@@ -23,14 +24,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from glasswork.llm.inputs import importable, written
 
-NEIGHBOURS = 20
-REVERSE = 10
+NEIGHBOURS = 40
+REVERSE = 20
 ROUNDS = 4
 TABLES = 3
 BUCKET = 64
-BEAM = 1024
-EXPAND = 256
-# Entry points: so many, and more as the root of the number of nodes grows.
+# A list this long leads a walk to its neighbours; the fewer nodes a step expands, the fewer it expands in vain.
+BEAM = 384
+EXPAND = 64
+# Entry points of a walk, however many nodes there are.
 ENTRIES = 32
 # Links of a node to nodes at random, on average.
 LONG = 4
@@ -87,10 +89,14 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _nearest_of_all(table: pa.Table, keep: int) -> pa.Table:
-    """Rows (hood, node, vec) to each member's ``keep`` nearest in its hood. A hood is bounded, a table holds some of them."""
+    """Rows (hood, node, vec) to each member's ``keep`` nearest in its hood. A hood is bounded, a table holds some of them.
+
+    With a column ``reach``, the members nearer than that instead, however many they are; null takes all.
+    """
     hood, node = table["hood"].to_numpy(), table["node"].to_numpy()
     order = np.argsort(hood, kind="stable")
     vec, node = _matrix(table["vec"].combine_chunks())[order], node[order]
+    reach = table["reach"].fill_null(np.inf).to_numpy()[order] if "reach" in table.column_names else None
     cuts = np.flatnonzero(np.diff(hood[order], prepend=hood[order][0] - 1)) if len(order) else np.zeros(0, int)
     out = []
     for a, b in zip(cuts, np.append(cuts[1:], len(order))):
@@ -98,6 +104,10 @@ def _nearest_of_all(table: pa.Table, keep: int) -> pa.Table:
             continue
         d = _distances(vec[a:b], vec[a:b])
         np.fill_diagonal(d, np.inf)
+        if reach is not None:
+            one, other = np.nonzero(d < reach[a:b, None])
+            out.append((node[a:b][one], node[a:b][other], d[one, other]))
+            continue
         k = min(keep, b - a - 1)
         near = np.argpartition(d, k - 1, 1)[:, :k]
         out.append((np.repeat(node[a:b], k), node[a:b][near].ravel(), np.take_along_axis(d, near, 1).ravel()))
@@ -121,7 +131,7 @@ def _keep_nearest(table: pa.Table, keep: int) -> pa.Table:
 
 
 def _hoods(packed: DataFrame, members: DataFrame, keep: int, blocks: int) -> DataFrame:
-    """Compare the members (hood, node) of every hood with each other."""
+    """Compare the members (hood, node) of every hood with each other; see ``_nearest_of_all``."""
     rows = members.join(packed, "node").withColumn("block", F.pmod(F.xxhash64("hood"), F.lit(blocks)))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -182,6 +192,12 @@ def with_reverse(graph: DataFrame, reverse: int) -> DataFrame:
     return graph.select("src", "dst").unionAll(back.select("src", "dst")).distinct()
 
 
+def with_reach(packed: DataFrame, graph: DataFrame, keep: int) -> DataFrame:
+    """Packed vectors with ``reach``: the distance of the farthest neighbour of a node whose list is full."""
+    full = F.when(F.count("dst") >= keep, F.max("dist"))
+    return packed.join(graph.groupBy(F.col("src").alias("node")).agg(full.alias("reach")), "node", "left")
+
+
 def long_links(packed: DataFrame, n: int, each: int = LONG) -> DataFrame:
     """Rows (src, dst): about ``each`` nodes at random for every node, from groups of about ``each + 1`` by a hash."""
     hood = F.pmod(F.xxhash64("node", F.lit("long")), F.lit(max(1, n // (each + 1))))
@@ -191,7 +207,7 @@ def long_links(packed: DataFrame, n: int, each: int = LONG) -> DataFrame:
 
 def starts(queries: DataFrame, packed: DataFrame, n: int, entries: int = ENTRIES) -> DataFrame:
     """Rows (query, node): every query's own node, whose links lead to its neighbours, and entry points common to all."""
-    stride = max(1, n // max(entries, int(n**0.5)))
+    stride = max(1, n // entries)
     common = packed.filter(F.pmod(F.xxhash64("node"), F.lit(stride)) == 0).select("node")
     return queries.select("query", F.col("query").alias("node")).unionAll(
         queries.select("query").crossJoin(F.broadcast(common))).distinct()
@@ -207,8 +223,7 @@ def build_graph(nodes: DataFrame, neighbours: int = NEIGHBOURS, reverse: int = R
         both = with_reverse(graph, reverse)
         members = both.select(F.col("src").alias("hood"), F.col("dst").alias("node")).unionAll(
             packed.select(F.col("node").alias("hood"), "node"))
-        # Of the pairs that a hood yields, the nearest third of a list per member can still improve one.
-        graph = _merged(graph.unionAll(_hoods(packed, members, max(4, neighbours // 3), blocks)), neighbours, blocks)
+        graph = _merged(graph.unionAll(_hoods(with_reach(packed, graph, neighbours), members, neighbours, blocks)), neighbours, blocks)
     return packed, graph
 
 
@@ -320,7 +335,7 @@ def nearest(df: DataFrame, query_filter: Column, k: int = 10, id_col: str = "vec
     nodes = nodes_of(rows, k + 1)
     packed, graph = build_graph(nodes, neighbours, rounds=rounds)
     n = packed.count()
-    links = with_reverse(graph, 2 * neighbours).unionAll(long_links(packed, n)).distinct()
+    links = with_reverse(graph, neighbours).unionAll(long_links(packed, n)).distinct()
     if n == 0:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     wanted = rows.filter(query_filter)

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,22 @@ def test_recall_on_many_tight_clusters(spark):
         assert len(mine) == 10
         found += len(mine & true)
     assert found >= 900, found
+
+
+def test_hoods_give_only_what_improves_a_list():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(30, 8)).astype("<f4")
+    reach = [None if i % 3 == 0 else float(r) for i, r in enumerate(rng.uniform(4, 20, 30))]
+    table = pa.table({"hood": [1] * 20 + [2] * 10, "node": list(range(30)), "vec": [v.tobytes() for v in x],
+                      "reach": pa.array(reach, pa.float32())})
+    got = {(r["src"], r["dst"]) for r in ng._nearest_of_all(table, 2).to_pylist()}
+    assert got == {(a, b) for a in range(30) for b in range(30) if a != b and (a < 20) == (b < 20)
+                   and (reach[a] is None or ((x[a] - x[b]) ** 2).sum() < reach[a])}
+
+
+def test_entry_points_do_not_grow_with_the_table(spark):
+    queries_ = spark.range(3).withColumnRenamed("id", "query")
+    for n in (1_000, 40_000):
+        nodes = spark.range(n).withColumnRenamed("id", "node")
+        per = ng.starts(queries_, nodes, n).groupBy("query").count().collect()
+        assert len(per) == 3 and all(10 <= r["count"] <= 70 for r in per)
