@@ -55,6 +55,9 @@ def fit_tree(df: DataFrame, target: str, features, task: str, name: str = "decis
              classes: tuple = ()) -> TreeModel:
     """CART on numeric features; one pass over the rows per level.
 
+    The rows are read twice: for the range of the features, and into a cache
+    that the learner's passes read, which moves to disk where memory is short.
+
     A null goes right at every split, in the fit as in scoring: it is fitted as
     a value above all others of its column.
     """
@@ -67,7 +70,16 @@ def fit_tree(df: DataFrame, target: str, features, task: str, name: str = "decis
     else:
         classes = classes or target_classes(df, target)
         learner, label = DecisionTreeClassifier(impurity="gini", **options), class_index(target, classes)
-    fitted = learner.fit(assembled(df, features, label))
+    # No null is left in a feature, so none needs to be counted; a target among the features is still checked.
+    rows = assembled(df, features, label, "error" if target in features else "drop")
+    if task != "regression":
+        # The learner need not read all rows to know the number of classes.
+        rows = rows.withColumn("_label", F.col("_label").alias("_label", metadata={"ml_attr": {"type": "nominal", "num_vals": len(classes)}}))
+    rows = rows.persist()
+    try:
+        fitted = learner.fit(rows)
+    finally:
+        rows.unpersist()
     fitted.hasClasses = task != "regression"
     return TreeModel(name, task, target, features, _nodes(fitted, features), tuple(classes))
 

@@ -183,8 +183,13 @@ def run(df: DataFrame, config: dict, kind: str, keys) -> Run:
         calibrator = None
         model, tested = cross_fit_linear(train, options.target, features, time_series=options.time_series, **params)
     else:
-        tested = cross_fit(train, fit_fold, options.time_series)
-        model, calibrator = _fit_calibrated(train, kind, options, features, keys, task, classes)
+        # Every fit reads the table; a checkpoint is decoded row by row each time, a cache by column.
+        folded.persist()
+        try:
+            tested = cross_fit(train, fit_fold, options.time_series)
+            model, calibrator = _fit_calibrated(train, kind, options, features, keys, task, classes)
+        finally:
+            folded.unpersist()
     parts = [
         apply_model(train, model, calibrator).withColumn("data_type", F.lit("train")),
         tested.withColumn("data_type", F.lit("test")),

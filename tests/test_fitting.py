@@ -315,3 +315,30 @@ def test_fine_calibration_edges_take_no_sketch(spark):
     curve = ev.calibration_curve(df, accuracy=10_000_000)
     assert "10000000" not in curve._jdf.queryExecution().optimizedPlan().toString()
     assert [(r["bin"], r["n"]) for r in sorted(curve.collect(), key=lambda r: r["bin"])] == [(i, 200) for i in range(10)]
+
+
+def test_tree_reads_its_rows_twice_and_leaves_no_cache(spark):
+    """Once for the range of the features and once into the cache of the learner's passes."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(2000, numPartitions=4).selectExpr("double(id) AS x", "IF(id % 9 = 0, NULL, double(id % 50)) AS z",
+                                                         "IF(id < 700, 'a', 'b') AS y")
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    model = fit_tree(rows.mapInArrow(counted, rows.schema), "y", ["x", "z"], "multiclass", max_depth=3, classes=("a", "b", "c"))
+    assert reads.value <= 2 * 2000
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached
+    # A class that the rows lack still has its place in every node.
+    assert model.nodes[0].value == (700.0, 1300.0, 0.0) and model.nodes[0].feature == "x"
+
+
+def test_run_of_trees_leaves_no_cache(spark):
+    rows = spark.range(600).selectExpr("id", "double(id % 37) AS x", "double(id % 11) AS z", "concat('c', id % 37 % 3) AS y")
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    result = flows.run(rows, {"target": "y", "features": ["x", "z"], "model_params": {"max_depth": 3}}, "decision_tree", ["id"])
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached
+    assert result.tables["confusion_matrix"].groupBy("data_type").sum("n").collect()
