@@ -20,11 +20,12 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from glasswork.llm.inputs import importable, written
-from glasswork.llm.tokenizing import encoder
+from glasswork.llm.tokenizing import encoder, slices
 from glasswork.sources.checkpoint import cut_lineage
 
 SEQUENCE = 2048
@@ -50,18 +51,16 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col="
         end = b"" if end_id is None else encode.pack([end_id])
         part, taken = TaskContext.get().partitionId(), {}
         for batch in batches:
-            for a in range(0, batch.num_rows, _BATCH_DOCS):
-                some = batch.slice(a, _BATCH_DOCS)
-                sources, before, ids = some["source"].to_pylist(), [], []
-                for source, text in zip(sources, some["text"]):
-                    raw = encode(text.as_py()) + end
+            for some in slices(batch, "text"):
+                ids = encode.encode(some["text"], end).cast(pa.binary())
+                n = pc.divide(pc.binary_length(ids), encode.width).cast(pa.int64())
+                before = []
+                for source, tokens in zip(some["source"].to_pylist(), n.to_pylist()):
                     before.append(taken.get(source, 0))
-                    taken[source] = before[-1] + len(raw) // encode.width
-                    ids.append(raw)
-                n = np.array([len(x) // encode.width for x in ids], "i8")
+                    taken[source] = before[-1] + tokens
                 yield pa.RecordBatch.from_arrays(
-                    [some["id"], some["source"], pa.array([part] * len(ids), pa.int32()), pa.array(before, pa.int64()),
-                     pa.array(n), pa.array(ids, pa.binary())], names=["id", "source", "part", "before", "n", "ids"])
+                    [some["id"], some["source"], pa.array([part] * len(ids), pa.int32()), pa.array(before, pa.int64()), n, ids],
+                    names=["id", "source", "part", "before", "n", "ids"])
 
     out = rows.mapInArrow(encode_rows, "id long, source string, part int, before long, n long, ids binary")
     return written(out, "packed-ids")

@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -13,7 +14,7 @@ from glasswork.llm import queries
 from glasswork.llm.packing import Plan, pack
 from glasswork.llm.pieces import PieceCache
 from glasswork.llm.token_files import document_ids, read_index, read_token_files, write_token_files
-from glasswork.llm.tokenizing import encoder
+from glasswork.llm.tokenizing import TextEncoder, encoder, slices
 
 NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 ROWS = [(3, "b", "Hello there,  world\n x"), (1, "a", None), (2, None, ""), (2, "a", "twice"), (2, "a", "twice"),
@@ -39,6 +40,38 @@ def test_cut_texts_encode_as_whole(name, text):
     assert e(text) == e.whole(text)
 
 
+@pytest.mark.parametrize("name", NAMES)
+@settings(max_examples=100, deadline=None)
+@given(texts=st.lists(st.text(st.sampled_from("aBcé ñß\n\t.,'s!9<|>-\u0301×÷Σİ\x1c\x85\xa0\u3000日"), max_size=25), max_size=6))
+def test_slices_encode_as_whole_texts(name, texts):
+    e = encoder(public_tokenizers.path(name))
+    want = [e.whole(t) + b"<end" for t in texts]
+    assert e.encode(pa.array(["cut off", *texts], pa.string())[1:], b"<end").to_pylist() == want
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_equal_words_are_encoded_once(name):
+    """Marks behind a word and capitals, where the tokenizer has none, make no new word; odd pieces are made once too."""
+    e = TextEncoder(public_tokenizers.path(name))
+    e.parts.clear()
+    calls, tokenize, whole = [], e.tokenize, e.tokenizer.encode
+    e.tokenize = lambda part: calls.append(part) or tokenize(part)
+    text = " ".join(f"so {w}rdle{m}" for w in ("wo", "va", "éa") for m in ("", ".", ",", "!?", ".\nso", "9", "9")) + " " + "İ1 " * 50 + "end"
+    odd = []
+    e.whole = e.odd.make = lambda t: odd.append(t) or e.pack(whole(t, add_special_tokens=False).ids)
+    assert e(text) == e.pack(whole(text, add_special_tokens=False).ids)
+    assert len(calls) == len(set(calls)) <= 14
+    assert len(odd) == 4
+
+
+def test_rows_in_slices():
+    rows = pa.RecordBatch.from_pydict({"x": ["a" * 30, "", "bcd", "é" * 10, "", "e"]})
+    parts = list(slices(rows, "x", 20))
+    assert [x for p in parts for x in p["x"].to_pylist()] == rows["x"].to_pylist()
+    assert [p.num_rows for p in parts] == [1, 2, 2, 1]
+    assert list(slices(rows.slice(0, 0), "x")) == []
+
+
 def test_cache_is_bounded_and_exact():
     cache = PieceCache(lambda p: p.encode(), limit=10)
     words = [str(i % 37) for i in range(1000)]
