@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glasswork.llm.inputs import new_folder, texts
-from glasswork.llm.tokenizing import encoder
+from glasswork.llm.tokenizing import encoder, slices
 
 NULL_ID = -(2**63)
 _READ_DOCS = 4096
@@ -55,20 +55,21 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
         end = b"" if end_id is None else encode.pack([end_id])
         store, top = _store(folder)
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        at, offsets, ids, out = 0, [0], [], None
+        at, offsets, ids, out = 0, [np.zeros(1, "i8")], [], None
         for batch in batches:
-            for text in batch["_text"]:
+            for some in slices(batch, "_text"):
                 if out is None:
                     out = store.open_output_stream(f"{top}/.{part}-{attempt}.bin")
-                raw = encode(text.as_py()) + end
-                out.write(raw)
-                at += len(raw) // encode.width
-                offsets.append(at)
+                raw = encode.encode(some["_text"], end)
+                stops = np.frombuffer(raw.buffers()[1], "i8")
+                out.write(raw.buffers()[2].slice(0, int(stops[-1])))
+                offsets.append(at + stops[1:] // encode.width)
+                at = int(offsets[-1][-1])
             ids += batch["_id"].fill_null(NULL_ID).to_pylist()
         if out is None:
             return
         out.close()
-        for kind, values in (("off", offsets), ("doc", ids)):
+        for kind, values in (("off", np.concatenate(offsets)), ("doc", ids)):
             with store.open_output_stream(f"{top}/.{part}-{attempt}.{kind}") as f:
                 f.write(np.array(values, "<i8").tobytes())
         for kind in ("bin", "off", "doc"):
