@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from glasswork.llm.inputs import texts, written
+from glasswork.llm.inputs import slices, texts, written
 from glasswork.llm.pieces import PieceCache, mix, tool
 
 CLASS_BITS = 6
@@ -37,6 +38,12 @@ END, START = 0, 1  # ids of the end of a text, and of what stands before its fir
 _BATCH = 4096
 _SAFE = 60.0  # exponentials up to here stay in range, summed and in single precision
 _CHUNK = 256  # weight rows per message row
+_RUN = 32  # lines of a run that are summed together with those of other runs
+
+
+# Bytes with A-Z in lower case, and one in place of all white space.
+_GAP = 32
+_LOWER = np.frombuffer(bytes(range(256)).lower().translate(bytes.maketrans(bytes(range(9, 14)), bytes([_GAP]) * 5)), "u1")
 
 
 class WordIds:
@@ -56,8 +63,31 @@ class WordIds:
         return (xxhash.xxh64_intdigest(word) >> CLASS_BITS << CLASS_BITS | kind).to_bytes(8, "little")
 
     def __call__(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "replace").lower().split()
-        return np.frombuffer(self.cache.join(words) + bytes(8), "<u8")  # the end is id 0
+        return self.of_slice(pa.array([text], pa.string()))[0]
+
+    def of_slice(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """The ids of each text; words are cut by numpy, and each distinct one is hashed once."""
+        bounds = np.frombuffer(texts.buffers()[1], "i4")[texts.offset: texts.offset + len(texts) + 1]
+        data = _LOWER[np.frombuffer(texts.buffers()[2] or b"", "u1")[bounds[0]: bounds[-1]]]
+        bounds = bounds - bounds[0]
+        inside = data != _GAP
+        first = np.zeros(len(data) + 1, bool)
+        first[bounds[:-1]] = True
+        first[1:-1] |= ~inside[:-1]
+        first = first[:-1] & inside
+        ends = np.searchsorted(np.flatnonzero(first), bounds[1:])  # words before the end of each text
+        starts = np.append(np.flatnonzero(first[inside]), np.count_nonzero(inside)).astype("i4")
+        found = pa.BinaryArray.from_buffers(pa.binary(), len(starts) - 1, [
+            None, pa.py_buffer(starts), pa.py_buffer(data[inside])]).dictionary_encode()
+        # All distinct words become one value and are split again, which makes their objects quickly.
+        names = pc.binary_join(pa.ListArray.from_arrays([0, len(found.dictionary)], found.dictionary), b" ")[0].as_py().split()
+        ids = np.frombuffer(self.cache.join(names), "<u8")[found.indices.to_numpy()]
+        return np.split(np.insert(ids, ends, END), (ends + np.arange(1, len(ends) + 1))[:-1])
+
+    def of(self, rows: pa.RecordBatch) -> Iterator[np.ndarray]:
+        """The ids of each row's ``_text``."""
+        for some in slices(rows, "_text"):
+            yield from self.of_slice(some["_text"])
 
 
 def _words() -> WordIds:
@@ -105,6 +135,17 @@ def own_log_probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarra
     return own - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
 
 
+def _run_sums(values: np.ndarray, order: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of ``values[order]`` over runs, longest first: runs of up to ``_RUN`` by their k-th lines, the rest of longer ones by themselves."""
+    out = np.take(values, order[first], axis=0)
+    for k in range(1, min(_RUN, int(sizes[0]))):
+        n = int(np.searchsorted(-sizes, -k, "left"))
+        out[:n] += np.take(values, order[first[:n] + k], axis=0)
+    for i in range(int(np.searchsorted(-sizes, -_RUN, "left"))):
+        out[i] += np.take(values, order[first[i] + _RUN: first[i] + sizes[i]], axis=0).sum(0)
+    return out
+
+
 def gradient_step(weights: np.ndarray, bias: np.ndarray, memory: np.ndarray, rows: np.ndarray, classes: np.ndarray, rate: float) -> None:
     """One batch: the gradient of the log likelihood per used row, scaled by the row's past."""
     push = _logits(weights, bias, rows)
@@ -115,11 +156,13 @@ def gradient_step(weights: np.ndarray, bias: np.ndarray, memory: np.ndarray, row
     order = np.argsort(flat, kind="stable")
     sorted_rows = flat[order].astype(np.int64)
     first = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
-    used = sorted_rows[first]
-    grad = np.add.reduceat(np.take(push, order // rows.shape[1], axis=0), first, axis=0)
+    sizes = np.diff(first, append=len(order))
+    longest = np.argsort(-sizes, kind="stable")
+    used = sorted_rows[first[longest]]
+    grad = _run_sums(push, order // rows.shape[1], first[longest], sizes[longest])
     memory[used] += np.einsum("ij,ij->i", grad, grad) / CLASSES
     grad *= (rate / np.sqrt(memory[used]))[:, None]
-    weights[used] += grad
+    weights[used] = np.take(weights, used, axis=0) + grad
     bias += rate * push.mean(0)
 
 
@@ -147,7 +190,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words()
         for batch in batches:
-            found, n = np.unique(np.concatenate([words(t.as_py()) for t in batch["_text"]] or [np.zeros(0, "<u8")]), return_counts=True)
+            found, n = np.unique(np.concatenate([*words.of(batch)] or [np.zeros(0, "<u8")]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.astype("<u8").view("<i8")), pa.array(n.astype("<i8"))], names=["word", "tokens"])
 
     parts = docs.select("_text").mapInArrow(run, "word long, tokens long")
@@ -217,8 +260,8 @@ def _trainer(shared, buckets: int, rate: float):
                 gradient_step(weights, bias, memory, spots[a: a + _BATCH], classes[a: a + _BATCH], rate)
 
         for batch in batches:
-            for text in batch["_text"]:
-                waiting.append(words(text.as_py()))
+            for ids in words.of(batch):
+                waiting.append(ids)
                 held += len(waiting[-1])
                 if held >= _BATCH:
                     learn()
@@ -260,8 +303,8 @@ def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
         for batch in batches:
             out = []
             group, held = [], 0
-            for k, text in enumerate(batch["_text"]):
-                group.append(words(text.as_py()))
+            for k, ids in enumerate(words.of(batch)):
+                group.append(ids)
                 held += len(group[-1])
                 if held >= _BATCH or k == batch.num_rows - 1:
                     out += _score_group(group, weights, bias, inside, head, head_logs, buckets)

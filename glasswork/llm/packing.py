@@ -24,8 +24,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from glasswork.llm.inputs import importable, written
-from glasswork.llm.tokenizing import encoder, slices
+from glasswork.llm.inputs import importable, slices, written
+from glasswork.llm.tokenizing import encoder
 from glasswork.sources.checkpoint import cut_lineage
 
 SEQUENCE = 2048

@@ -22,8 +22,8 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glasswork.llm.inputs import new_folder, texts
-from glasswork.llm.tokenizing import encoder, slices
+from glasswork.llm.inputs import new_folder, slices, texts
+from glasswork.llm.tokenizing import encoder
 
 NULL_ID = -(2**63)
 _READ_DOCS = 4096

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,6 @@ import pyarrow.compute as pc
 from glasswork.llm.pieces import PieceCache, tool
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-_SLICE_BYTES = 1_000_000
 
 
 class TextEncoder:
@@ -149,13 +147,3 @@ _PROBES = ["a", "the", "Zebra", "unbelievable", "straße", "Élève", "ñandú",
 def encoder(path: str) -> TextEncoder:
     """One encoder per Python worker and file."""
     return tool(("encoder", path), lambda: TextEncoder(path))
-
-
-def slices(rows: pa.RecordBatch, column: str, size: int = _SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows with about ``size`` bytes of text; a longer text is a slice."""
-    ends = np.cumsum(pc.binary_length(rows[column]).to_numpy(zero_copy_only=False).astype("i8"))
-    a = 0
-    while a < len(ends):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
-        yield rows.slice(a, b - a)
-        a = b

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,27 @@ def test_probabilities_add_up(spark):
     assert np.allclose(inside, 1)
 
 
+def test_words_of_slices():
+    """Words of several texts at once; a distinct one is hashed once, whatever its case and its gaps."""
+    made, ids = [], lm.WordIds()
+    make, ids.cache.make = ids.cache.make, lambda w: made.append(w) or make(w)
+    ids.cache.limit = 1
+    rows = ["cut off", "A b\x0bc\x1cd É\u00a0é  a", "", " \t\r\n", "B\x0cb A", "日本 a"]
+    got = list(ids.of(pa.RecordBatch.from_pydict({"_text": rows}).slice(1)))
+    plain = [b"".join(map(make, t.encode().lower().split())) + bytes(8) for t in rows[1:]]
+    assert [g.tobytes() for g in got] == plain
+    assert sorted(made) == sorted({w for t in rows[1:] for w in t.encode().lower().split()})
+    assert list(ids.of(pa.RecordBatch.from_pydict({"_text": [""]}).slice(0, 0))) == []
+
+
+def test_sums_of_runs():
+    rng = np.random.default_rng(2)
+    values, sizes = rng.normal(size=(300, 4)), np.array([90, lm._RUN + 1, lm._RUN, 3, 1, 1])
+    order = rng.integers(0, 300, sizes.sum())
+    first = np.cumsum(sizes) - sizes
+    assert np.allclose(lm._run_sums(values, order, first, sizes), np.add.reduceat(values[order], first, axis=0))
+
+
 def test_gradient_matches_finite_differences():
     rng = np.random.default_rng(0)
     rows, classes = rng.integers(0, 8, (5, 3)), rng.integers(0, lm.CLASSES, 5)

@@ -11,10 +11,11 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from glasswork.llm import queries
+from glasswork.llm.inputs import slices
 from glasswork.llm.packing import Plan, pack
 from glasswork.llm.pieces import PieceCache
 from glasswork.llm.token_files import document_ids, read_index, read_token_files, write_token_files
-from glasswork.llm.tokenizing import TextEncoder, encoder, slices
+from glasswork.llm.tokenizing import TextEncoder, encoder
 
 NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 ROWS = [(3, "b", "Hello there,  world\n x"), (1, "a", None), (2, None, ""), (2, "a", "twice"), (2, "a", "twice"),
